@@ -139,6 +139,6 @@ def page_map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sep = F.when(pk % 3 == 0, "\t").when(pk % 3 == 1, ";").otherwise(",")
     pid = F.when(pk % 11 == 0, F.concat(F.lit(" "), _str(pk % 100), F.lit("x")))\
            .otherwise(_str(pk % 100))
-    line = F.when(pk % 13 == 0, F.concat_ws(sep, F.lit("PageID"), F.lit("SourceTable"), F.lit("Name")))\
-            .otherwise(F.concat_ws(sep, pid, _str(pk % 50), F.col("p_name")))
+    line = F.when(pk % 13 == 0, F.concat(F.lit("PageID"), sep, F.lit("SourceTable"), sep, F.lit("Name")))\
+            .otherwise(F.concat(pid, sep, _str(pk % 50), sep, F.col("p_name")))
     return read_table(spark, sf_dir, "part").select(pk.alias("LineNo"), line.alias("value"))

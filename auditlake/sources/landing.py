@@ -237,9 +237,14 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
                     F.monotonically_increasing_id().alias("LineNo"), "value"))
 
 
+def js_trim(c: Column) -> Column:
+    """JavaScript ``String.trim``: strip leading/trailing whitespace (tabs too)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _js_parse_int(c: Column) -> Column:
     """JavaScript ``parseInt(x, 10)``: the leading signed digits, else NULL."""
-    digits = F.regexp_extract(F.trim(c), r"^[+-]?\d+", 0)
+    digits = F.regexp_extract(js_trim(c), r"^[+-]?\d+", 0)
     return F.nullif(digits, F.lit("")).try_cast("long")
 
 
@@ -252,11 +257,11 @@ def parse_page_map(lines: DataFrame, order: list[str] | None = None) -> DataFram
     a page id wins.
     """
     order = order or [c for c in ("File", "LineNo") if c in lines.columns]
-    cols = F.split(F.trim(F.col("value")), r"[\t;,]")
+    cols = F.split(js_trim(F.col("value")), r"[\t;,]")
     pid = _js_parse_int(F.get(cols, 0))
     tno = _js_parse_int(F.get(cols, 1))
-    name = F.left(F.coalesce(F.trim(F.get(cols, 2)), F.lit("")), F.lit(200))
-    parsed = (lines.filter(F.trim(F.col("value")) != "")
+    name = F.left(F.coalesce(js_trim(F.get(cols, 2)), F.lit("")), F.lit(200))
+    parsed = (lines.filter(js_trim(F.col("value")) != "")
               .select(*[F.col(o) for o in order],
                       pid.cast("string").alias("PageId"), tno.cast("int").alias("TableNo"),
                       name.alias("TableName"))
