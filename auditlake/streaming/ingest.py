@@ -59,32 +59,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    if not exists(spark, path):
-        return None
-    rows = spark.read.text(path).collect()   # a one-line pointer file
-    return rows[0].value.strip() if rows else None
+def _mkdirs(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a one-line file atomically enough: write a sibling, then rename over."""
-    tmp = path + ".tmp"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(tmp)
+def _markers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Integer values of ``<prefix>=<n>`` entries directly under ``path``."""
     fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-    fs.rename(_fs(spark, tmp)[1], p)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith(prefix + "="):
+            try:
+                out.append(int(name.split("=", 1)[1]))
+            except ValueError:
+                pass
+    return out
 
 
 def run_id(spark: SparkSession, state: State) -> int:
-    """The ordered run id bound to this state's checkpoint (created once)."""
-    ptr = state.path("_run_id")
-    cur = _read_text(spark, ptr)
-    if cur is not None and exists(spark, state.checkpoint):
-        return int(cur)
-    prev = int(cur) if cur is not None else 0
-    _write_text(spark, ptr, str(prev + 1))
-    return prev + 1
+    """The ordered run id bound to this state's checkpoint.
+
+    Runs are marker directories ``_runs/run=<n>`` (created with an atomic
+    ``mkdirs``, never deleted or renamed): a resumed checkpoint keeps the
+    newest run id, a new checkpoint takes the next one.
+    """
+    runs = _markers(spark, state.path("_runs"), "run")
+    if runs and exists(spark, state.checkpoint):
+        return max(runs)
+    rid = max(runs, default=0) + 1
+    _mkdirs(spark, state.path(f"_runs/run={rid}"))
+    return rid
 
 
 def _overwrite_batch(df: DataFrame, path: str, parts: list[str]) -> None:
@@ -95,7 +103,6 @@ def _overwrite_batch(df: DataFrame, path: str, parts: list[str]) -> None:
 PAGE_RAW = "page_log"
 PAGE_DELTAS = "page_daily_deltas"
 PAGE_QUARANTINE = "page_quarantine"
-DAILY_BASE_PTR = "page_daily_base"
 
 
 def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame, batch_id: int,
@@ -128,13 +135,25 @@ def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame,
     _overwrite_batch(R.daily_delta(stored.drop("DateKey", "BatchId"), batch_id), delta_path, ["BatchId"])
 
 
+DAILY_BASE = "page_daily_base"
+
+
 def _base(spark: SparkSession, state: State) -> tuple[DataFrame | None, int]:
-    ver = _read_text(spark, state.path(DAILY_BASE_PTR))
-    if ver is None:
+    """The newest *committed* compacted base and the last batch it folds.
+
+    A version ``v=<n>`` counts only once its commit marker ``_upto=<batch>``
+    exists; the marker is created after the data is fully written.
+    """
+    best = None
+    for ver in sorted(_markers(spark, state.path(DAILY_BASE), "v"), reverse=True):
+        upto = _markers(spark, state.path(f"{DAILY_BASE}/v={ver}"), "_upto")
+        if upto:
+            best = (ver, upto[0])
+            break
+    if best is None:
         return None, -1
-    base = spark.read.parquet(state.path(f"page_daily_base_v{ver}"))
-    upto = int(_read_text(spark, state.path(f"page_daily_base_v{ver}_upto")))
-    return base, upto
+    ver, upto = best
+    return spark.read.parquet(state.path(f"{DAILY_BASE}/v={ver}/data")), upto
 
 
 def daily_table(spark: SparkSession, state: State) -> DataFrame:
@@ -153,28 +172,28 @@ def daily_table(spark: SparkSession, state: State) -> DataFrame:
 
 
 def compact_daily(spark: SparkSession, state: State) -> int:
-    """Fold the base and all deltas into a new base version; returns the version.
+    """Fold the base and newer deltas into a new base version; returns the version.
 
     The new base carries the newest folded batch id, so later deltas still
-    win the page name. It is fully written before the pointer switches, so a
-    crash leaves the previous base + deltas valid.
+    win the page name. Data is written first and the commit marker last, so
+    a crash leaves the previous base + deltas valid (the half-written
+    version is ignored). Old versions and folded deltas can be removed later.
     """
     base, upto = _base(spark, state)
     deltas = spark.read.parquet(state.path(PAGE_DELTAS)).filter(F.col("BatchId") > upto)
     newest = deltas.agg(F.max("BatchId")).first()[0]
     if newest is None:
         return -1
-    ver = int(_read_text(spark, state.path(DAILY_BASE_PTR)) or 0) + 1
+    ver = max(_markers(spark, state.path(DAILY_BASE), "v"), default=0) + 1
     cols = ["DateKey", "UserName", "PageId", "PageName", "CompanyName", "Hits", "BatchId"]
     allp = deltas.select(*cols) if base is None else base.select(*cols).unionByName(deltas.select(*cols))
-    R.compact_daily(allp, newest).write.mode("overwrite").parquet(state.path(f"page_daily_base_v{ver}"))
-    _write_text(spark, state.path(f"page_daily_base_v{ver}_upto"), str(newest))
-    _write_text(spark, state.path(DAILY_BASE_PTR), str(ver))
+    R.compact_daily(allp, newest).write.mode("overwrite").parquet(state.path(f"{DAILY_BASE}/v={ver}/data"))
+    _mkdirs(spark, state.path(f"{DAILY_BASE}/v={ver}/_upto={newest}"))
     return ver
 
 
 def run_page_stream(spark: SparkSession, landing: str, state: State, schema: T.StructType,
-                    max_files_per_trigger: int = 1, fmt: str = "parquet") -> None:
+                    max_files_per_trigger: int = 1000, fmt: str = "parquet") -> None:
     """Process every landed file not yet committed, then stop
     (``trigger(availableNow=True)``; schedule it, or use ``processingTime``)."""
     rid = run_id(spark, state)
@@ -215,7 +234,12 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
 CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.StructField("Company", T.StringType())])
 
 
-def run_change_stream(spark: SparkSession, landing: str, state: State, max_files_per_trigger: int = 4) -> None:
+def run_change_stream(spark: SparkSession, landing: str, state: State, max_files_per_trigger: int = 1000) -> None:
+    """I2 / I7 for the change log: commit every landed page file not yet seen.
+
+    ``max_files_per_trigger`` bounds one micro-batch (a catch-up backlog is
+    split into several); each micro-batch is one dedup + one anti join.
+    """
     rid = run_id(spark, state)
     src = (spark.readStream.schema(CHANGE_PAGE_STREAM_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(landing))
