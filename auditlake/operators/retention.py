@@ -113,16 +113,20 @@ def drop_partitions_before(spark: SparkSession, table_path: str, part_col: str,
 
 
 def rewrite_partition(spark: SparkSession, table_path: str, part_col: str, value,
-                      keep: F.Column, staging: str) -> None:
+                      keep: F.Column, staging: str, sub_partitions: list[str] | None = None) -> None:
     """Rewrite one partition with only the rows satisfying ``keep``.
 
-    Rows are first written to ``staging`` (shared storage), then the old
-    partition directory is replaced, so a failure never loses kept rows.
+    Rows are first written to ``staging`` (shared storage, keeping any
+    nested partitioning), then the old partition directory is replaced, so a
+    failure never loses kept rows.
     """
     part = f"{table_path.rstrip('/')}/{part_col}={value}"
     fs, p = _fs(spark, part)
     if not fs.exists(p):
         return
-    spark.read.parquet(part).filter(keep).write.mode("overwrite").parquet(staging)
+    w = spark.read.parquet(part).filter(keep).write.mode("overwrite")
+    if sub_partitions:
+        w = w.partitionBy(*sub_partitions)
+    w.parquet(staging)
     fs.delete(p, True)
     fs.rename(_fs(spark, staging)[1], p)

@@ -208,6 +208,22 @@ def top_companies(spark, sf_dir):
     return V.top_groups(TB.page_daily(spark, sf_dir), "CompanyName", "Hits", 12, distinct_of="UserName")
 
 
+@query("top_pages", "T5 W5 A16", sql(f"""
+SELECT Label, Value, {_bars('Value')} AS Bar FROM (
+  SELECT *, CASE WHEN MAX(Value) OVER () > 0 THEN round_even(100.0 * Value / MAX(Value) OVER (), 0) ELSE 0 END AS r
+  FROM (SELECT COALESCE(PageName, 'Page ?') AS Label, CAST(SUM(Hits) AS BIGINT) AS Value FROM page_daily
+        GROUP BY COALESCE(PageName, 'Page ?') ORDER BY Value DESC, Label LIMIT 10) t) b""", "page_daily"))
+def top_pages(spark, sf_dir):
+    """Report: top 10 page names by opens (unnamed pages as 'Page ?')."""
+    daily = TB.page_daily(spark, sf_dir).withColumn("PageName", F.coalesce("PageName", F.lit("Page ?")))
+    return V.top_groups(daily, "PageName", "Hits", 10)
+
+
+@query("active_companies", "A17", sql("SELECT DISTINCT CompanyName FROM page_daily", "page_daily"))
+def active_companies(spark, sf_dir):
+    return V.active_companies(TB.page_daily(spark, sf_dir))
+
+
 @query("storage_inventory", "S13 U3")
 def storage_inventory(spark, sf_dir):
     """Rows and MB per driver table (file sizes are engine-specific: rows-only check)."""

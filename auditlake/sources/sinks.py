@@ -87,5 +87,6 @@ def storage_inventory(spark: SparkSession, datasets: dict[str, str]) -> DataFram
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("Dataset", "Rows",
-                      (F.col("Bytes") / F.lit(1024.0 * 1024.0)).cast("decimal(18,1)").alias("SizeMB"))
+    return (out.select("Dataset", "Rows",
+                       (F.col("Bytes") / F.lit(1024.0 * 1024.0)).cast("decimal(18,1)").alias("SizeMB"))
+            .orderBy(F.col("SizeMB").desc(), F.col("Dataset")))

@@ -192,10 +192,25 @@ def compact_daily(spark: SparkSession, state: State) -> int:
     return ver
 
 
+def _start(src: DataFrame, fn, state: State, processing_time: str | None):
+    w = src.writeStream.foreachBatch(fn).option("checkpointLocation", state.checkpoint)
+    if processing_time:
+        # I8: a long-running query that wakes up every ``processing_time``
+        return w.trigger(processingTime=processing_time).start()
+    q = w.trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def run_page_stream(spark: SparkSession, landing: str, state: State, schema: T.StructType,
-                    max_files_per_trigger: int = 1000, fmt: str = "parquet") -> None:
-    """Process every landed file not yet committed, then stop
-    (``trigger(availableNow=True)``; schedule it, or use ``processingTime``)."""
+                    max_files_per_trigger: int = 1000, fmt: str = "parquet",
+                    processing_time: str | None = None):
+    """Commit every landed file not yet seen.
+
+    Default ``trigger(availableNow=True)``: process the backlog and stop (run
+    it from a scheduler); with ``processing_time`` the query keeps running
+    and the caller owns the returned ``StreamingQuery``.
+    """
     rid = run_id(spark, state)
     src = (spark.readStream.schema(schema).format(fmt)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(landing))
@@ -203,9 +218,7 @@ def run_page_stream(spark: SparkSession, landing: str, state: State, schema: T.S
     def fn(df, micro_batch_id):
         ingest_page_batch(df.sparkSession, state, df, rid * BATCH_SPAN + micro_batch_id)
 
-    q = (src.writeStream.foreachBatch(fn).option("checkpointLocation", state.checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _start(src, fn, state, processing_time)
 
 
 def stored_page_log(spark: SparkSession, state: State) -> DataFrame:
@@ -234,7 +247,8 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
 CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.StructField("Company", T.StringType())])
 
 
-def run_change_stream(spark: SparkSession, landing: str, state: State, max_files_per_trigger: int = 1000) -> None:
+def run_change_stream(spark: SparkSession, landing: str, state: State, max_files_per_trigger: int = 1000,
+                      processing_time: str | None = None):
     """I2 / I7 for the change log: commit every landed page file not yet seen.
 
     ``max_files_per_trigger`` bounds one micro-batch (a catch-up backlog is
@@ -247,9 +261,7 @@ def run_change_stream(spark: SparkSession, landing: str, state: State, max_files
     def fn(df, micro_batch_id):
         ingest_change_batch(df.sparkSession, state, df, rid * BATCH_SPAN + micro_batch_id)
 
-    q = (src.writeStream.foreachBatch(fn).option("checkpointLocation", state.checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _start(src, fn, state, processing_time)
 
 
 def stored_change_log(spark: SparkSession, state: State) -> DataFrame:

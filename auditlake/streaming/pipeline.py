@@ -1,0 +1,244 @@
+"""The daily run as one pipeline with modes ``ingest`` / ``repull`` / ``purge``.
+
+State lives under one shared root (on a cluster: below ``spark.checkpoint.dir``):
+
+* ``page_log``, ``page_daily_deltas``, ``page_daily_base`` -- module A (streamed);
+* ``change_log`` -- module B (streamed), partitioned by ``BatchId``;
+* ``auth_fail_raw``, ``auth_fail_daily`` -- module C, partitioned by ``DateKey``;
+  an upsert rewrites only the date partitions the batch touches;
+* ``sync_status`` -- one row per module, versioned.
+
+Every rewrite goes through a staging folder first, so a job that dies half
+way (lost executor, killed driver) can simply be run again.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from auditlake.operators import dedup as D
+from auditlake.operators import health as H
+from auditlake.operators import increments as I
+from auditlake.operators import retention as RT
+from auditlake.operators import rollup as R
+from auditlake.sources import landing as L
+from auditlake.streaming import ingest as ST
+
+AUTH_RAW = "auth_fail_raw"
+AUTH_DAILY = "auth_fail_daily"
+STATUS = "sync_status"
+
+
+def _staging(state: ST.State, what: str) -> str:
+    return state.path(f"_staging/{what}-{uuid.uuid4().hex[:12]}")
+
+
+def upsert_date_partitions(spark: SparkSession, path: str, updates: DataFrame, key: list,
+                           staging: str, part_col: str = "DateKey") -> list:
+    """Keyed upsert that rewrites only the partitions ``updates`` touches.
+
+    The touched partition values are a handful of dates (collected: bounded
+    by the batch's time span); existing rows of those partitions are read
+    with partition pruning, merged (updates win), staged, then written back
+    with dynamic partition overwrite.
+    """
+    touched = [r[0] for r in updates.select(part_col).distinct().collect()]
+    if not touched:
+        return []
+    merged = updates
+    if ST.exists(spark, path):
+        existing = spark.read.parquet(path).filter(F.col(part_col).isin(touched))
+        merged = D.keyed_replace(existing.select(*updates.columns), updates, key)
+    merged.write.mode("overwrite").partitionBy(part_col).parquet(staging)
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part_col).parquet(path))
+    return touched
+
+
+def ingest_auth_failures(spark: SparkSession, state: ST.State, traces: DataFrame, repull: bool = False) -> int:
+    """Module C: watermark scan (or a full re-pull, I5) -> D4 upsert -> A3/D7.
+
+    Returns the number of labelled rows read from the feed.
+    """
+    raw_path = state.path(AUTH_RAW)
+    since = None
+    if not repull and ST.exists(spark, raw_path):
+        since = I.high_watermark(spark.read.parquet(raw_path), "Timestamp")
+    labels = L.scan_auth_failures(traces, since=since)
+    order = ["Id"] if "Id" in labels.columns else None
+    batch = D.dedup_batch(labels, D.auth_key(), order=order, last=True) \
+        .select("Timestamp", "UserId", "ObjectId", "ObjectName") \
+        .withColumn("DateKey", F.to_date("Timestamp"))
+    n = batch.count()
+    if n == 0:
+        return 0
+    touched = upsert_date_partitions(spark, raw_path, batch, D.auth_key(), _staging(state, "auth-raw"))
+    # Recompute the touched days from raw and replace them in the daily table
+    raw_days = spark.read.parquet(raw_path).filter(F.col("DateKey").isin(touched)).drop("DateKey")
+    daily = R.auth_daily_rollup(raw_days)
+    upsert_date_partitions(spark, state.path(AUTH_DAILY), daily,
+                           [F.col(c) for c in R.AUTH_DAILY_KEY], _staging(state, "auth-daily"))
+    return n
+
+
+def rewrite_batches(spark: SparkSession, path: str, keep, staging: str) -> int:
+    """Delete rows not matching ``keep`` from a ``BatchId``-partitioned table.
+
+    Only partitions holding a row to delete are rewritten: kept rows are
+    staged first, then each affected partition is replaced by its staged
+    copy (or removed when nothing is kept). Returns the deleted row count.
+    """
+    if not ST.exists(spark, path):
+        return 0
+    df = spark.read.parquet(path)
+    gone = df.filter(~keep).groupBy("BatchId").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not gone:
+        return 0
+    affected = [r.BatchId for r in gone]
+    df.filter(F.col("BatchId").isin(affected) & keep).write.mode("overwrite") \
+        .partitionBy("BatchId").parquet(staging)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for b in affected:
+        dst = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/BatchId={b}")
+        src = jvm.org.apache.hadoop.fs.Path(f"{staging.rstrip('/')}/BatchId={b}")
+        fs = dst.getFileSystem(conf)
+        fs.delete(dst, True)
+        if fs.exists(src):
+            fs.rename(src, dst)
+    return sum(r.n for r in gone)
+
+
+def purge_companies(spark: SparkSession, state: ST.State, companies: list[str]) -> int:
+    """R3 on the stored change log; names are normalised."""
+    names = sorted({c.strip() for c in companies if c and c.strip()})
+    if not names:
+        return 0
+    return rewrite_batches(spark, state.path(ST.CHANGE_STORE), ~F.col("CompanyName").isin(names),
+                           _staging(state, "purge"))
+
+
+def apply_change_retention(spark: SparkSession, state: ST.State, as_of: dt.datetime, months: int) -> int:
+    """R2 on the stored change log."""
+    cutoff = RT.months_back(as_of, RT.retention_months(months, RT.AUDIT_RETENTION_MONTHS))
+    return rewrite_batches(spark, state.path(ST.CHANGE_STORE), F.col("ChangedAt") >= F.lit(cutoff),
+                           _staging(state, "retention"))
+
+
+def apply_page_retention(spark: SparkSession, state: ST.State, as_of: dt.datetime, months: int) -> list[str]:
+    """R1 on the raw page log: drop whole old date partitions, rewrite the edge day.
+
+    The daily deltas are untouched, so the rollup survives raw retention (I10).
+    """
+    cutoff = RT.months_back(as_of, RT.retention_months(months, RT.PAGE_RETENTION_MONTHS))
+    raw = state.path(ST.PAGE_RAW)
+    dropped = RT.drop_partitions_before(spark, raw, "DateKey", cutoff.date())
+    RT.rewrite_partition(spark, raw, "DateKey", cutoff.date().isoformat(),
+                         F.col("Timestamp") >= F.lit(cutoff), _staging(state, "edge"),
+                         sub_partitions=["BatchId"])
+    return dropped
+
+
+def _newest_version(spark: SparkSession, path: str) -> int | None:
+    for ver in sorted(ST._markers(spark, path, "v"), reverse=True):
+        if ST.exists(spark, f"{path}/v={ver}/_done"):
+            return ver
+    return None
+
+
+def read_status(spark: SparkSession, state: ST.State) -> DataFrame | None:
+    ver = _newest_version(spark, state.path(STATUS))
+    return None if ver is None else spark.read.parquet(state.path(f"{STATUS}/v={ver}/data"))
+
+
+def upsert_status(spark: SparkSession, state: ST.State, rows: DataFrame) -> DataFrame:
+    """Keyed replace of the per-module status, written as a new version."""
+    cur = read_status(spark, state)
+    merged = rows if cur is None else D.keyed_replace(cur.select(*rows.columns), rows, [F.col("Module")])
+    ver = (max(ST._markers(spark, state.path(STATUS), "v"), default=0)) + 1
+    merged.coalesce(1).write.mode("overwrite").parquet(state.path(f"{STATUS}/v={ver}/data"))
+    ST._mkdirs(spark, state.path(f"{STATUS}/v={ver}/_done"))
+    return read_status(spark, state)
+
+
+@dataclass
+class Pipeline:
+    """One scheduled run over landed feeds.
+
+    ``page_landing`` / ``change_landing`` are landing folders read by
+    streaming file sources; ``traces`` is a reader for the error-trace feed.
+    Each module keeps its own state folder (and streaming checkpoint) under
+    ``root``.
+    """
+    spark: SparkSession
+    root: str
+    page_landing: str | None = None
+    page_schema: T.StructType | None = None
+    change_landing: str | None = None
+    traces: object = None               # callable () -> DataFrame
+    page_retention_months: int = RT.PAGE_RETENTION_MONTHS
+    audit_retention_months: int = RT.AUDIT_RETENTION_MONTHS
+    log: list = field(default_factory=list)
+
+    @property
+    def pages(self) -> ST.State:
+        return ST.State(f"{self.root.rstrip('/')}/pages")
+
+    @property
+    def changes(self) -> ST.State:
+        return ST.State(f"{self.root.rstrip('/')}/changes")
+
+    @property
+    def errors(self) -> ST.State:
+        return ST.State(f"{self.root.rstrip('/')}/errors")
+
+    @property
+    def control(self) -> ST.State:
+        return ST.State(f"{self.root.rstrip('/')}/control")
+
+    def run(self, mode: str = "ingest", as_of: dt.datetime | None = None,
+            purge: list[str] | None = None) -> list:
+        """``ingest``: A, C, B, retention. ``repull``: the same, with module C
+        re-read from the start (nothing deleted, the upsert fills gaps).
+        ``purge``: only the pending company purge, no ingest (the reference's
+        purge-only run)."""
+        if mode not in ("ingest", "repull", "purge"):
+            raise ValueError(f"unknown mode {mode!r}")
+        spark = self.spark
+        if mode == "purge":
+            n = purge_companies(spark, self.changes, purge or [])
+            self.log.append(("purge", n))
+            return self.log
+        if self.page_landing:
+            ST.run_page_stream(spark, self.page_landing, self.pages, self.page_schema)
+            self.log.append(("modul A", 0))
+        if self.traces is not None:
+            n = ingest_auth_failures(spark, self.errors, self.traces(), repull=(mode == "repull"))
+            self.log.append(("modul C", n))
+        if self.change_landing:
+            ST.run_change_stream(spark, self.change_landing, self.changes)
+            self.log.append(("modul B", 0))
+        if as_of is not None:
+            if ST.exists(spark, self.pages.path(ST.PAGE_RAW)):
+                apply_page_retention(spark, self.pages, as_of, self.page_retention_months)
+            if ST.exists(spark, self.changes.path(ST.CHANGE_STORE)):
+                apply_change_retention(spark, self.changes, as_of, self.audit_retention_months)
+        return self.log
+
+    def status(self, as_of: dt.datetime, cloud: list[DataFrame]) -> DataFrame:
+        """A15 + D8: stored counts vs the given feed counts, upserted per module."""
+        local = []
+        if ST.exists(self.spark, self.pages.path(ST.PAGE_RAW)):
+            local.append(H.module_count(ST.stored_page_log(self.spark, self.pages), "A", "LocalCount"))
+        if ST.exists(self.spark, self.changes.path(ST.CHANGE_STORE)):
+            local.append(H.module_count(ST.stored_change_log(self.spark, self.changes), "B", "LocalCount"))
+        if ST.exists(self.spark, self.errors.path(AUTH_RAW)):
+            local.append(H.module_count(self.spark.read.parquet(self.errors.path(AUTH_RAW)), "C", "LocalCount"))
+        rows = H.sync_status(cloud, local, as_of).select("Module", "CloudCount", "LocalCount", "Pct", "UpdatedAt")
+        return upsert_status(self.spark, self.control, rows)
