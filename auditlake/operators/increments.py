@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.joins import bounded_broadcast
@@ -35,17 +35,67 @@ def company_edges(stored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("StoredRows"))
 
 
-def _first_n(df: DataFrame, order_col, n: int, keep_rank: bool = False) -> DataFrame:
-    """The first ``n`` rows per company in ``order_col`` order.
+# Width of an EntryNo bucket for the exact per-company top-N (a window never
+# sees more than this many rows of one company).
+BUCKET_WIDTH = 1 << 16
 
-    ``row_number() <= n`` with a literal ``n`` plans as ``WindowGroupLimit``,
-    which keeps at most ``n`` rows per company in each map task *before* the
-    shuffle -- a company with a third of the feed ships ``n`` rows per task,
-    not its whole history.
+
+def _per_phase(phase: Column, values: dict) -> Column:
+    expr = None
+    for ph, v in values.items():
+        expr = F.when(phase == ph, F.lit(v)) if expr is None else expr.when(phase == ph, F.lit(v))
+    return expr
+
+
+def capped_runs(df: DataFrame, key: Column, caps: dict, marks: dict | None = None,
+                bucket_width: int = BUCKET_WIDTH) -> DataFrame:
+    """Per ``(CompanyName, Phase)`` the rows ranked ``<= caps[Phase]`` by ``key``.
+
+    A plain ``row_number() <= cap`` sends every candidate of a company to one
+    task (a company with a third of the feed would be sorted in one place).
+    Instead:
+
+    1. count candidates per ``(company, phase, key bucket)`` -- a partial
+       aggregation with a tiny output;
+    2. a running sum over each group's *bucket counts* (bounded by the key
+       range / bucket width, not by rows) gives every bucket the number of
+       rows ranked before it;
+    3. buckets wholly inside the cap are kept as they are; only buckets that
+       straddle the cap (or a mark, e.g. the end of the seed block) are ranked
+       row by row, in windows of at most ``bucket_width`` rows.
+
+    Exact for any skew. Adds ``_rank`` (exact in straddling buckets, the
+    bucket's last rank elsewhere -- enough to place a row on either side of
+    a mark).
     """
-    w = Window.partitionBy("CompanyName").orderBy(order_col, F.col("EntryNo").asc())
-    out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    return out if keep_rank else out.drop("_rn")
+    marks = marks or {}
+    groups = ["CompanyName", "Phase"]
+    tagged = df.withColumn("_b", F.floor(key / F.lit(bucket_width)).cast("long")).withColumn("_key", key)
+    counts = tagged.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = (counts.withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
+              .withColumn("_cap", _per_phase(F.col("Phase"), caps))
+              .filter(F.col("_before") < F.col("_cap")))
+    last = F.col("_before") + F.col("_n")
+    straddle = last > F.col("_cap")
+    for ph, m in marks.items():
+        straddle = straddle | ((F.col("Phase") == ph) & (F.col("_before") < m) & (last > m))
+    chosen = counts.withColumn("_exact", straddle)
+    j = tagged.join(chosen, [*groups, "_b"])
+    whole = j.filter(~F.col("_exact")).withColumn("_rank", last)
+    exact = (j.filter(F.col("_exact"))
+             .withColumn("_rank", F.col("_before") + F.row_number().over(
+                 Window.partitionBy(*groups, "_b").orderBy("_key")))
+             .filter(F.col("_rank") <= F.col("_cap")))
+    return whole.unionByName(exact).drop("_b", "_key", "_n", "_before", "_cap", "_exact")
+
+
+def first_n_per_company(df: DataFrame, n: int, descending: bool = False,
+                        bucket_width: int = BUCKET_WIDTH) -> DataFrame:
+    """Exactly the first ``n`` rows per company in ``EntryNo`` order (see ``capped_runs``)."""
+    key = -F.col("EntryNo") if descending else F.col("EntryNo")
+    out = capped_runs(df.withColumn("Phase", F.lit("x")), key, {"x": n}, bucket_width=bucket_width)
+    return out.drop("Phase", "_rank")
 
 
 def next_change_rows(feed: DataFrame, stored: DataFrame, forward_cap: int = FORWARD_CAP,
@@ -53,38 +103,35 @@ def next_change_rows(feed: DataFrame, stored: DataFrame, forward_cap: int = FORW
                      not_before=None) -> DataFrame:
     """The change-log rows the next run fetches, per company.
 
-    * seed (company with nothing stored): the newest ``seed_rows`` entries;
+    * seed (company with nothing stored): the newest ``seed_rows`` entries,
+      then -- in the same run, as the reference re-reads its edges after the
+      seed -- backfill below them;
     * forward: ``EntryNo > max`` ascending, at most ``forward_cap``;
     * backfill: ``EntryNo < min`` descending, at most ``backfill_cap``; off when
       the cap is 0 or ``min <= 1``. ``not_before`` (the audit retention cutoff)
       stops backfill from re-fetching what retention deleted (SURVEY §5 #4).
 
-    One job for all companies: the feed joins the per-company edges (a
-    broadcast of one row per company, size-checked) and each phase is a
-    per-company group limit. The reference checks its cap per 5,000-row page
-    and can overshoot by a page; here the cap is exact.
+    One pass for all companies and phases: the feed joins the per-company
+    edges (one row per company, size-checked broadcast), every candidate gets
+    its phase, and ``capped_runs`` applies the per-phase caps exactly without
+    sorting any company in one task. The reference checks its cap per
+    5,000-row page and can overshoot by a page; here the cap is exact.
     """
     edges = bounded_broadcast(company_edges(stored))
     f = feed.join(edges, "CompanyName", "left")
-    # An empty company is seeded with its newest block and, in the same run,
-    # backfilled below it (the edges are re-read after the seed), so both are
-    # one descending run of ``seed_rows + backfill_cap`` rows.
-    seed = _first_n(f.filter(F.col("MaxEntryNo").isNull()), F.col("EntryNo").desc(),
-                    seed_rows + max(backfill_cap, 0), keep_rank=True) \
-        .withColumn("Phase", F.when(F.col("_rn") <= seed_rows, "seed").otherwise("backfill"))
+    mx, mn, e = F.col("MaxEntryNo"), F.col("MinEntryNo"), F.col("EntryNo")
+    phase = (F.when(mx.isNull(), "seedfill").when(e > mx, "forward")
+             .when((e < mn) & (mn > 1) & F.lit(backfill_cap > 0), "backfill"))
+    cand = f.withColumn("Phase", phase).filter(F.col("Phase").isNotNull())
+    if not_before is not None:
+        cand = cand.filter((F.col("Phase") != "backfill") | (F.col("ChangedAt") >= F.lit(not_before)))
+    key = F.when(F.col("Phase") == "forward", e).otherwise(-e)
+    caps = {"forward": forward_cap, "backfill": max(backfill_cap, 0),
+            "seedfill": seed_rows + max(backfill_cap, 0)}
+    out = capped_runs(cand, key, caps, marks={"seedfill": seed_rows})
+    label = (F.when(F.col("Phase") != "seedfill", F.col("Phase"))
+             .when(F.col("_rank") <= seed_rows, "seed").otherwise("backfill"))
+    out = out.withColumn("Phase", label)
     if not_before is not None:
-        seed = seed.filter((F.col("Phase") == "seed") | (F.col("ChangedAt") >= F.lit(not_before)))
-    seed = seed.drop("_rn")
-    fwd = _first_n(f.filter(F.col("EntryNo") > F.col("MaxEntryNo")), F.col("EntryNo").asc(), forward_cap) \
-        .withColumn("Phase", F.lit("forward"))
-    parts = [seed, fwd]
-    if backfill_cap > 0:
-        back = f.filter((F.col("EntryNo") < F.col("MinEntryNo")) & (F.col("MinEntryNo") > 1))
-        if not_before is not None:
-            back = back.filter(F.col("ChangedAt") >= F.lit(not_before))
-        parts.append(_first_n(back, F.col("EntryNo").desc(), backfill_cap)
-                     .withColumn("Phase", F.lit("backfill")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("MaxEntryNo", "MinEntryNo", "StoredRows")
+        out = out.filter((F.col("Phase") != "backfill") | (F.col("ChangedAt") >= F.lit(not_before)))
+    return out.drop("MaxEntryNo", "MinEntryNo", "StoredRows", "_rank")

@@ -54,3 +54,22 @@ def test_backfill_respects_retention_cutoff(spark):
 def test_edges_per_company(spark):
     f = feed(spark, [("A", 5, 9), ("B", 1, 2)])
     assert rows(I.company_edges(f)) == [("A", 9, 5, 5), ("B", 2, 1, 2)]
+
+
+def test_bucketed_top_n_matches_row_number_with_gaps_and_skew(spark):
+    import random
+    rnd = random.Random(7)
+    data = [("HOT", n, dt.datetime(2024, 1, 1)) for n in range(1, 5000) if rnd.random() < 0.7]
+    data += [("COLD", n, dt.datetime(2024, 1, 1)) for n in (3, 900, 901, 7000)]
+    df = spark.createDataFrame(data, COLS)
+    for desc_ in (False, True):
+        for n in (1, 3, 250, 10_000):
+            got = I.first_n_per_company(df, n, descending=desc_, bucket_width=64)
+            exp = {}
+            for c in ("HOT", "COLD"):
+                ids = sorted((e for cc, e, _ in data if cc == c), reverse=desc_)[:n]
+                exp[c] = sorted(ids)
+            res = {}
+            for r in got.collect():
+                res.setdefault(r.CompanyName, []).append(r.EntryNo)
+            assert {k: sorted(v) for k, v in res.items()} == exp
