@@ -58,32 +58,43 @@ def freshness(newest: DataFrame, as_of: dt.datetime, stale_hours: float = STALE_
 def feed_status_age(status: DataFrame, as_of: dt.datetime, stale_hours: float = STATUS_STALE_HOURS) -> DataFrame:
     """H2: minutes since the last feed check (JS ``Math.round``: half up) and
     ``stale = ok and age > 26 h``; unknown check time stays NULL, never 0."""
-    mins = F.timestamp_diff("SECOND", F.col("CheckedAt"), F.lit(as_of).cast("timestamp_ntz")) / F.lit(60.0)
+    mins = F.timestamp_diff("MICROSECOND", F.col("CheckedAt"), F.lit(as_of).cast("timestamp_ntz")) / F.lit(6.0e7)
     age = F.floor(mins + F.lit(0.5)).cast("long")
     return status.select("*", age.alias("AgeMinutes"),
                          (F.col("Ok") & (age > F.lit(int(stale_hours * 60)))).alias("Stale"))
 
 
 def step_status(log_lines: DataFrame, steps: list[str]) -> DataFrame:
-    """H3: per known step its exit code (first match), failed if non-zero,
-    NULL when the step never ran; plus a row for a rollback marker."""
+    """H3: per log file and known step the exit code of its first report,
+    failed if non-zero, NULL when the step never ran.
+
+    Per file the first match is ``min_by(ExitCode, LineNo)`` (partial
+    aggregation); the file x step grid is an ``explode`` of the step list
+    per file, not a cross join.
+    """
+    per_file = "File" in log_lines.columns
+    keys = ["File"] if per_file else []
     hits = log_lines.filter(F.col("Step").isNotNull())
-    order = [c for c in ("File", "LineNo") if c in log_lines.columns]
-    first = hits.groupBy("Step").agg(F.min_by("ExitCode", F.struct(*order)).alias("ExitCode"))
-    known = log_lines.sparkSession.createDataFrame([(s,) for s in steps], "Step string")
-    out = known.join(first, "Step", "left")
-    return out.select("Step", "ExitCode", (F.col("ExitCode") != 0).alias("Failed"))
+    first = hits.groupBy(*keys, "Step").agg(F.min_by("ExitCode", F.col("LineNo")).alias("ExitCode"))
+    step_list = F.array(*[F.lit(s) for s in steps])
+    if per_file:
+        grid = log_lines.select("File").distinct().select("File", F.explode(step_list).alias("Step"))
+    else:
+        grid = log_lines.limit(1).select(F.explode(step_list).alias("Step"))
+    out = grid.join(first, [*keys, "Step"], "left")
+    return out.select(*keys, "Step", "ExitCode", (F.col("ExitCode") != 0).alias("Failed"))
 
 
 def rollback_seen(log_lines: DataFrame) -> DataFrame:
-    """H3: did any line report an import rollback."""
-    return log_lines.agg(F.coalesce(F.bool_or("Rollback"), F.lit(False)).alias("Rollback"))
+    """H3: did a log (per file, when present) report an import rollback."""
+    keys = ["File"] if "File" in log_lines.columns else []
+    return log_lines.groupBy(*keys).agg(F.coalesce(F.bool_or("Rollback"), F.lit(False)).alias("Rollback"))
 
 
 def expiry(secrets: DataFrame, as_of: dt.datetime, warn_days: int) -> DataFrame:
     """H4: whole days left (floor), warning within ``warn_days``, problem within 7."""
-    secs = F.timestamp_diff("SECOND", F.lit(as_of).cast("timestamp_ntz"), F.col("ExpiresAt").cast("timestamp_ntz"))
-    days = F.floor(secs / F.lit(86400.0)).cast("long")
+    us = F.timestamp_diff("MICROSECOND", F.lit(as_of).cast("timestamp_ntz"), F.col("ExpiresAt").cast("timestamp_ntz"))
+    days = F.floor(us / F.lit(8.64e10)).cast("long")
     level = (F.when(days <= EXPIRY_PROBLEM_DAYS, "problem").when(days <= warn_days, "warning"))
     return secrets.select("*", days.alias("DaysLeft"), level.alias("Level"))
 

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.operators import dedup as D
 from auditlake.operators import filters as FL
 from auditlake.operators import health as H
 from auditlake.operators import retention as RT
@@ -224,6 +225,93 @@ def active_companies(spark, sf_dir):
     return V.active_companies(TB.page_daily(spark, sf_dir))
 
 
+extra("run_log", (), """
+SELECT 'bct-daily-' || strftime(ts, '%Y%m%d') AS File, event_id AS LineNo,
+       CASE WHEN event_type = 'error' AND CAST(floor(value) AS BIGINT) % 11 = 0
+            THEN strftime(ts, '%H:%M:%S') || ' Import ROLLBACK'
+            ELSE strftime(ts, '%H:%M:%S') || ' ' || CASE event_type WHEN 'view' THEN 'modul A' WHEN 'click' THEN 'modul C'
+                 WHEN 'purchase' THEN 'modul B' WHEN 'signup' THEN 'uzivatele' WHEN 'error' THEN 'sync-status' END
+                 || ' exit=' || CASE WHEN CAST(floor(value) AS BIGINT) % 7 = 0 THEN '2' ELSE '0' END END AS value
+FROM events""")
+
+
+@query("step_status", "H3 S8", sql(r"""
+SELECT f.File, s.Step, x.ExitCode, x.ExitCode <> 0 AS Failed
+FROM (SELECT DISTINCT File FROM run_log) f
+CROSS JOIN (VALUES ('modul A'), ('modul C'), ('modul B'), ('uzivatele'), ('sync-status'), ('snapshot')) s(Step)
+LEFT JOIN (SELECT File, Step, arg_min(ExitCode, LineNo) AS ExitCode FROM (
+             SELECT File, LineNo,
+                    regexp_extract(value, '(?i)(modul A|modul C|modul B|uzivatele|sync-status|snapshot)\s+exit=\d+', 1) AS Step,
+                    TRY_CAST(NULLIF(regexp_extract(value, '(?i)\bexit=(\d+)', 1), '') AS INTEGER) AS ExitCode
+             FROM run_log) p WHERE Step <> '' GROUP BY File, Step) x
+  ON x.File = f.File AND x.Step = s.Step""", "run_log"))
+def step_status(spark, sf_dir):
+    """Per daily run log: exit code of each step's first report, NULL when it never ran."""
+    return H.step_status(L.parse_run_log(X.run_log_lines(spark, sf_dir)), L.STEP_LABELS)
+
+
+@query("import_rollback", "H3 S8", sql("""
+SELECT File, bool_or(regexp_matches(value, '(?i)Import ROLLBACK')) AS Rollback FROM run_log GROUP BY File""",
+                                       "run_log"))
+def import_rollback(spark, sf_dir):
+    """Per daily run log: was an import rolled back."""
+    return H.rollback_seen(L.parse_run_log(X.run_log_lines(spark, sf_dir)))
+
+
+@query("feed_status_age", "H2 A18", sql("""
+SELECT Section AS Module, true AS Ok, Newest AS CheckedAt,
+       CAST(floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5) AS BIGINT)
+         AS AgeMinutes,
+       CAST(floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5) AS BIGINT)
+         > 1560 AS Stale
+FROM newest""", "newest"))
+def feed_status_age(spark, sf_dir):
+    """Status age per module (minutes, rounded half up) and staleness beyond 26 h."""
+    newest = (V.newest(TB.page_log(spark, sf_dir), "Timestamp", "A")
+              .unionByName(V.newest(TB.change_log(spark, sf_dir), "ChangedAt", "B"))
+              .unionByName(V.newest(TB.auth_fail_raw(spark, sf_dir), "Timestamp", "C")))
+    status = newest.select(F.col("Section").alias("Module"), F.lit(True).alias("Ok"),
+                           F.col("Newest").alias("CheckedAt"))
+    return H.feed_status_age(status, HEALTH_AS_OF)
+
+
+@query("sync_status_upsert", "D8 A15", sql(f"""
+SELECT Module, CloudCount, LocalCount, {_pct('LocalCount', 'CloudCount')} AS Pct,
+       CASE WHEN Module = 'B' THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-31 12:00:00' END
+         AS UpdatedAt
+FROM sync_counts""", "sync_counts"))
+def sync_status_upsert(spark, sf_dir):
+    """Yesterday's status of all modules, then today's A and C rows upserted by module."""
+    cols = ["Module", "CloudCount", "LocalCount", "Pct", "UpdatedAt"]
+    views = X.page_views(spark, sf_dir)
+    traces = X.trace_feed(spark, sf_dir).filter(F.col("EventId") == X.AUTH_FAILED_EVENT)
+    cloud = [H.module_count(views, "A", "CloudCount"), H.module_count(TB.change_rows(spark, sf_dir), "B", "CloudCount"),
+             H.module_count(traces, "C", "CloudCount")]
+    local = [H.module_count(TB.page_log(spark, sf_dir), "A", "LocalCount"),
+             H.module_count(_stored_subset(spark, sf_dir), "B", "LocalCount"),
+             H.module_count(TB.auth_fail_raw(spark, sf_dir), "C", "LocalCount")]
+    yesterday = H.sync_status(cloud, local, HEALTH_AS_OF - dt.timedelta(days=1)).select(*cols)
+    today = H.sync_status([cloud[0], cloud[2]], [local[0], local[2]], HEALTH_AS_OF).select(*cols)
+    return D.keyed_replace(yesterday, today, [F.col("Module")])
+
+
+EXPORT_COLS = ("EntryNo", "ChangedAt", "UserId", "CompanyName", "TableNo", "TableName", "FieldNo", "FieldName",
+               "ChangeType", "PrimaryKey", "OldValue", "NewValue")
+
+
+@query("export_roundtrip", "S11 P13 P16", sql(f"""
+SELECT {", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if c == "ChangedAt" else f"CAST({c} AS VARCHAR) AS {c}"
+                 for c in EXPORT_COLS)}
+FROM change_log WHERE lower(TableName) LIKE '%able 1%' AND ChangeType = 'Deletion'
+  AND CAST(ChangedAt AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""", "change_log"))
+def export_roundtrip(spark, sf_dir):
+    """The whole filtered audit exported as Excel CSV (BOM, ';'), read back as text."""
+    path = scratch_path(spark, "export") + "/audit.csv"
+    S.export_table(FL.apply_filters(TB.change_log(spark, sf_dir), FILTER_SPEC), path, "csv")
+    back = spark.read.option("header", True).option("sep", ";").csv(path)
+    return back.withColumnRenamed(back.columns[0], back.columns[0].lstrip(S.BOM))
+
+
 @query("storage_inventory", "S13 U3")
 def storage_inventory(spark, sf_dir):
     """Rows and MB per driver table (file sizes are engine-specific: rows-only check)."""

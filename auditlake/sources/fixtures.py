@@ -142,3 +142,29 @@ def page_map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(pk % 13 == 0, F.concat(F.lit("PageID"), sep, F.lit("SourceTable"), sep, F.lit("Name")))\
             .otherwise(F.concat(pid, sep, _str(pk % 50), sep, F.col("p_name")))
     return read_table(spark, sf_dir, "part").select(pk.alias("LineNo"), line.alias("value"))
+
+
+# Which run step each event type stands for in the run-log fixture
+# ("snapshot" never appears, so it reads as "did not run").
+RUN_LOG_STEPS = {"view": "modul A", "click": "modul C", "purchase": "modul B",
+                 "signup": "uzivatele", "error": "sync-status"}
+
+
+def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily run logs: one file per day, one line per event, in event order.
+
+    A line reports ``<time> <step> exit=<code>`` (code 2 for every 7th whole
+    value, else 0); some error events log an ``Import ROLLBACK`` instead.
+    """
+    ev = read_table(spark, sf_dir, "events")
+    whole = F.floor(F.col("value")).cast("long")
+    step = F.lit(None).cast("string")
+    for et, label in RUN_LOG_STEPS.items():
+        step = F.when(F.col("event_type") == et, F.lit(label)).otherwise(step)
+    hhmmss = F.date_format("ts", "HH:mm:ss")
+    exit_code = F.when(whole % 7 == 0, F.lit("2")).otherwise(F.lit("0"))
+    line = F.when((F.col("event_type") == "error") & (whole % 11 == 0),
+                  F.concat(hhmmss, F.lit(" Import ROLLBACK")))\
+            .otherwise(F.concat(hhmmss, F.lit(" "), step, F.lit(" exit="), exit_code))
+    return ev.select(F.concat(F.lit("bct-daily-"), F.date_format("ts", "yyyyMMdd")).alias("File"),
+                     F.col("event_id").alias("LineNo"), line.alias("value"))
