@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import columns as C
 from auditlake.functions.joins import bounded_broadcast
 from auditlake.operators.identity import by_guid, by_login, resolve_names
+from auditlake.operators.views import top_n
 
 ACCESS_COLS = ["UserName", "TableNo", "TableName", "CompanyName", "Changes", "Ins", "Mod", "Del",
                "Reads", "Pages", "Access", "LastUsed"]
@@ -88,9 +89,8 @@ def table_access(change_log: DataFrame, daily: DataFrame, pages: DataFrame,
 
 def top_table_access(access: DataFrame, n: int) -> DataFrame:
     """T4: busiest rows by ``Changes + Reads`` (key columns break ties)."""
-    return (access.orderBy((F.col("Changes") + F.col("Reads")).desc(), F.col("UserName").asc_nulls_first(),
-                           F.col("TableNo").asc_nulls_first(), F.col("CompanyName").asc_nulls_first())
-            .limit(n))
+    return top_n(access, [(F.col("Changes") + F.col("Reads")).desc(), F.col("UserName").asc_nulls_first(),
+                          F.col("TableNo").asc_nulls_first(), F.col("CompanyName").asc_nulls_first()], n)
 
 
 # Fixed value: the system page that never becomes a permission.

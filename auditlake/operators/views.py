@@ -31,6 +31,34 @@ def top_rows(value) -> int:
     return n if TOP_ROWS_MIN <= n <= TOP_ROWS_MAX else TOP_ROWS_DEFAULT
 
 
+# Largest cap served by Spark's TakeOrderedAndProject (every task keeps n rows,
+# one task merges them); larger caps use the range-partitioned top-N below.
+TOPK_LOCAL_MAX = 10_000
+
+
+def top_n(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK_LOCAL_MAX) -> DataFrame:
+    """The first ``n`` rows in ``order`` (a total order), exact at any ``n``.
+
+    Small ``n``: ``orderBy().limit()`` (a bounded heap per task). Large ``n``
+    (the report cap goes up to 1,000,000): range-partition and sort by
+    ``order``, count rows per partition, turn the counts (one row per
+    partition) into rank offsets, keep rows whose global rank is <= n. No
+    task ever holds more than its own range partition, and nothing is
+    merged in one place.
+    """
+    if n <= local_max:
+        return df.orderBy(*order).limit(n)
+    s = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_pos", F.monotonically_increasing_id()
+                     - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = s.join(F.broadcast(offsets), "_pid")   # one row per partition
+    return ranked.filter(F.col("_off") + F.col("_pos") + 1 <= n).drop("_pid", "_pos", "_off")
+
+
 def _d(x) -> dt.date:
     return x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x))
 
@@ -147,18 +175,16 @@ def activity_with_last_seen(daily: DataFrame, raw: DataFrame) -> DataFrame:
 def top_activity(daily: DataFrame, raw: DataFrame, n: int = TOP_ROWS_DEFAULT) -> DataFrame:
     """The busiest activity rows (``TakeOrderedAndProject``: a bounded top-k
     per task, merged -- no global sort of the whole table)."""
-    return (activity_with_last_seen(daily, raw)
-            .orderBy(desc("TotalHits"), asc("UserName"), asc("PageId"), asc("PageName"),
-                     asc("CompanyName"))
-            .limit(top_rows(n)))
+    return top_n(activity_with_last_seen(daily, raw),
+                 [desc("TotalHits"), asc("UserName"), asc("PageId"), asc("PageName"), asc("CompanyName")],
+                 top_rows(n))
 
 
 # ---------------------------------------------------------------- T2 / T3
 def top_auth_failures(auth_daily: DataFrame, n: int = TOP_ROWS_DEFAULT) -> DataFrame:
     """Newest days first, most failures first."""
-    return (auth_daily.select("DateKey", "UserName", "ObjectId", "ObjectName", "Failures")
-            .orderBy(desc("DateKey"), desc("Failures"), asc("UserName"), asc("ObjectId"))
-            .limit(top_rows(n)))
+    return top_n(auth_daily.select("DateKey", "UserName", "ObjectId", "ObjectName", "Failures"),
+                 [desc("DateKey"), desc("Failures"), asc("UserName"), asc("ObjectId")], top_rows(n))
 
 
 def audit_view(change_log: DataFrame) -> DataFrame:
@@ -169,8 +195,7 @@ def audit_view(change_log: DataFrame) -> DataFrame:
 
 def latest_changes(change_log: DataFrame, n: int = TOP_ROWS_DEFAULT) -> DataFrame:
     """T3 + P16: the newest changes, sorted on the base table."""
-    return (change_log.orderBy(desc("ChangedAt"), asc("CompanyName"), desc("EntryNo"))
-            .limit(top_rows(n))
+    return (top_n(change_log, [desc("ChangedAt"), asc("CompanyName"), desc("EntryNo")], top_rows(n))
             .select(C.ts_text("ChangedAt").alias("ChangedAt"), "UserId", "CompanyName", "ChangeType",
                     "TableNo", "TableName", "FieldNo", "FieldName", "PrimaryKey", "OldValue",
                     "NewValue"))

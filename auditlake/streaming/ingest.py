@@ -109,7 +109,18 @@ def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame,
                       lookback: dt.timedelta | None = None) -> None:
     """One micro-batch of page views: clean, dedup, insert-if-absent, delta."""
     raw_path, delta_path = state.path(PAGE_RAW), state.path(PAGE_DELTAS)
-    views = L.scan_page_views(feed_batch)
+    # the micro-batch is read several times (bounds, anti join, quarantine):
+    # keep it for the duration of this call; a lost executor recomputes it
+    # from the replayable file source
+    views = L.scan_page_views(feed_batch).persist()
+    try:
+        _ingest_views(spark, state, views, batch_id, raw_path, delta_path)
+    finally:
+        views.unpersist()
+
+
+def _ingest_views(spark: SparkSession, state: State, views: DataFrame, batch_id: int,
+                  raw_path: str, delta_path: str) -> None:
     good, bad = L.split_quarantine(views, ["UserId"])
     order = ["Id"] if "Id" in views.columns else None
     deduped = D.dedup_batch(good, D.page_key(), order=order)
@@ -233,15 +244,19 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
     """One micro-batch of change-log pages: explode, shape, D3, append."""
     path = state.path(CHANGE_STORE)
     entries = pages_batch.select("Company", F.explode("value").alias("e")).select("Company", "e.*")
-    rows = D.dedup_batch(L.shape_change_log(entries), D.change_key())
-    if exists(spark, path):
-        lo, hi = rows.agg(F.min("EntryNo"), F.max("EntryNo")).first()
-        if lo is None:
-            return
-        hist = (spark.read.parquet(path).filter(F.col("BatchId") != batch_id)
-                .filter(F.col("EntryNo").between(F.lit(lo), F.lit(hi))))
-        rows = D.anti_join(rows, hist, D.change_key())
-    _overwrite_batch(rows.withColumn("BatchId", F.lit(batch_id).cast("long")), path, ["BatchId"])
+    rows = D.dedup_batch(L.shape_change_log(entries), D.change_key()).persist()
+    try:
+        new = rows
+        if exists(spark, path):
+            lo, hi = rows.agg(F.min("EntryNo"), F.max("EntryNo")).first()
+            if lo is None:
+                return
+            hist = (spark.read.parquet(path).filter(F.col("BatchId") != batch_id)
+                    .filter(F.col("EntryNo").between(F.lit(lo), F.lit(hi))))
+            new = D.anti_join(rows, hist, D.change_key())
+        _overwrite_batch(new.withColumn("BatchId", F.lit(batch_id).cast("long")), path, ["BatchId"])
+    finally:
+        rows.unpersist()
 
 
 CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.StructField("Company", T.StringType())])

@@ -141,3 +141,12 @@ def test_snapshot_sections(spark):
 def test_storage_inventory_rows(spark):
     out = S.storage_inventory(spark, {"region": "/root/testdata/sf0.001/region.parquet"}).first()
     assert out.Rows == 5 and out.SizeMB is not None
+
+
+def test_top_n_distributed_path_equals_heap_path(spark):
+    df = spark.range(0, 3000, numPartitions=7).select((F.col("id") % 97).alias("a"), F.col("id").alias("b"))
+    order = [F.col("a").desc(), F.col("b").asc()]
+    heap = rows(V.top_n(df, order, 500))
+    dist = rows(V.top_n(df, order, 500, local_max=10))
+    assert heap == dist and len(dist) == 500
+    assert V.top_n(df, order, 5000, local_max=10).count() == 3000
