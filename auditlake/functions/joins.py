@@ -11,14 +11,31 @@ from pyspark.sql import functions as F
 DIM_BROADCAST_MAX_ROWS = 500_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+def materialized(df: DataFrame) -> DataFrame:
+    """Compute a small derived table once and cut its lineage.
+
+    ``checkpoint()`` writes it to ``spark.checkpoint.dir`` (shared storage,
+    survives lost executors), so the size probe and the join read the
+    result instead of aggregating the large input twice.
+    """
+    from auditlake.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS,
+                      materialize: bool = False) -> DataFrame:
     """Return ``broadcast(df)`` only when ``df`` provably has <= ``max_rows`` rows.
 
     The probe is ``limit(max_rows + 1).count()``: it stops reading as soon as
     the bound is exceeded, so a huge input costs one partial scan, not a
     full one. Beyond the bound the join stays a shuffle join and AQE decides
-    at runtime from the measured shuffle size.
+    at runtime from the measured shuffle size. ``materialize`` first
+    checkpoints a dimension that is an aggregate of a large table (e.g. one
+    row per company), so that aggregate runs once.
     """
+    if materialize:
+        df = materialized(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

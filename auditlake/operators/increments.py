@@ -117,7 +117,7 @@ def next_change_rows(feed: DataFrame, stored: DataFrame, forward_cap: int = FORW
     sorting any company in one task. The reference checks its cap per
     5,000-row page and can overshoot by a page; here the cap is exact.
     """
-    edges = bounded_broadcast(company_edges(stored))
+    edges = bounded_broadcast(company_edges(stored), materialize=True)
     f = feed.join(edges, "CompanyName", "left")
     mx, mn, e = F.col("MaxEntryNo"), F.col("MinEntryNo"), F.col("EntryNo")
     phase = (F.when(mx.isNull(), "seedfill").when(e > mx, "forward")

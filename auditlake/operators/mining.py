@@ -166,7 +166,8 @@ def classify_errors(auth_daily: DataFrame, names: DataFrame) -> DataFrame:
     known tables; a quoted but unknown table reads ``(?)``."""
     cls = auth_daily.select("*", C.error_class("ObjectName").alias("ErrorClass"),
                             C.error_table_no("ObjectName").alias("TableNo"))
-    nm = bounded_broadcast(names.withColumnRenamed("TableNo", "_tno").withColumnRenamed("TableName", "_tname"))
+    nm = bounded_broadcast(names.withColumnRenamed("TableNo", "_tno").withColumnRenamed("TableName", "_tname"),
+                           materialize=True)
     j = cls.join(nm, cls["TableNo"] == F.col("_tno"), "left")
     return j.withColumn("TableName", F.when(F.col("TableNo").isNull(), F.lit(None).cast("string"))
                         .otherwise(F.coalesce(F.col("_tname"), F.lit(C.UNKNOWN_TABLE_NAME)))) \

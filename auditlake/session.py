@@ -26,6 +26,8 @@ SCALE_DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # skip capturing the Python call site of every DataFrame call (error context only)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -23,35 +23,34 @@ ZERO_GUID = "00000000-0000-0000-0000-000000000000"
 AUTH_FAILED_EVENT = "RT0031"
 
 
-def _js_k() -> Column:
-    return F.get_json_object(F.col("props"), "$.k")
+K = "get_json_object(props, '$.k')"
 
 
-def _str(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
+def _ms(c: str) -> str:
+    # millisecond precision (DATETIME2(3)); cast back so the column stays timestamp_ntz
+    return f"CAST(date_trunc('MILLISECOND', {c}) AS TIMESTAMP_NTZ)"
 
 
-def _ms(c: str) -> Column:
-    # millisecond precision (DATETIME2(3)); cast back so the column stays timestamp_ntz
-    return F.date_trunc("millisecond", F.col(c)).cast("timestamp_ntz")
+def _str(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page-view feed: every 17th PageId, 19th PageName, 23rd CompanyName NULL."""
-    eid = F.col("event_id")
-    client = F.when(eid % 6 == 0, FIXTURE_CLIENT_TYPES[0])
-    for i, name in enumerate(FIXTURE_CLIENT_TYPES[1:], start=1):
-        client = client.when(eid % 6 == i, name)
-    return read_table(spark, sf_dir, "events").select(
-        eid.alias("Id"),
-        _ms("ts").alias("Timestamp"),
-        _str("user_id").alias("UserId"),
-        _str("user_id").alias("UserName"),
-        F.when(eid % 17 == 0, F.lit(None).cast("string")).otherwise(_js_k()).alias("PageId"),
-        F.when(eid % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type")).alias("PageName"),
-        F.when(eid % 23 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("CO_"), _str(F.col("user_id") % 7))).alias("CompanyName"),
-        client.alias("ClientType"),
+    """Page-view feed: every 17th PageId, 19th PageName, 23rd CompanyName NULL.
+
+    Written as SQL expressions (``selectExpr``): one JVM-side parse instead of
+    hundreds of Python-to-JVM calls per projection.
+    """
+    clients = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(FIXTURE_CLIENT_TYPES))
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "event_id AS Id",
+        f"{_ms('ts')} AS `Timestamp`",
+        "CAST(user_id AS STRING) AS UserId",
+        "CAST(user_id AS STRING) AS UserName",
+        f"CASE WHEN event_id % 17 = 0 THEN NULL ELSE {K} END AS PageId",
+        "CASE WHEN event_id % 19 = 0 THEN NULL ELSE event_type END AS PageName",
+        "CASE WHEN event_id % 23 = 0 THEN NULL ELSE concat('CO_', CAST(user_id % 7 AS STRING)) END AS CompanyName",
+        f"CASE event_id % 6 {clients} END AS ClientType",
     )
 
 
@@ -61,45 +60,37 @@ def trace_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     Optional properties are empty strings where the feed has no value, the
     way telemetry ``tostring()`` renders a missing property.
     """
-    eid = F.col("event_id")
-    js = _js_k()
-    return read_table(spark, sf_dir, "events").select(
-        eid.alias("Id"),
-        _ms("ts").alias("Timestamp"),
-        _str("user_id").alias("UserId"),
-        F.when(F.col("event_type") == "error", F.lit(AUTH_FAILED_EVENT))
-         .otherwise(F.upper(F.col("event_type"))).alias("EventId"),
-        F.when(eid % 4 == 0, "Execute").when(eid % 4 == 1, "Read")
-         .when(eid % 4 == 2, "Insert").otherwise("").alias("PermissionType"),
-        F.when(eid % 3 == 0, "TableData").when(eid % 3 == 1, "System").otherwise("").alias("ObjectType"),
-        F.when(eid % 5 == 0, F.lit("0")).otherwise(js).alias("ObjectNo"),
-        F.when(eid % 2 == 0, F.col("event_type")).otherwise(F.lit("")).alias("ObjectName"),
-        F.when(eid % 23 == 0, F.lit(""))
-         .otherwise(F.concat(F.lit("CO_"), _str(F.col("user_id") % 7))).alias("CompanyName"),
-        F.when(eid % 3 == 0, F.concat(F.lit("The licence does not include TableData "), js))
-         .when(eid % 3 == 1, F.concat(F.lit("Missing permission: TableData "), js))
-         .otherwise(F.lit("")).alias("ErrorMessage"),
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "event_id AS Id",
+        f"{_ms('ts')} AS `Timestamp`",
+        "CAST(user_id AS STRING) AS UserId",
+        f"CASE WHEN event_type = 'error' THEN '{AUTH_FAILED_EVENT}' ELSE upper(event_type) END AS EventId",
+        "CASE event_id % 4 WHEN 0 THEN 'Execute' WHEN 1 THEN 'Read' WHEN 2 THEN 'Insert' ELSE '' END AS PermissionType",
+        "CASE event_id % 3 WHEN 0 THEN 'TableData' WHEN 1 THEN 'System' ELSE '' END AS ObjectType",
+        f"CASE WHEN event_id % 5 = 0 THEN '0' ELSE {K} END AS ObjectNo",
+        "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS ObjectName",
+        "CASE WHEN event_id % 23 = 0 THEN '' ELSE concat('CO_', CAST(user_id % 7 AS STRING)) END AS CompanyName",
+        f"CASE event_id % 3 WHEN 0 THEN concat('The licence does not include TableData ', {K}) "
+        f"WHEN 1 THEN concat('Missing permission: TableData ', {K}) ELSE '' END AS ErrorMessage",
     )
 
 
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-log entries as the ERP serves them (OData field names)."""
-    ck = F.col("o_custkey")
-    ok = F.col("o_orderkey")
-    return read_table(spark, sf_dir, "orders").select(
-        ok.alias("Entry_No"),
-        F.col("o_orderdate").alias("Date_and_Time"),
-        F.concat(F.lit("U"), _str(ck % 150)).alias("User_ID"),
-        F.concat(F.lit("CO_"), _str(ok % 7)).alias("Company"),
-        (ck % 50).cast("int").alias("Table_No"),
-        F.concat(F.lit("Table "), _str(ck % 50)).alias("Table_Caption"),
-        (ok % 20).cast("int").alias("Field_No"),
-        F.concat(F.lit("Field "), _str(ok % 20)).alias("Field_Caption"),
-        F.when(F.col("o_orderstatus") == "F", "Insertion")
-         .when(F.col("o_orderstatus") == "O", "Modification").otherwise("Deletion").alias("Type_of_Change"),
-        _str(ok).alias("Primary_Key"),
-        _str(ck).alias("Old_Value"),
-        F.col("o_orderpriority").alias("New_Value"),
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS Entry_No",
+        "o_orderdate AS Date_and_Time",
+        "concat('U', CAST(o_custkey % 150 AS STRING)) AS User_ID",
+        "concat('CO_', CAST(o_orderkey % 7 AS STRING)) AS Company",
+        "CAST(o_custkey % 50 AS INT) AS Table_No",
+        "concat('Table ', CAST(o_custkey % 50 AS STRING)) AS Table_Caption",
+        "CAST(o_orderkey % 20 AS INT) AS Field_No",
+        "concat('Field ', CAST(o_orderkey % 20 AS STRING)) AS Field_Caption",
+        "CASE o_orderstatus WHEN 'F' THEN 'Insertion' WHEN 'O' THEN 'Modification' ELSE 'Deletion' END "
+        "AS Type_of_Change",
+        "CAST(o_orderkey AS STRING) AS Primary_Key",
+        "CAST(o_custkey AS STRING) AS Old_Value",
+        "o_orderpriority AS New_Value",
     )
 
 
