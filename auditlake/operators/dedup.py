@@ -79,10 +79,13 @@ def insert_if_absent(batch: DataFrame, history: DataFrame, key: list[Column],
                      order: list[str] | None = None, prune_col: str | None = None) -> DataFrame:
     """D1 + D2 (D3 with the change-log key): the rows to append.
 
-    History is pruned to the batch's range on ``prune_col`` first.
+    History is pruned to the batch's range on ``prune_col`` first. The
+    column is part of the key, so deduplication cannot change its min/max:
+    the bounds come from a narrow scan of the raw batch, not from running
+    the deduplication an extra time.
     """
     deduped = dedup_batch(batch, key, order)
-    hist = prune_to_range(history, deduped, prune_col) if prune_col else history
+    hist = prune_to_range(history, batch, prune_col) if prune_col else history
     return anti_join(deduped, hist, key)
 
 

@@ -125,7 +125,9 @@ def _ingest_views(spark: SparkSession, state: State, views: DataFrame, batch_id:
     order = ["Id"] if "Id" in views.columns else None
     deduped = D.dedup_batch(good, D.page_key(), order=order)
     if exists(spark, raw_path):
-        lo, hi = deduped.agg(F.min("Timestamp"), F.max("Timestamp")).first()
+        # Timestamp is a key column: the bounds of the cleaned batch are the
+        # bounds of the deduplicated one, without running the dedup for them
+        lo, hi = good.agg(F.min("Timestamp"), F.max("Timestamp")).first()
         if lo is None:
             return
         # history excludes this batch's own partition: a retried batch must not
@@ -244,11 +246,12 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
     """One micro-batch of change-log pages: explode, shape, D3, append."""
     path = state.path(CHANGE_STORE)
     entries = pages_batch.select("Company", F.explode("value").alias("e")).select("Company", "e.*")
-    rows = D.dedup_batch(L.shape_change_log(entries), D.change_key()).persist()
+    shaped = L.shape_change_log(entries).persist()
+    rows = D.dedup_batch(shaped, D.change_key())
     try:
         new = rows
         if exists(spark, path):
-            lo, hi = rows.agg(F.min("EntryNo"), F.max("EntryNo")).first()
+            lo, hi = shaped.agg(F.min("EntryNo"), F.max("EntryNo")).first()
             if lo is None:
                 return
             hist = (spark.read.parquet(path).filter(F.col("BatchId") != batch_id)
@@ -256,7 +259,7 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
             new = D.anti_join(rows, hist, D.change_key())
         _overwrite_batch(new.withColumn("BatchId", F.lit(batch_id).cast("long")), path, ["BatchId"])
     finally:
-        rows.unpersist()
+        shaped.unpersist()
 
 
 CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.StructField("Company", T.StringType())])
