@@ -36,18 +36,19 @@ def top_rows(value) -> int:
 TOPK_LOCAL_MAX = 10_000
 
 
-def top_n(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK_LOCAL_MAX) -> DataFrame:
-    """The first ``n`` rows in ``order`` (a total order), exact at any ``n``.
-
-    Small ``n``: ``orderBy().limit()`` (a bounded heap per task). Large ``n``
-    (the report cap goes up to 1,000,000): range-partition and sort by
-    ``order``, count rows per partition, turn the counts (one row per
-    partition) into rank offsets, keep rows whose global rank is <= n. No
-    task ever holds more than its own range partition, and nothing is
-    merged in one place.
+def ranked_top(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK_LOCAL_MAX) -> DataFrame:
+    """The first ``n`` rows in ``order`` (a total order) with their 1-based ``_rank``.
+
+    Small ``n``: ``orderBy().limit()`` (a bounded heap per task), ranked in a
+    window over those ``n`` rows. Large ``n`` (the report cap goes up to
+    1,000,000): range-partition and sort by ``order``, count rows per
+    partition, turn the counts (one row per partition) into rank offsets, and
+    keep rows whose global rank is <= n. No task holds more than its own
+    range partition and nothing is merged in one place.
     """
     if n <= local_max:
-        return df.orderBy(*order).limit(n)
+        top = df.orderBy(*order).limit(n)
+        return top.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     s = (df.repartitionByRange(*order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_pos", F.monotonically_increasing_id()
@@ -56,7 +57,15 @@ def top_n(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK_LOCA
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     ranked = s.join(F.broadcast(offsets), "_pid")   # one row per partition
-    return ranked.filter(F.col("_off") + F.col("_pos") + 1 <= n).drop("_pid", "_pos", "_off")
+    ranked = ranked.withColumn("_rank", F.col("_off") + F.col("_pos") + 1)
+    return ranked.filter(F.col("_rank") <= n).drop("_pid", "_pos", "_off")
+
+
+def top_n(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK_LOCAL_MAX) -> DataFrame:
+    """The first ``n`` rows in ``order``, exact at any ``n`` (see ``ranked_top``)."""
+    if n <= local_max:
+        return df.orderBy(*order).limit(n)
+    return ranked_top(df, order, n, local_max).drop("_rank")
 
 
 def _d(x) -> dt.date:
@@ -250,12 +259,16 @@ def top_groups(df: DataFrame, group: str, value: str, n: int,
 
 
 # ---------------------------------------------------------------- T8 / T9
-def page_of_rows(df: DataFrame, order: list[Column], page: int, page_size: int | None) -> DataFrame:
-    """One page of a totally ordered table (``page_size=None`` = all rows)."""
-    ordered = df.orderBy(*order)
+def page_of_rows(df: DataFrame, order: list[Column], page: int, page_size: int | None,
+                 local_max: int = TOPK_LOCAL_MAX) -> DataFrame:
+    """One page of a totally ordered table (``page_size=None`` = all rows,
+    a range-partitioned sort). Deep pages use the distributed ranking, so
+    ``offset`` never makes one task hold every row before the page."""
     if page_size is None:
-        return ordered
-    return ordered.offset(page * page_size).limit(page_size)
+        return df.orderBy(*order)
+    first = page * page_size
+    top = ranked_top(df, order, first + page_size, local_max)
+    return top.filter(F.col("_rank") > first).drop("_rank")
 
 
 # ---------------------------------------------------------------- A18

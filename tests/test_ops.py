@@ -150,3 +150,13 @@ def test_top_n_distributed_path_equals_heap_path(spark):
     dist = rows(V.top_n(df, order, 500, local_max=10))
     assert heap == dist and len(dist) == 500
     assert V.top_n(df, order, 5000, local_max=10).count() == 3000
+
+
+def test_page_of_rows_deep_pages_match(spark):
+    df = spark.range(0, 2500, numPartitions=5).select((F.col("id") * 7 % 2500).alias("v"))
+    order = [F.col("v").desc()]
+    for page in (0, 3, 24):
+        a = rows(V.page_of_rows(df, order, page, 100))
+        b = rows(V.page_of_rows(df, order, page, 100, local_max=10))
+        exp = sorted([(v,) for v in range(2499 - page * 100, 2499 - page * 100 - 100, -1)], key=repr)
+        assert a == b == exp
