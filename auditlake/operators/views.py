@@ -91,18 +91,24 @@ def page_activity(raw: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A4 / P10
 def kpi(daily: DataFrame, auth_daily: DataFrame, as_of, page_days: int = 30,
-        fail_days: int = 14) -> DataFrame:
+        fail_days: int = 14, approx_rsd: float | None = None) -> DataFrame:
     """A4: the KPI row.
 
     ``DateKey >= as_of - 30`` covers 31 calendar days, like the reference.
     The two sources are aggregated separately to one row each and combined
     by ``union`` + a global ``max`` -- no join, no cartesian product. Empty
-    windows give 0, and ``'?'`` counts as a page.
+    windows give 0, and ``'?'`` counts as a page. ``approx_rsd`` switches the
+    two distinct counts to HyperLogLog++ sketches (one pass, no distinct
+    shuffle) for very large windows; the default is exact.
     """
     as_of = _d(as_of)
+
+    def distinct(c):
+        return F.count_distinct(c) if approx_rsd is None else F.approx_count_distinct(c, approx_rsd)
+
     pages = (daily.filter(F.col("DateKey") >= F.lit(as_of - dt.timedelta(days=page_days)))
-             .agg(F.count_distinct("UserName").alias("ActiveUsers30d"),
-                  F.count_distinct("PageId").alias("DistinctPages30d"),
+             .agg(distinct("UserName").alias("ActiveUsers30d"),
+                  distinct("PageId").alias("DistinctPages30d"),
                   F.coalesce(F.sum("Hits"), F.lit(0)).cast("long").alias("Hits30d"))
              .withColumn("AuthFails14d", F.lit(None).cast("long")))
     fails = (auth_daily.filter(F.col("DateKey") >= F.lit(as_of - dt.timedelta(days=fail_days)))

@@ -73,3 +73,12 @@ def test_bucketed_top_n_matches_row_number_with_gaps_and_skew(spark):
             for r in got.collect():
                 res.setdefault(r.CompanyName, []).append(r.EntryNo)
             assert {k: sorted(v) for k, v in res.items()} == exp
+
+
+def test_purged_company_is_seeded_again_by_the_next_run(spark):
+    # SURVEY §5 #5: a purged company that is still selected comes back from its newest block
+    f = feed(spark, [("A", 1, 50), ("B", 1, 50)])
+    stored_after_purge = f.filter(F.col("CompanyName") == "A")
+    out = I.next_change_rows(f, stored_after_purge, forward_cap=10, backfill_cap=0, seed_rows=5)
+    assert rows(out.filter(F.col("CompanyName") == "B"), "EntryNo", "Phase") == [
+        (46, "seed"), (47, "seed"), (48, "seed"), (49, "seed"), (50, "seed")]

@@ -90,3 +90,28 @@ def test_error_classes_with_unknown_table(spark):
     out = rows(M.classify_errors(ad, names), "ErrorClass", "TableNo", "TableName")
     assert out == sorted([("LICENCE", 18, "Customer"), ("MISSING_ROLE", 5404718, "(?)"),
                           ("MISSING_ROLE", None, None)], key=repr)
+
+
+def test_renamed_page_splits_activity_rows_sharing_last_seen(spark):
+    from auditlake.operators import views as V
+    raw = spark.createDataFrame([
+        (dt.datetime(2024, 1, 5, 8), "g", "21", "Old name", "CO"),
+        (dt.datetime(2024, 1, 6, 9, 15, 30, 250000), "g", "21", "New name", "CO")],
+        "Timestamp timestamp_ntz, UserName string, PageId string, PageName string, CompanyName string")
+    from auditlake.operators import rollup as R
+    daily = R.daily_page_rollup(raw)
+    out = rows(V.activity_with_last_seen(daily, raw), "PageName", "TotalHits", "LastUsed")
+    assert out == [("New name", 1, "2024-01-06 09:15:30"), ("Old name", 1, "2024-01-06 09:15:30")]
+
+
+def test_kpi_exact_and_approximate(spark):
+    from auditlake.operators import views as V
+    daily = spark.createDataFrame([(D1, f"u{i % 7}", str(i % 5), "n", "CO", 1) for i in range(40)], DAILY)
+    fails = spark.createDataFrame([(D1, "g", "o", "n", 3)],
+                                  "DateKey date, UserName string, ObjectId string, ObjectName string, Failures long")
+    exact = V.kpi(daily, fails, dt.date(2024, 1, 15)).first()
+    assert (exact.ActiveUsers30d, exact.DistinctPages30d, exact.Hits30d, exact.AuthFails14d) == (7, 5, 40, 3)
+    approx = V.kpi(daily, fails, dt.date(2024, 1, 15), approx_rsd=0.01).first()
+    assert (approx.ActiveUsers30d, approx.DistinctPages30d) == (7, 5)
+    empty = V.kpi(daily, fails, dt.date(2025, 1, 1)).first()
+    assert (empty.ActiveUsers30d, empty.Hits30d, empty.AuthFails14d) == (0, 0, 0)
