@@ -160,3 +160,27 @@ def test_page_of_rows_deep_pages_match(spark):
         b = rows(V.page_of_rows(df, order, page, 100, local_max=10))
         exp = sorted([(v,) for v in range(2499 - page * 100, 2499 - page * 100 - 100, -1)], key=repr)
         assert a == b == exp
+
+
+def test_settings_validation():
+    from auditlake.plans.snapshot import Settings
+    s = Settings(page_retention_months=0, audit_retention_months="36", top_rows=50,
+                 enabled_companies=[" CO_1", "", "CO_1", "CO_2"], stale_hours=-1).validated()
+    assert (s.page_retention_months, s.audit_retention_months, s.top_rows) == (6, 36, 5000)
+    assert s.enabled_companies == ["CO_1", "CO_2"] and s.stale_hours == 24.0
+    assert Settings().validated().enabled_companies is None
+
+
+def test_full_snapshot_from_stored_tables(spark):
+    import datetime as _dt
+    from auditlake.plans import tables as TB
+    from auditlake.plans.snapshot import Settings, snapshot_sections, write_dashboard_snapshot
+    sf = "/root/testdata/sf0.001"
+    secs = snapshot_sections(TB.page_daily(spark, sf), TB.page_log(spark, sf), TB.auth_fail_daily(spark, sf),
+                             TB.change_log(spark, sf), TB.users(spark, sf), TB.page_map(spark, sf),
+                             _dt.date(2024, 1, 31), Settings(top_rows=100))
+    d = tempfile.mkdtemp(prefix="al-dash-") + "/snap"
+    write_dashboard_snapshot(secs, d, _dt.datetime(2024, 1, 31, 12))
+    assert spark.read.json(d + "/changeLog").count() == 100
+    assert spark.read.json(d + "/pageMapCount").first().PageMapCount == TB.page_map(spark, sf).count()
+    assert set(secs) >= {"kpi", "trend", "tableAccess", "userActivity", "authFails", "ranges"}
