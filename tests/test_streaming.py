@@ -87,3 +87,19 @@ def test_change_batches_dedup_across_runs(spark):
     ST.ingest_change_batch(spark, state, spark.createDataFrame([page("A", 4, 9), page("A", 4, 9)], schema), 2)
     out = ST.stored_change_log(spark, state)
     assert out.count() == 8 + 2 and out.select("CompanyName", "EntryNo").distinct().count() == 10
+
+
+def test_processing_time_trigger_keeps_running_and_ingests_new_files(spark):
+    root = tempfile.mkdtemp(prefix="al-ptime-")
+    landing, state = f"{root}/landing", ST.State(f"{root}/state")
+    views(spark, 0, 6).write.parquet(landing)
+    q = ST.run_page_stream(spark, landing, state, views(spark, 0, 1).schema, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        assert ST.stored_page_log(spark, state).count() == 6
+        views(spark, 6, 4).write.mode("append").parquet(landing)
+        q.processAllAvailable()
+        assert ST.stored_page_log(spark, state).count() == 10
+        assert q.isActive
+    finally:
+        q.stop()
