@@ -95,6 +95,8 @@ def drop_partitions_before(spark: SparkSession, table_path: str, part_col: str,
     Only directory metadata is touched (no data is read); the edge partition
     is rewritten separately by ``rewrite_partition``.
     """
+    from auditlake.sources.sinks import recover_table
+    recover_table(spark, table_path)
     fs, root = _fs(spark, table_path)
     dropped = []
     if not fs.exists(root):
@@ -117,16 +119,17 @@ def rewrite_partition(spark: SparkSession, table_path: str, part_col: str, value
     """Rewrite one partition with only the rows satisfying ``keep``.
 
     Rows are first written to ``staging`` (shared storage, keeping any
-    nested partitioning), then the old partition directory is replaced, so a
-    failure never loses kept rows.
+    nested partitioning), then swapped in with a crash-safe folder swap, so
+    a failure at any point never loses kept rows.
     """
-    part = f"{table_path.rstrip('/')}/{part_col}={value}"
-    fs, p = _fs(spark, part)
+    from auditlake.sources.sinks import recover_table, swap_partitions
+    recover_table(spark, table_path)
+    part = f"{part_col}={value}"
+    fs, p = _fs(spark, f"{table_path.rstrip('/')}/{part}")
     if not fs.exists(p):
         return
-    w = spark.read.parquet(part).filter(keep).write.mode("overwrite")
+    w = spark.read.parquet(f"{table_path.rstrip('/')}/{part}").filter(keep).write.mode("overwrite")
     if sub_partitions:
         w = w.partitionBy(*sub_partitions)
-    w.parquet(staging)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, staging)[1], p)
+    w.parquet(f"{staging.rstrip('/')}/{part}")
+    swap_partitions(spark, table_path, staging, [part])

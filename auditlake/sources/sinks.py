@@ -90,3 +90,58 @@ def storage_inventory(spark: SparkSession, datasets: dict[str, str]) -> DataFram
     return (out.select("Dataset", "Rows",
                        (F.col("Bytes") / F.lit(1024.0 * 1024.0)).cast("decimal(18,1)").alias("SizeMB"))
             .orderBy(F.col("SizeMB").desc(), F.col("Dataset")))
+
+
+# ---------------------------------------------------------------- partition swaps
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+REPLACED = ".replaced_"   # hidden prefix: Spark's file listing always skips names starting with "."
+
+
+def recover_table(spark: SparkSession, table_path: str) -> list[str]:
+    """Finish or undo interrupted swaps: a ``.replaced_<part>`` whose ``<part>``
+    is missing is put back; one whose ``<part>`` exists is deleted."""
+    fs, root = _fs(spark, table_path)
+    fixed = []
+    if not fs.exists(root):
+        return fixed
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not name.startswith(REPLACED):
+            continue
+        target = _fs(spark, f"{table_path.rstrip('/')}/{name[len(REPLACED):]}")[1]
+        if fs.exists(target):
+            fs.delete(st.getPath(), True)
+        else:
+            fs.rename(st.getPath(), target)
+            fixed.append(name[len(REPLACED):])
+    return fixed
+
+
+def swap_partitions(spark: SparkSession, table_path: str, staging_path: str, parts: list[str]) -> None:
+    """Replace partition folders ``parts`` (e.g. ``DateKey=2024-01-02``) of a table
+    by their staged copies; a part missing from staging is removed.
+
+    Every step is a rename or a delete of one folder, ordered so that at any
+    crash point each partition is either the old or the new version, or the
+    old one sits under ``.replaced_<part>`` for ``recover_table`` to restore.
+    """
+    base = table_path.rstrip("/")
+    for part in parts:
+        fs, target = _fs(spark, f"{base}/{part}")
+        staged = _fs(spark, f"{staging_path.rstrip('/')}/{part}")[1]
+        old = _fs(spark, f"{base}/{REPLACED}{part}")[1]
+        if fs.exists(old):
+            fs.delete(old, True)
+        if fs.exists(target):
+            fs.rename(target, old)
+        if fs.exists(staged):
+            parent = target.getParent()
+            if not fs.exists(parent):
+                fs.mkdirs(parent)
+            fs.rename(staged, target)
+        fs.delete(old, True)

@@ -28,6 +28,7 @@ from auditlake.operators import increments as I
 from auditlake.operators import retention as RT
 from auditlake.operators import rollup as R
 from auditlake.sources import landing as L
+from auditlake.sources.sinks import recover_table, swap_partitions
 from auditlake.streaming import ingest as ST
 
 AUTH_RAW = "auth_fail_raw"
@@ -51,13 +52,13 @@ def upsert_date_partitions(spark: SparkSession, path: str, updates: DataFrame, k
     touched = [r[0] for r in updates.select(part_col).distinct().collect()]
     if not touched:
         return []
+    recover_table(spark, path)
     merged = updates
     if ST.exists(spark, path):
         existing = spark.read.parquet(path).filter(F.col(part_col).isin(touched))
         merged = D.keyed_replace(existing.select(*updates.columns), updates, key)
     merged.write.mode("overwrite").partitionBy(part_col).parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(part_col).parquet(path))
+    swap_partitions(spark, path, staging, [f"{part_col}={v}" for v in touched])
     return touched
 
 
@@ -96,6 +97,7 @@ def rewrite_batches(spark: SparkSession, path: str, keep, staging: str) -> int:
     """
     if not ST.exists(spark, path):
         return 0
+    recover_table(spark, path)
     df = spark.read.parquet(path)
     gone = df.filter(~keep).groupBy("BatchId").agg(F.count(F.lit(1)).alias("n")).collect()
     if not gone:
@@ -103,15 +105,7 @@ def rewrite_batches(spark: SparkSession, path: str, keep, staging: str) -> int:
     affected = [r.BatchId for r in gone]
     df.filter(F.col("BatchId").isin(affected) & keep).write.mode("overwrite") \
         .partitionBy("BatchId").parquet(staging)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for b in affected:
-        dst = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/BatchId={b}")
-        src = jvm.org.apache.hadoop.fs.Path(f"{staging.rstrip('/')}/BatchId={b}")
-        fs = dst.getFileSystem(conf)
-        fs.delete(dst, True)
-        if fs.exists(src):
-            fs.rename(src, dst)
+    swap_partitions(spark, path, staging, [f"BatchId={b}" for b in affected])
     return sum(r.n for r in gone)
 
 

@@ -184,3 +184,21 @@ def test_full_snapshot_from_stored_tables(spark):
     assert spark.read.json(d + "/changeLog").count() == 100
     assert spark.read.json(d + "/pageMapCount").first().PageMapCount == TB.page_map(spark, sf).count()
     assert set(secs) >= {"kpi", "trend", "tableAccess", "userActivity", "authFails", "ranges"}
+
+
+def test_partition_swap_recovers_from_interrupted_swap(spark):
+    from auditlake.sources import sinks as SK
+    base = tempfile.mkdtemp(prefix="al-swap-")
+    t = base + "/t"
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, p string").write.partitionBy("p").parquet(t)
+    # simulate a crash right after the old partition was moved aside
+    fs, src = SK._fs(spark, t + "/p=a")
+    fs.rename(src, SK._fs(spark, t + "/.replaced_p=a")[1])
+    assert rows(spark.read.parquet(t), "k") == [(2,)]
+    assert SK.recover_table(spark, t) == ["p=a"]
+    assert rows(spark.read.parquet(t), "k") == [(1,), (2,)]
+    # a normal swap: new content in, missing staged part removed
+    stg = base + "/stg"
+    spark.createDataFrame([(10, "a")], "k int, p string").write.partitionBy("p").parquet(stg)
+    SK.swap_partitions(spark, t, stg, ["p=a", "p=b"])
+    assert rows(spark.read.parquet(t), "k") == [(10,)]
