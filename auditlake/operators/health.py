@@ -56,12 +56,15 @@ def freshness(newest: DataFrame, as_of: dt.datetime, stale_hours: float = STALE_
 
 
 def feed_status_age(status: DataFrame, as_of: dt.datetime, stale_hours: float = STATUS_STALE_HOURS) -> DataFrame:
-    """H2: minutes since the last feed check (JS ``Math.round``: half up) and
-    ``stale = ok and age > 26 h``; unknown check time stays NULL, never 0."""
+    """H2: minutes since the last feed check, ``max(0, Math.round(...))`` (JS
+    rounds half up), and ``stale = ok is true and age known and age > 26 h``.
+    An unknown check time keeps the age NULL (never 0) and is not stale."""
     mins = F.timestamp_diff("MICROSECOND", F.col("CheckedAt"), F.lit(as_of).cast("timestamp_ntz")) / F.lit(6.0e7)
-    age = F.floor(mins + F.lit(0.5)).cast("long")
-    return status.select("*", age.alias("AgeMinutes"),
-                         (F.col("Ok") & (age > F.lit(int(stale_hours * 60)))).alias("Stale"))
+    rounded = F.floor(mins + F.lit(0.5))
+    age = F.when(rounded.isNotNull(), F.greatest(F.lit(0), rounded)).cast("long")
+    stale = (F.coalesce(F.col("Ok"), F.lit(False)) & age.isNotNull()
+             & F.coalesce(age > F.lit(int(stale_hours * 60)), F.lit(False)))
+    return status.select("*", age.alias("AgeMinutes"), stale.alias("Stale"))
 
 
 def step_status(log_lines: DataFrame, steps: list[str]) -> DataFrame:

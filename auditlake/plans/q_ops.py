@@ -260,10 +260,10 @@ def import_rollback(spark, sf_dir):
 
 @query("feed_status_age", "H2 A18", sql("""
 SELECT Section AS Module, true AS Ok, Newest AS CheckedAt,
-       CAST(floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5) AS BIGINT)
-         AS AgeMinutes,
-       CAST(floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5) AS BIGINT)
-         > 1560 AS Stale
+       CAST(greatest(0, floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5))
+            AS BIGINT) AS AgeMinutes,
+       COALESCE(greatest(0, floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0
+                + 0.5)) > 1560, false) AS Stale
 FROM newest""", "newest"))
 def feed_status_age(spark, sf_dir):
     """Status age per module (minutes, rounded half up) and staleness beyond 26 h."""

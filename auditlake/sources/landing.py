@@ -209,12 +209,16 @@ def read_user_directory(directory: DataFrame) -> DataFrame:
     """S5 + P7: directory rows in the stored user shape.
 
     Security ids are brace-stripped and trimmed; rows without one are skipped;
-    an empty telemetry id becomes NULL; undetected optional fields are NULL.
+    an empty telemetry id becomes NULL. A detected optional field renders a
+    missing value as '' (text conversion of a null), an undetected field is
+    NULL.
     """
     f = detect_user_fields(directory.columns)
 
     def opt(target):
-        return (F.col(f[target]).cast("string") if f[target] else F.lit(None).cast("string")).alias(target)
+        if not f[target]:
+            return F.lit(None).cast("string").alias(target)
+        return F.coalesce(F.col(f[target]).cast("string"), F.lit("")).alias(target)
 
     tel = C.clean_guid(F.col(f["TelemetryUserId"]).cast("string"))
     return (directory

@@ -72,7 +72,9 @@ def test_feed_status_age_expiry_and_overall(spark):
                                 (True, None)], "Ok boolean, CheckedAt timestamp_ntz")
     out = H.feed_status_age(st, now).collect()
     assert out[0].AgeMinutes == 1561 and out[0].Stale is True      # 1560.5 min rounds half up
-    assert out[1].Stale is False and out[2].AgeMinutes is None and out[2].Stale is None
+    assert out[1].Stale is False and out[2].AgeMinutes is None and out[2].Stale is False
+    future = spark.createDataFrame([(True, dt.datetime(2024, 2, 1))], "Ok boolean, CheckedAt timestamp_ntz")
+    assert H.feed_status_age(future, now).first().AgeMinutes == 0
     sec = spark.createDataFrame([("sp", dt.datetime(2024, 2, 5)), ("sp2", dt.datetime(2024, 3, 1)),
                                  ("sp3", dt.datetime(2025, 1, 1))], "Name string, ExpiresAt timestamp_ntz")
     lv = {r.Name: (r.DaysLeft, r.Level) for r in H.expiry(sec, now, 30).collect()}

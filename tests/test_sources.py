@@ -44,6 +44,9 @@ def test_user_directory_rows(spark):
                                "fullName string, authenticationEmail string, state string")
     out = L.read_user_directory(df)
     assert rows(out, "UserSecurityId", "TelemetryUserId") == [("S1", "G1"), ("S3", None)]
+    assert rows(out, "UserSecurityId", "FullName", "State") == [("S1", "Alice", "Enabled"), ("S3", "", "")]
+    no_state = L.read_user_directory(df.drop("state"))
+    assert {r.State for r in no_state.collect()} == {None}
 
 
 def test_page_map_parse_js_rules(spark):
