@@ -115,7 +115,7 @@ def reconcile_cloud_count(per_company: DataFrame, local_count: DataFrame) -> Dat
     s = per_company.groupBy("Module").agg(F.sum("Count").cast("long").alias("CloudSum"),
                                           F.bool_or("Failed").alias("AnyFailed"))
     j = s.join(local_count, "Module", "left")
-    shown = (F.when(F.col("AnyFailed") | ((F.col("CloudSum") == 0) & (F.col("LocalCount") > 0)),
+    shown = (F.when(F.col("AnyFailed") | ((F.coalesce(F.col("CloudSum"), F.lit(0)) == 0) & (F.col("LocalCount") > 0)),
                     F.col("LocalCount")).otherwise(F.col("CloudSum")))
     return j.select("Module", "CloudSum", "LocalCount", "AnyFailed", shown.alias("CloudShown"))
 

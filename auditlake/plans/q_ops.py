@@ -295,6 +295,30 @@ def sync_status_upsert(spark, sf_dir):
     return D.keyed_replace(yesterday, today, [F.col("Module")])
 
 
+# Fixed scenario parameter: a company whose cloud count could not be read this run.
+UNCOUNTED_COMPANY = "CO_3"
+
+
+@query("sync_reconciled", "H6 A15", sql("""
+SELECT 'B' AS Module, CAST(SUM(n) AS BIGINT) AS CloudSum, (SELECT COUNT(*) FROM cl_stored) AS LocalCount,
+       bool_or(failed) AS AnyFailed,
+       CASE WHEN bool_or(failed) OR (COALESCE(SUM(n), 0) = 0 AND (SELECT COUNT(*) FROM cl_stored) > 0)
+            THEN (SELECT COUNT(*) FROM cl_stored) ELSE CAST(SUM(n) AS BIGINT) END AS CloudShown
+FROM (SELECT CompanyName, CASE WHEN CompanyName = 'CO_3' THEN NULL ELSE COUNT(*) END AS n,
+             CompanyName = 'CO_3' AS failed
+      FROM change_log GROUP BY CompanyName) c""", "change_log", "cl_stored"))
+def sync_reconciled(spark, sf_dir):
+    """Module B's cloud count summed over companies; one company's count failed,
+    so the stored count is shown instead of a misleading partial sum."""
+    per_company = (TB.change_rows(spark, sf_dir).groupBy("CompanyName").agg(F.count(F.lit(1)).alias("n"))
+                   .select(F.lit("B").alias("Module"),
+                           F.when(F.col("CompanyName") == UNCOUNTED_COMPANY, F.lit(None).cast("long"))
+                           .otherwise(F.col("n")).alias("Count"),
+                           (F.col("CompanyName") == UNCOUNTED_COMPANY).alias("Failed")))
+    local = H.module_count(_stored_subset(spark, sf_dir), "B", "LocalCount")
+    return H.reconcile_cloud_count(per_company, local)
+
+
 EXPORT_COLS = ("EntryNo", "ChangedAt", "UserId", "CompanyName", "TableNo", "TableName", "FieldNo", "FieldName",
                "ChangeType", "PrimaryKey", "OldValue", "NewValue")
 
