@@ -2,7 +2,7 @@
 
 ``page_log`` (raw page views), ``page_daily``, ``auth_fail_raw``,
 ``auth_fail_daily``, ``change_log``, ``users`` and ``page_map`` are what the
-ingest pipelines (``auditlake.streaming``) keep on storage; here they are
+ingest jobs (``auditlake.streaming``) keep on storage; here they are
 recomputed from the feeds in one batch, which is what a first full load
 produces.
 """

@@ -1,4 +1,4 @@
-"""The daily run as one pipeline with modes ``ingest`` / ``repull`` / ``purge``.
+"""The daily run with modes ``ingest`` / ``repull`` / ``purge``.
 
 State lives under one shared root (on a cluster: below ``spark.checkpoint.dir``):
 
@@ -162,7 +162,7 @@ def upsert_status(spark: SparkSession, state: ST.State, rows: DataFrame) -> Data
 
 
 @dataclass
-class Pipeline:
+class DailyRun:
     """One scheduled run over landed feeds.
 
     ``page_landing`` / ``change_landing`` are landing folders read by

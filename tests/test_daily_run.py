@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import health as H
 from auditlake.streaming import ingest as ST
-from auditlake.streaming.pipeline import AUTH_DAILY, AUTH_RAW, Pipeline
+from auditlake.streaming.daily_run import AUTH_DAILY, AUTH_RAW, DailyRun
 
 FEED = "Id long, Timestamp timestamp_ntz, UserId string, UserName string, PageId string, PageName string, " \
        "CompanyName string, ClientType string"
@@ -38,13 +38,13 @@ def land_changes(spark, landing, company, lo, hi):
     ST.land_change_pages(entries, landing)
 
 
-def test_pipeline_modes(spark):
+def test_daily_run_modes(spark):
     root = tempfile.mkdtemp(prefix="al-pipe-")
     pages, changes = f"{root}/landing/pages", f"{root}/landing/changes"
     page_rows(spark, 0, 48).write.parquet(pages)
     land_changes(spark, changes, "CO_A", 1, 30)
     land_changes(spark, changes, "CO_B", 1, 10)
-    p = Pipeline(spark, f"{root}/state", page_landing=pages, page_schema=page_rows(spark, 0, 1).schema,
+    p = DailyRun(spark, f"{root}/state", page_landing=pages, page_schema=page_rows(spark, 0, 1).schema,
                  change_landing=changes, traces=traces(spark, 0, 30))
     p.run("ingest")
     raw = lambda: ST.stored_page_log(spark, p.pages).count()          # noqa: E731
@@ -80,7 +80,7 @@ def test_pipeline_modes(spark):
 
 def test_status_upsert_per_module(spark):
     root = tempfile.mkdtemp(prefix="al-status-")
-    p = Pipeline(spark, root)
+    p = DailyRun(spark, root)
     cloud = [spark.createDataFrame([("A", 10)], "Module string, CloudCount long")]
     page_rows(spark, 0, 5).write.parquet(f"{root}/l")
     p.page_landing, p.page_schema = f"{root}/l", page_rows(spark, 0, 1).schema
