@@ -36,10 +36,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS,
     """
     if materialize:
         df = materialized(df)
-    n = df.limit(max_rows + 1).count()
+    n = _probe_rows(df, max_rows + 1)
     return F.broadcast(df) if n <= max_rows else df
 
 
+# Probe results per (plan, input files): the same dimension built again over
+# unchanged files is not counted again; a new or changed file set re-probes.
+_PROBED: dict = {}
+
+
+def _probe_rows(df: DataFrame, limit: int) -> int:
+    try:
+        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), limit)
+    except Exception:  # noqa: BLE001 -- plans without a stable identity are simply not memoised
+        key = None
+    if key is not None and key in _PROBED:
+        return _PROBED[key]
+    n = df.limit(limit).count()
+    if key is not None:
+        _PROBED[key] = n
+    return n
+
+
 def keep_one(df: DataFrame, keys: list, order: list, last: bool = False) -> DataFrame:
     """One row per key; the survivor has the smallest (``last``: largest) ``order``.
 
