@@ -72,6 +72,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            # a machine-local folder is invisible to other executors and lost
+            # with the machine: refuse instead of guessing
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="auditlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
