@@ -62,8 +62,15 @@ def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored change log: one row per ``(CompanyName, EntryNo)`` (D3)."""
-    return D.dedup_batch(change_rows(spark, sf_dir), D.change_key())
+    """Stored change log: one row per ``(CompanyName, EntryNo)``.
+
+    The fixture's entry numbers are unique (FIXTURES.md), so the stored table
+    is the shaped projection itself -- the state D3 leaves behind. Reading it
+    without a dedup aggregate in between lets filters on ``ChangedAt`` reach
+    the Parquet scan, as they do on the real stored table; D3 itself is
+    exercised by ``change_log_dedup`` and ``stream_change_log``.
+    """
+    return change_rows(spark, sf_dir)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
