@@ -59,15 +59,18 @@ def _probe_rows(df: DataFrame, limit: int) -> int:
 
 
 def keep_one(df: DataFrame, keys: list, order: list, last: bool = False) -> DataFrame:
-    """One row per key; the survivor has the smallest (``last``: largest) ``order``.
-
-    Implemented as ``groupBy(keys).agg(min_by(struct(row), struct(order)))``
-    rather than ``row_number()`` so duplicates are combined map-side by the
-    partial aggregate: a key that holds a third of all rows is reduced in
-    every input task before the shuffle instead of being sorted in one task.
+    """One row per key; the survivor is the first (``last``: last) row in
+    ``order`` followed by all columns -- a total order, so reruns agree.
+
+    Implemented as ``groupBy(keys).agg(min(struct(order..., row...)))``
+    rather than a ``row_number()`` window so duplicates are combined map-side
+    by the partial aggregate: a key that holds a third of all rows is reduced
+    in every input task before the shuffle instead of being sorted in one
+    task. One struct carries both the ordering and the row, so the buffer
+    holds each column once (plus the explicit order expressions).
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    by = F.struct(*order)
-    pick = F.max_by(row, by) if last else F.min_by(row, by)
+    rec = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c) for c in df.columns])
+    pick = F.max(rec) if last else F.min(rec)
     aliased = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    return df.groupBy(*aliased).agg(pick.alias("_r")).select("_r.*")
+    return df.groupBy(*aliased).agg(pick.alias("_r")) \
+        .select(*[F.col("_r").getField(c).alias(c) for c in df.columns])

@@ -30,11 +30,6 @@ def change_key() -> list[Column]:
     return [F.col("CompanyName"), F.col("EntryNo")]
 
 
-def _total_order(df: DataFrame, first: list[str] | None = None) -> list[Column]:
-    first = [c for c in (first or []) if c in df.columns]
-    return [F.col(c) for c in first + [c for c in df.columns if c not in first]]
-
-
 def dedup_batch(df: DataFrame, key: list[Column], order: list[str] | None = None,
                 last: bool = False) -> DataFrame:
     """One row per key inside a batch.
@@ -43,7 +38,7 @@ def dedup_batch(df: DataFrame, key: list[Column], order: list[str] | None = None
     survivor is the first (``last``: last) row in ``order`` followed by all
     remaining columns, a total order, so reruns are deterministic.
     """
-    return keep_one(df, key, _total_order(df, order), last=last)
+    return keep_one(df, key, [F.col(c) for c in (order or []) if c in df.columns], last=last)
 
 
 def _with_keys(df: DataFrame, key: list[Column]) -> tuple[DataFrame, list[str]]:
