@@ -141,8 +141,9 @@ def _ingest_views(spark: SparkSession, state: State, views: DataFrame, batch_id:
         new = deduped
     tagged = new.withColumn("DateKey", F.to_date("Timestamp")).withColumn("BatchId", F.lit(batch_id).cast("long"))
     _overwrite_batch(tagged, raw_path, ["DateKey", "BatchId"])
-    _overwrite_batch(bad.withColumn("BatchId", F.lit(batch_id).cast("long")),
-                     state.path(PAGE_QUARANTINE), ["BatchId"])
+    if bad.limit(1).count() > 0:      # a cheap check on the persisted batch saves an empty write job
+        _overwrite_batch(bad.withColumn("BatchId", F.lit(batch_id).cast("long")),
+                         state.path(PAGE_QUARANTINE), ["BatchId"])
     # the delta is computed from exactly what was stored for this batch
     stored = spark.read.parquet(raw_path).filter(F.col("BatchId") == batch_id)
     _overwrite_batch(R.daily_delta(stored.drop("DateKey", "BatchId"), batch_id), delta_path, ["BatchId"])

@@ -103,3 +103,12 @@ def test_processing_time_trigger_keeps_running_and_ingests_new_files(spark):
         assert q.isActive
     finally:
         q.stop()
+
+
+def test_quarantined_rows_are_kept_aside(spark):
+    state = ST.State(tempfile.mkdtemp(prefix="al-quar-"))
+    batch = views(spark, 0, 4).withColumn("UserId", F.when(F.col("Id") == 2, F.lit("")).otherwise(F.col("UserId")))
+    ST.ingest_page_batch(spark, state, batch, 7)
+    assert ST.stored_page_log(spark, state).count() == 3
+    q = spark.read.parquet(state.path(ST.PAGE_QUARANTINE))
+    assert [(r.Id, r.BatchId) for r in q.collect()] == [(2, 7)]
