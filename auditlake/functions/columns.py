@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 INTERACTIVE_CLIENTS = ["WebClient", "Web", "Desktop", "Tablet", "Phone"]
 # substitute for a NULL key in daily aggregates
 MISSING_KEY = "?"
+# event id of "Authorization Failed" traces (module C feed filter)
+AUTH_FAILED_EVENT = "RT0031"
+# the all-zero GUID a user without telemetry carries
+ZERO_GUID = "00000000-0000-0000-0000-000000000000"
 # separator between parts of a permission-error label (U+00B7 middle dot)
 LABEL_SEP = " · "
 # label lengths: ObjectId 50, ObjectName 200

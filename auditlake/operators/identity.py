@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
 from auditlake.functions.joins import bounded_broadcast, keep_one
-from auditlake.sources.fixtures import ZERO_GUID
 
 
 def user_map(users: DataFrame) -> DataFrame:
@@ -17,7 +16,7 @@ def user_map(users: DataFrame) -> DataFrame:
     are excluded.
     """
     tel = F.col("TelemetryUserId")
-    return (users.filter(tel.isNotNull() & (F.trim(tel) != "") & (tel != ZERO_GUID))
+    return (users.filter(tel.isNotNull() & (F.trim(tel) != "") & (tel != C.ZERO_GUID))
             .select(tel.alias("UserId"),
                     C.display_name("FullName", "UserName", "TelemetryUserId").alias("Name")))
 

@@ -117,7 +117,7 @@ def sync_status(spark, sf_dir):
     cloud = [H.module_count(views, "A", "CloudCount"),
              H.module_count(views.filter(C.is_interactive("ClientType")), "A", "CloudInteractive"),
              H.module_count(TB.change_rows(spark, sf_dir), "B", "CloudCount"),
-             H.module_count(X.trace_feed(spark, sf_dir).filter(F.col("EventId") == X.AUTH_FAILED_EVENT),
+             H.module_count(X.trace_feed(spark, sf_dir).filter(F.col("EventId") == C.AUTH_FAILED_EVENT),
                             "C", "CloudCount")]
     local = [H.module_count(TB.page_log(spark, sf_dir), "A", "LocalCount"),
              H.module_count(_stored_subset(spark, sf_dir), "B", "LocalCount"),
@@ -284,7 +284,7 @@ def sync_status_upsert(spark, sf_dir):
     """Yesterday's status of all modules, then today's A and C rows upserted by module."""
     cols = ["Module", "CloudCount", "LocalCount", "Pct", "UpdatedAt"]
     views = X.page_views(spark, sf_dir)
-    traces = X.trace_feed(spark, sf_dir).filter(F.col("EventId") == X.AUTH_FAILED_EVENT)
+    traces = X.trace_feed(spark, sf_dir).filter(F.col("EventId") == C.AUTH_FAILED_EVENT)
     cloud = [H.module_count(views, "A", "CloudCount"), H.module_count(TB.change_rows(spark, sf_dir), "B", "CloudCount"),
              H.module_count(traces, "C", "CloudCount")]
     local = [H.module_count(TB.page_log(spark, sf_dir), "A", "LocalCount"),

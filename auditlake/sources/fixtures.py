@@ -13,14 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.columns import AUTH_FAILED_EVENT, ZERO_GUID
 from auditlake.session import read_table
 
 # Client types of the fixture feed, by event_id % 6.
 FIXTURE_CLIENT_TYPES = ["WebClient", "Desktop", "Tablet", "Phone", "Background", "WebService"]
-# Fixed value: the all-zero GUID the user directory uses for "no telemetry id".
-ZERO_GUID = "00000000-0000-0000-0000-000000000000"
-# Fixed value: event id of "Authorization Failed" traces.
-AUTH_FAILED_EVENT = "RT0031"
 
 
 K = "get_json_object(props, '$.k')"

@@ -121,7 +121,7 @@ def scan_auth_failures(feed: DataFrame, since=None) -> DataFrame:
     df = feed
     if since is not None:
         df = df.filter(F.col("Timestamp") > F.lit(since))
-    df = df.filter(F.col("EventId") == F.lit("RT0031"))
+    df = df.filter(F.col("EventId") == F.lit(C.AUTH_FAILED_EVENT))
     return df.select(
         *([F.col("Id")] if "Id" in feed.columns else []),
         F.col("Timestamp"),
