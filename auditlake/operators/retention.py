@@ -38,8 +38,12 @@ def months_back(as_of: dt.datetime, months: int) -> dt.datetime:
 
 
 def retain(df: DataFrame, ts_col: str, as_of: dt.datetime, months: int) -> DataFrame:
-    """Rows with ``ts_col >= as_of - months`` (a literal, pushed to Parquet)."""
-    return df.filter(F.col(ts_col) >= F.lit(months_back(as_of, months)))
+    """Drop rows with ``ts_col < as_of - months`` (a literal, pushed to Parquet).
+
+    Like ``DELETE ... WHERE ts < cutoff``, a row whose time is unknown is kept.
+    """
+    ts = F.col(ts_col)
+    return df.filter(ts.isNull() | (ts >= F.lit(months_back(as_of, months))))
 
 
 def normalize_names(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -128,7 +132,8 @@ def rewrite_partition(spark: SparkSession, table_path: str, part_col: str, value
     fs, p = _fs(spark, f"{table_path.rstrip('/')}/{part}")
     if not fs.exists(p):
         return
-    w = spark.read.parquet(f"{table_path.rstrip('/')}/{part}").filter(keep).write.mode("overwrite")
+    kept = F.coalesce(keep, F.lit(True))    # unknown predicate: not deleted, as in SQL DELETE
+    w = spark.read.parquet(f"{table_path.rstrip('/')}/{part}").filter(kept).write.mode("overwrite")
     if sub_partitions:
         w = w.partitionBy(*sub_partitions)
     w.parquet(f"{staging.rstrip('/')}/{part}")

@@ -99,6 +99,7 @@ def rewrite_batches(spark: SparkSession, path: str, keep, staging: str) -> int:
         return 0
     recover_table(spark, path)
     df = spark.read.parquet(path)
+    keep = F.coalesce(keep, F.lit(True))    # unknown predicate: not deleted, as in SQL DELETE
     gone = df.filter(~keep).groupBy("BatchId").agg(F.count(F.lit(1)).alias("n")).collect()
     if not gone:
         return 0

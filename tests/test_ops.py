@@ -20,6 +20,8 @@ def test_retention_edge_and_month_arithmetic(spark):
                                "Timestamp timestamp_ntz")
     kept = RT.retain(df, "Timestamp", dt.datetime(2024, 1, 15), 6)
     assert rows(kept) == [(dt.datetime(2023, 7, 15),)]
+    unknown = spark.createDataFrame([(None,)], "Timestamp timestamp_ntz")
+    assert RT.retain(unknown, "Timestamp", dt.datetime(2024, 1, 15), 6).count() == 1
 
 
 @pytest.mark.parametrize("value,expected", [(6, 6), ("12", 12), (0, 24), (1201, 24), (2.5, 24), (None, 24),
