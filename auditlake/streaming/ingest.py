@@ -289,13 +289,15 @@ def stored_change_log(spark: SparkSession, state: State) -> DataFrame:
 
 def land_change_pages(entries: DataFrame, landing: str, page_rows: int = 5000) -> None:
     """Land change-log entries the way the ERP serves them: ``{value:[...]}``
-    pages of at most ``page_rows`` entries, one directory per company.
+    pages, one directory per company.
 
-    Pages are ranges of the per-company ``Entry_No`` sequence, so no window is
-    needed and a page never exceeds ``page_rows`` entries however skewed the
-    companies are.
+    Pages are ranges of ``page_rows`` consecutive entry numbers, so no window
+    is needed however skewed the companies are; the input split is part of
+    the page key as well, so even a feed holding many copies of the same
+    entries never gathers more than one split's rows into a page.
     """
     fields = [c for c in entries.columns if c != "Company"]
-    pages = (entries.groupBy("Company", F.floor(F.col("Entry_No") / page_rows).alias("_page"))
-             .agg(F.collect_list(F.struct(*fields)).alias("value")).drop("_page"))
+    pages = (entries.groupBy("Company", F.floor(F.col("Entry_No") / page_rows).alias("_page"),
+                             F.spark_partition_id().alias("_split"))
+             .agg(F.collect_list(F.struct(*fields)).alias("value")).drop("_page", "_split"))
     pages.write.mode("append").partitionBy("Company").json(landing)
