@@ -35,7 +35,7 @@ def interactive_page_views(spark, sf_dir):
     """New interactive page views after the stored high watermark."""
     stored = TB.page_log(spark, sf_dir).filter(F.col("Timestamp") < F.lit(HISTORY_END))
     wm = I.high_watermark(stored, "Timestamp")
-    return L.scan_page_views(X.page_views(spark, sf_dir), since=wm)
+    return L.scan_page_views(X.page_views(spark, sf_dir, after=wm), since=wm)
 
 
 extra("redelivered_log", ("page_views",), f"""

@@ -10,6 +10,8 @@ reader.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +34,21 @@ def _str(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_views(spark: SparkSession, sf_dir: str, after=None) -> DataFrame:
     """Page-view feed: every 17th PageId, 19th PageName, 23rd CompanyName NULL.
 
     Written as SQL expressions (``selectExpr``): one JVM-side parse instead of
-    hundreds of Python-to-JVM calls per projection.
+    hundreds of Python-to-JVM calls per projection. ``after`` (a watermark)
+    pre-filters the raw scan with ``ts >= trunc_ms(after) + 1 ms`` -- exactly
+    the rows whose millisecond-truncated time is ``> after`` -- so the
+    watermark reaches the Parquet reader.
     """
     clients = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(FIXTURE_CLIENT_TYPES))
-    return read_table(spark, sf_dir, "events").selectExpr(
+    events = read_table(spark, sf_dir, "events")
+    if after is not None:
+        floor_ms = after.replace(microsecond=after.microsecond // 1000 * 1000)
+        events = events.filter(F.col("ts") >= F.lit(floor_ms + dt.timedelta(milliseconds=1)))
+    return events.selectExpr(
         "event_id AS Id",
         f"{_ms('ts')} AS `Timestamp`",
         "CAST(user_id AS STRING) AS UserId",
