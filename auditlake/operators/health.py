@@ -114,7 +114,10 @@ def reconcile_cloud_count(per_company: DataFrame, local_count: DataFrame) -> Dat
     cloud sum is 0 while local rows exist; else the cloud sum."""
     s = per_company.groupBy("Module").agg(F.sum("Count").cast("long").alias("CloudSum"),
                                           F.bool_or("Failed").alias("AnyFailed"))
-    j = s.join(local_count, "Module", "left")
+    # one row per module on each side: fold them by union + group, not a join
+    both = s.unionByName(local_count.select("Module", "LocalCount"), allowMissingColumns=True)
+    j = both.groupBy("Module").agg(F.max("CloudSum").alias("CloudSum"), F.max("LocalCount").alias("LocalCount"),
+                                   F.bool_or("AnyFailed").alias("AnyFailed"))
     shown = (F.when(F.col("AnyFailed") | ((F.coalesce(F.col("CloudSum"), F.lit(0)) == 0) & (F.col("LocalCount") > 0)),
                     F.col("LocalCount")).otherwise(F.col("CloudSum")))
     return j.select("Module", "CloudSum", "LocalCount", "AnyFailed", shown.alias("CloudShown"))
