@@ -62,12 +62,13 @@ def keep_one(df: DataFrame, keys: list, order: list, last: bool = False) -> Data
     """One row per key; the survivor is the first (``last``: last) row in
     ``order`` followed by all columns -- a total order, so reruns agree.
 
-    Implemented as ``groupBy(keys).agg(min(struct(order..., row...)))``
-    rather than a ``row_number()`` window so duplicates are combined map-side
-    by the partial aggregate: a key that holds a third of all rows is reduced
-    in every input task before the shuffle instead of being sorted in one
-    task. One struct carries both the ordering and the row, so the buffer
-    holds each column once (plus the explicit order expressions).
+    Implemented as ``groupBy(keys).agg(min(struct(order..., row...)))``: the
+    partial aggregate combines duplicates map-side, so a key that holds a
+    third of all rows is reduced in every input task before the shuffle
+    (``row_number() = 1`` gets the same pre-shuffle reduction from a partial
+    ``WindowGroupLimit``, at similar cost). The struct makes the order total
+    -- ties are broken by every column -- so the survivor never depends on
+    the arrival order. One struct carries both the ordering and the row.
     """
     rec = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c) for c in df.columns])
     pick = F.max(rec) if last else F.min(rec)
