@@ -51,9 +51,10 @@ def capped_runs(df: DataFrame, key: Column, caps: dict, marks: dict | None = Non
                 bucket_width: int = BUCKET_WIDTH) -> DataFrame:
     """Per ``(CompanyName, Phase)`` the rows ranked ``<= caps[Phase]`` by ``key``.
 
-    A plain ``row_number() <= cap`` sends every candidate of a company to one
-    task (a company with a third of the feed would be sorted in one place).
-    Instead:
+    A plain ``row_number() <= cap`` (even with Spark's partial
+    ``WindowGroupLimit``) merges up to ``cap`` rows from *every* map task of a
+    company in one task -- 150,000 x 1,000 tasks for a company holding a third
+    of a large feed. Instead:
 
     1. count candidates per ``(company, phase, key bucket)`` -- a partial
        aggregation with a tiny output;
