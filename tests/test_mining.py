@@ -115,3 +115,11 @@ def test_kpi_exact_and_approximate(spark):
     assert (approx.ActiveUsers30d, approx.DistinctPages30d) == (7, 5)
     empty = V.kpi(daily, fails, dt.date(2025, 1, 1)).first()
     assert (empty.ActiveUsers30d, empty.Hits30d, empty.AuthFails14d) == (0, 0, 0)
+
+
+def test_reads_with_question_mark_company_and_writes_with_empty_company_stay_apart(spark):
+    users, pages, _, _ = setup(spark)
+    daily = spark.createDataFrame([(D1, "g1", "21", "Customer Card", "?", 2)], DAILY)
+    cl = spark.createDataFrame([(1, T, "LOGIN1", "", 18, "Customer", 0, "", "Insertion", "k", "", "")], CL)
+    acc = rows(M.table_access(cl, daily, pages, users), "UserName", "TableNo", "CompanyName", "Access")
+    assert acc == [("Ann", 18, "", "W"), ("Ann", 18, "?", "R")]

@@ -54,3 +54,30 @@ def test_keep_one_picks_the_first_in_order_per_key(spark, data):
         if k not in exp or (o, j) < (exp[k][2], exp[k][1]):
             exp[k] = (k, j, o)
     assert got == sorted(exp.values())
+
+
+@SETTINGS
+@given(data=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.sampled_from([None, "a", "b", "c"]),
+                               st.integers(0, 5)), min_size=1, max_size=60))
+def test_delta_fold_equals_sequential_merges(spark, data):
+    """Folding per-batch deltas equals applying the MERGE batch by batch:
+    hits add up, the page name is the newest batch's MAX (even NULL)."""
+    from auditlake.operators import rollup as R
+    day = dt.date(2024, 1, 1)
+    rows_ = [(day, f"u{u}", str(p), name, "CO", 1, b) for u, p, name, b in data]
+    df = spark.createDataFrame(rows_, "DateKey date, UserName string, PageId string, PageName string, "
+                                      "CompanyName string, Hits long, BatchId long")
+    # per-batch delta: the rollup of that batch's raw rows
+    deltas = df.groupBy("DateKey", "UserName", "PageId", "CompanyName", "BatchId").agg(
+        F.max("PageName").alias("PageName"), F.sum("Hits").alias("Hits"))
+    got = {(r.UserName, r.PageId): (r.Hits, r.PageName) for r in R.merge_daily(deltas).collect()}
+    state = {}
+    for b in sorted({r[6] for r in rows_}):
+        batch = [r for r in rows_ if r[6] == b]
+        for key in {(r[1], r[2]) for r in batch}:
+            hits = sum(r[5] for r in batch if (r[1], r[2]) == key)
+            names = [r[3] for r in batch if (r[1], r[2]) == key and r[3] is not None]
+            name = max(names) if names else None
+            old = state.get(key, (0, None))
+            state[key] = (old[0] + hits, name)          # Hits = Hits + src, PageName = src.PageName
+    assert got == state
