@@ -226,6 +226,15 @@ class DailyRun:
                 apply_change_retention(spark, self.changes, as_of, self.audit_retention_months)
         return self.log
 
+    def compact(self) -> dict:
+        """Fold small per-batch partitions: daily deltas into a new base,
+        change-log batches into one partition (both crash-safe, re-runnable)."""
+        out = {}
+        if ST.exists(self.spark, self.pages.path(ST.PAGE_DELTAS)):
+            out["page_daily_base_version"] = ST.compact_daily(self.spark, self.pages)
+        out["change_log_batches_folded"] = ST.compact_change_log(self.spark, self.changes)
+        return out
+
     def status(self, as_of: dt.datetime, cloud: list[DataFrame]) -> DataFrame:
         """A15 + D8: stored counts vs the given feed counts, upserted per module."""
         local = []

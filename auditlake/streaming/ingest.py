@@ -263,6 +263,33 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
         shaped.unpersist()
 
 
+def compact_change_log(spark: SparkSession, state: State) -> int:
+    """Fold all ``BatchId`` partitions of the stored change log into one.
+
+    The rows (deduplicated by key, so a re-run after a crash is harmless) are
+    staged as the newest batch id; that partition is swapped in first and the
+    folded ones removed afterwards, so an interruption can only leave
+    duplicates behind -- never lose rows -- and the next compaction removes
+    them. Returns the number of partitions folded.
+    """
+    from auditlake.sources.sinks import recover_table, swap_partitions
+    path = state.path(CHANGE_STORE)
+    if not exists(spark, path):
+        return 0
+    recover_table(spark, path)
+    batches = sorted(_markers(spark, path, "BatchId"))
+    if len(batches) <= 1:
+        return 0
+    newest = batches[-1]
+    rows = D.dedup_batch(spark.read.parquet(path).drop("BatchId"), D.change_key())
+    staging = state.path(f"_staging/compact-{newest}")
+    rows.withColumn("BatchId", F.lit(newest).cast("long")).write.mode("overwrite") \
+        .partitionBy("BatchId").parquet(staging)
+    swap_partitions(spark, path, staging, [f"BatchId={newest}"])
+    swap_partitions(spark, path, staging, [f"BatchId={b}" for b in batches[:-1]])
+    return len(batches) - 1
+
+
 CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.StructField("Company", T.StringType())])
 
 

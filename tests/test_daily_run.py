@@ -60,6 +60,11 @@ def test_daily_run_modes(spark):
     assert raw() == 48 and chg() == 29
     assert ST.stored_change_log(spark, p.changes).filter(F.col("CompanyName") == "CO_B").count() == 0
 
+    # compaction folds the small partitions without changing any result
+    daily_before = sorted(tuple(r) for r in ST.daily_table(spark, p.pages).collect())
+    p.compact()
+    assert chg() == 29 and sorted(tuple(r) for r in ST.daily_table(spark, p.pages).collect()) == daily_before
+
     # re-pull of module C from the start is idempotent; the next ingest picks up new pages
     p.traces = traces(spark, 0, 40)
     p.run("repull")

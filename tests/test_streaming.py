@@ -112,3 +112,23 @@ def test_quarantined_rows_are_kept_aside(spark):
     assert ST.stored_page_log(spark, state).count() == 3
     q = spark.read.parquet(state.path(ST.PAGE_QUARANTINE))
     assert [(r.Id, r.BatchId) for r in q.collect()] == [(2, 7)]
+
+
+def test_change_log_compaction_folds_batches_and_survives_a_rerun(spark):
+    state = ST.State(tempfile.mkdtemp(prefix="al-ccomp-"))
+    entry = "struct<Entry_No:bigint,Date_and_Time:timestamp_ntz,User_ID:string,Table_No:string," \
+            "Table_Caption:string,Field_No:string,Field_Caption:string,Type_of_Change:string," \
+            "Primary_Key:string,Old_Value:string,New_Value:string>"
+    schema = f"Company string, value array<{entry}>"
+
+    def page(lo, hi):
+        return ("A", [(n, T0, "U", "18", "T", "1", "F", "Insertion", "k", "a", "b") for n in range(lo, hi)])
+
+    for b, (lo, hi) in enumerate([(1, 5), (5, 9), (9, 12)], start=1):
+        ST.ingest_change_batch(spark, state, spark.createDataFrame([page(lo, hi)], schema), b)
+    before = sorted(r.EntryNo for r in ST.stored_change_log(spark, state).collect())
+    assert ST.compact_change_log(spark, state) == 2
+    after = spark.read.parquet(state.path(ST.CHANGE_STORE))
+    assert {r.BatchId for r in after.collect()} == {3}
+    assert sorted(r.EntryNo for r in after.collect()) == before == list(range(1, 12))
+    assert ST.compact_change_log(spark, state) == 0
