@@ -233,6 +233,7 @@ class DailyRun:
         if ST.exists(self.spark, self.pages.path(ST.PAGE_DELTAS)):
             out["page_daily_base_version"] = ST.compact_daily(self.spark, self.pages)
         out["change_log_batches_folded"] = ST.compact_change_log(self.spark, self.changes)
+        out["page_log_days_folded"] = len(ST.compact_page_log(self.spark, self.pages))
         return out
 
     def status(self, as_of: dt.datetime, cloud: list[DataFrame]) -> DataFrame:

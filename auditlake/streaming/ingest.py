@@ -263,11 +263,16 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
         shaped.unpersist()
 
 
+# Batch id of compacted rows: real ids are run_id * 10^9 + n >= 10^9, so a
+# replayed batch never mistakes compacted rows for its own.
+BASE_BATCH = 0
+
+
 def compact_change_log(spark: SparkSession, state: State) -> int:
     """Fold all ``BatchId`` partitions of the stored change log into one.
 
     The rows (deduplicated by key, so a re-run after a crash is harmless) are
-    staged as the newest batch id; that partition is swapped in first and the
+    staged as the base batch ``0``; that partition is swapped in first and the
     folded ones removed afterwards, so an interruption can only leave
     duplicates behind -- never lose rows -- and the next compaction removes
     them. Returns the number of partitions folded.
@@ -278,16 +283,58 @@ def compact_change_log(spark: SparkSession, state: State) -> int:
         return 0
     recover_table(spark, path)
     batches = sorted(_markers(spark, path, "BatchId"))
-    if len(batches) <= 1:
+    folded = [b for b in batches if b != BASE_BATCH]
+    if not folded or batches == [BASE_BATCH]:
         return 0
-    newest = batches[-1]
     rows = D.dedup_batch(spark.read.parquet(path).drop("BatchId"), D.change_key())
-    staging = state.path(f"_staging/compact-{newest}")
-    rows.withColumn("BatchId", F.lit(newest).cast("long")).write.mode("overwrite") \
+    staging = state.path(f"_staging/compact-{max(folded)}")
+    rows.withColumn("BatchId", F.lit(BASE_BATCH).cast("long")).write.mode("overwrite") \
         .partitionBy("BatchId").parquet(staging)
-    swap_partitions(spark, path, staging, [f"BatchId={newest}"])
-    swap_partitions(spark, path, staging, [f"BatchId={b}" for b in batches[:-1]])
-    return len(batches) - 1
+    swap_partitions(spark, path, staging, [f"BatchId={BASE_BATCH}"])
+    swap_partitions(spark, path, staging, [f"BatchId={b}" for b in folded])
+    return len(folded)
+
+
+def compact_page_log(spark: SparkSession, state: State, before=None) -> list:
+    """Fold each day's ``BatchId`` sub-partitions of the raw page log into one
+    base batch (``0``); ``before`` limits it to closed days.
+
+    Each day is rewritten as a whole and swapped in with a crash-safe folder
+    swap; rows are deduplicated by key on the way, so a re-run is harmless.
+    Returns the compacted days.
+    """
+    from auditlake.sources.sinks import recover_table, swap_partitions
+    path = state.path(PAGE_RAW)
+    if not exists(spark, path):
+        return []
+    recover_table(spark, path)
+    fs, root = _fs(spark, path)
+    days = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not (st.isDirectory() and name.startswith("DateKey=")):
+            continue
+        day = name.split("=", 1)[1]
+        if before is not None and day >= str(before):
+            continue
+        subs = _markers(spark, f"{path}/{name}", "BatchId")
+        if len(subs) > 1 or (subs and subs != [BASE_BATCH]):
+            days.append(day)
+    if not days:
+        return []
+    raw = spark.read.parquet(path).filter(F.col("DateKey").cast("string").isin(days))
+    order = ["Id"] if "Id" in raw.columns else None
+    rows = D.dedup_batch(raw.drop("BatchId"), D.page_key(), order=order)
+    staging = state.path(f"_staging/compact-days-{uuid_hex()}")
+    rows.withColumn("BatchId", F.lit(BASE_BATCH).cast("long")).write.mode("overwrite") \
+        .partitionBy("DateKey", "BatchId").parquet(staging)
+    swap_partitions(spark, path, staging, [f"DateKey={d}" for d in days])
+    return days
+
+
+def uuid_hex() -> str:
+    import uuid
+    return uuid.uuid4().hex[:12]
 
 
 CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.StructField("Company", T.StringType())])
