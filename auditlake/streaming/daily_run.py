@@ -175,6 +175,7 @@ class DailyRun:
     root: str
     page_landing: str | None = None
     page_schema: T.StructType | None = None
+    page_format: str = "parquet"
     change_landing: str | None = None
     traces: object = None               # callable () -> DataFrame
     page_retention_months: int = RT.PAGE_RETENTION_MONTHS
@@ -211,7 +212,7 @@ class DailyRun:
             self.log.append(("purge", n))
             return self.log
         if self.page_landing:
-            ST.run_page_stream(spark, self.page_landing, self.pages, self.page_schema)
+            ST.run_page_stream(spark, self.page_landing, self.pages, self.page_schema, fmt=self.page_format)
             self.log.append(("modul A", 0))
         if self.traces is not None:
             n = ingest_auth_failures(spark, self.errors, self.traces(), repull=(mode == "repull"))

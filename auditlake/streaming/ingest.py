@@ -109,6 +109,8 @@ def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame,
                       lookback: dt.timedelta | None = None) -> None:
     """One micro-batch of page views: clean, dedup, insert-if-absent, delta."""
     raw_path, delta_path = state.path(PAGE_RAW), state.path(PAGE_DELTAS)
+    if {"TimeGenerated", "Properties"} <= set(feed_batch.columns):
+        feed_batch = L.page_view_rows(feed_batch)          # raw telemetry landing (S1)
     # the micro-batch is read several times (bounds, anti join, quarantine):
     # keep it for the duration of this call; a lost executor recomputes it
     # from the replayable file source

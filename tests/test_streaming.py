@@ -147,3 +147,16 @@ def test_page_log_compaction_per_day_keeps_rows_and_history(spark):
     ST.ingest_page_batch(spark, state, views(spark, 10, 10), 1_000_000_002)
     assert ST.stored_page_log(spark, state).count() == 20
     assert ST.compact_page_log(spark, state) == [] or ST.stored_page_log(spark, state).count() == 20
+
+
+def test_raw_telemetry_json_landing_is_flattened_by_the_stream(spark):
+    import json
+    from auditlake.sources import landing as L
+    root = tempfile.mkdtemp(prefix="al-tele-")
+    landing, state = f"{root}/landing", ST.State(f"{root}/state")
+    recs = [(T0 + dt.timedelta(minutes=i), f"g{i % 2}", "WebClient" if i % 3 else "Background",
+             json.dumps({"alObjectId": str(i % 4), "alObjectName": "Page", "companyName": "CO"})) for i in range(9)]
+    spark.createDataFrame(recs, L.TELEMETRY_SCHEMA).write.json(landing)
+    ST.run_page_stream(spark, landing, state, L.TELEMETRY_SCHEMA, fmt="json")
+    stored = ST.stored_page_log(spark, state)
+    assert stored.count() == 6 and {r.CompanyName for r in stored.collect()} == {"CO"}
