@@ -125,7 +125,10 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The input rows that pass, with exactly the input columns."""
-    return unpack(judge(measure(docs, text_col), rules).where("kept"), docs.columns)
+    # A filter is copied down through projections, and with it every measure it names, at each
+    # use again; a column that must not be computed twice keeps it above them.
+    judged = judge(measure(docs, text_col), rules).select("row", "kept", F.monotonically_increasing_id().alias("nth"))
+    return unpack(judged.where("kept and nth >= 0"), docs.columns)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
