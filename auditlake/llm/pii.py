@@ -1,5 +1,7 @@
 """Personal data: pattern proposals, checksum confirmation, context scores -- built-in functions only.
 
+The context of a span is the text on both sides up to the next match of its kind, CONTEXT_CHARS at most.
+
 A kind is a pattern, a check on the matched string and a base score. Positions come from
 the pieces between matches (``split``) and the matches (``regexp_extract_all``): a span
 starts where the pieces and matches before it end, in code points. Patterns are written
@@ -44,7 +46,8 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", None, 0.7, "card|visa|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.5, "tel|phone|call|mobile|telefon|fax"),
     # added by the method: bank account numbers, confirmed by mod 97
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.7,
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
+         r"(?![A-Za-z0-9])", None, 0.7,
          "iban|bank|account|konto|compte|cuenta", 0.5),
 )
 CONTEXT_CHARS = 40
@@ -101,22 +104,36 @@ def _matches(text: Column, k: Kind) -> tuple[Column, Column]:
             F.when(has, parts).otherwise(F.array(text)))
 
 
-_SPAN = "array<struct<start:int,end:int,s:string>>"
+_SPAN = "array<struct<start:int,end:int,s:string,near:string>>"
+
+
+_GROUP = 256  # matches whose positions are added up in one inner array
 
 
 def _positions(found: Column, parts: Column) -> Column:
-    """(start, end, matched string) of every match, in order."""
-    return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(
-        F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found,
-                   lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["gap"] + F.length(x["m"])).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["pos"] + x["gap"]).alias("start"),
-                (acc["pos"] + x["gap"] + F.length(x["m"])).alias("end"),
-                x["m"].alias("s")))).alias("out")),
-        lambda acc: acc["out"]))
+    """(start, end, matched string) of every match, in order: running sums by groups, so that a
+    text with very many matches does not copy one long array per match."""
+    def step(acc, x):
+        start = acc["pos"] + x["gap"]
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"), x["near"].alias("near"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def group(acc, members):
+        done = F.aggregate(members, F.struct(acc["pos"].alias("pos"), F.array().cast(_SPAN).alias("out")), step)
+        return F.transform(F.array(done), lambda r: F.struct(
+            r["pos"].alias("pos"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    sides = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), F.slice(parts, F.lit(2), F.size(found)),
+                       lambda before, after: F.struct(F.length(before).alias("gap"), F.lower(F.concat_ws(
+                           " ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS)))).alias("near")))
+    gaps = F.zip_with(sides, found, lambda a, m: F.struct(a["gap"].alias("gap"), m.alias("m"), a["near"].alias("near")))
+    groups = F.transform(F.array(gaps), lambda g: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(g) - 1) / _GROUP).cast("int")),
+        lambda i: F.slice(g, i * _GROUP + 1, _GROUP)))[0]
+    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(
+        F.aggregate(groups, empty, group, lambda acc: F.flatten(acc["out"])))
 
 
 def spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -129,18 +146,12 @@ def spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KIN
         found, parts = _matches(F.col("text"), k)
         cols += [found.alias(f"m_{k.name}"), parts.alias(f"p_{k.name}")]
     d = d.select("row", "text", *cols)
-    d = d.select("row", "text", *[_positions(F.col(f"m_{k.name}"), F.col(f"p_{k.name}")).alias(k.name) for k in kinds])
-    text = F.col("text")
-
+    d = d.select("row", *[_positions(F.col(f"m_{k.name}"), F.col(f"p_{k.name}")).alias(k.name) for k in kinds])
     def scored(k: Kind):
-        near = lambda x: F.lower(F.concat_ws(
-            " ", F.substr(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1,
-                          F.least(x["start"], F.lit(CONTEXT_CHARS))),
-            F.substr(text, x["end"] + 1, F.lit(CONTEXT_CHARS))))
         good = F.filter(F.col(k.name), lambda x: confirmed(k.name, x["s"]))
         with_score = F.transform(good, lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"),
-            (F.lit(k.score) + F.when(near(x).rlike(rf"\\b(?:{k.context})\\b"), F.lit(CONTEXT_BONUS))
+            (F.lit(k.score) + F.when(x["near"].rlike(rf"\b(?:{k.context})\b"), F.lit(CONTEXT_BONUS))
              .otherwise(F.lit(0.0))).alias("score")))
         return F.filter(with_score, lambda x: x["score"] >= k.threshold)
     return d.select("row", *[scored(k).alias(k.name) for k in kinds])

@@ -80,8 +80,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.select("row", text.alias("text"))
     d = d.select("row", "text", words_of(F.col("text")).alias("words"))
     n = F.size("words")
-    hashes = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
+    # the words are bound once outside the inner lambda: were the column's own expression copied
+    # into it (a filter on a measure does that), every window would split the text again
+    hashes = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.array("words"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
+                                                lambda i: F.xxhash64(F.slice(w, i, WINDOW))))[0])
     d = d.select("row", "text", "words", n.cast("long").alias("n_words"), hashes.alias("windows"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SEPARATORS)) != "")
     d = d.select(

@@ -1,12 +1,11 @@
-"""Queries of this subpackage and their DuckDB oracles (None-less: only what SQL can express)."""
+"""Queries of this subpackage, one per operator, over its whole table."""
 
 from __future__ import annotations
 
-from auditlake.llm import bpe, mixing, pii, quality, simhash, substring
+from auditlake.llm import bpe, chat, credentials, mixing, neighbours, pii, quality, simhash, substring, suffix
 from auditlake.llm.common import table
 from auditlake.llm.oracles import ORACLES  # noqa: F401
 
-# where the public vocabulary files live; see tokenizer_path
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -21,6 +20,10 @@ QUERIES = {
     "op2_simhash": lambda spark, sf: simhash.op2(table(spark, sf, "documents")),
     "op3_substring": lambda spark, sf: substring.op3(table(spark, sf, "documents")),
     "op4_bpe": lambda spark, sf: bpe.op4(table(spark, sf, "documents"), tokenizer_path()),
+    "op5_suffix": lambda spark, sf: suffix.op5(table(spark, sf, "documents")),
+    "op6_tool_calls": lambda spark, sf: chat.op6(table(spark, sf, "conversations")),
+    "op7_secrets": lambda spark, sf: credentials.op7(table(spark, sf, "documents")),
     "op8_pii": lambda spark, sf: pii.op8(table(spark, sf, "documents")),
     "op9_quality": lambda spark, sf: quality.op9(table(spark, sf, "documents")),
+    "op10_neighbours": lambda spark, sf: neighbours.op10(table(spark, sf, "embeddings")),
 }
