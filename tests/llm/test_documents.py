@@ -205,7 +205,7 @@ def test_markov_model_separates_held_out_samples(spark):
     r = random.Random(2)
     abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     rand = lambda: "".join(r.choice(abc) for _ in range(32))
-    docs = [(i, prose(i, 200) + f" token={rand()} " + prose(i + 500, 50)) for i in range(300)]
+    docs = [(i, prose(i, 200) + f" item{i} in {1900 + i} token={rand()} " + prose(i + 500, 50)) for i in range(300)]
     docs.append((999, "the value " + "x7Kq9Zr2Lm4Tn8Vb3Wc5Yd1Pf" + " and anotherlongordinaryidentifier2024"))
     out = {x.doc_id: x for x in credentials.op7(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out[999].spans == "markov:10:35"
