@@ -5,8 +5,8 @@ symbol i and its right neighbour, the root is the leftmost pair of lowest rank,
 updates at most three leaves in logarithmic time, and the work ends when the root is empty.
 The vocabulary file (a fixed, bounded file) is broadcast; texts stream through Arrow batches.
 
-Results of frequent words are remembered per Python worker in tables of bounded size; a full
-table is emptied, which changes the time only.
+Results of frequent words are remembered per Python worker in tables of bounded size, which
+changes the time only.
 
 Defined results: a null or empty text has no ids; ids and texts are row by row, so repeated
 rows give equal rows; other columns are never read.
@@ -27,9 +27,10 @@ from auditlake.llm.common import pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: code points that the library's pattern engine treats as white space
 _SPACE = "\t\n\x0b\f\r \x85\xa0                　"
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 REMEMBERED_CHARS = 48
 _NONE = 1 << 62
+_PLACE = (1 << 40) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,53 +42,79 @@ def byte_letters() -> dict[str, int]:
 
 
 def merge(symbols: list[int], pairs: dict) -> list[int]:
-    """Apply the lowest-ranked, leftmost merge again and again. pairs: (a, b) to (rank, merged)."""
+    """Apply the lowest-ranked, leftmost merge again and again.
+    pairs: a << 20 | b to (rank << 40, merged symbol)."""
     n = len(symbols)
     if n < 2:
         return symbols
     size = 1 << (n - 2).bit_length() if n > 2 else 1
+    get = pairs.get
     sym, nxt, prv = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     tree = [_NONE] * (2 * size)
     for i in range(n - 1):
-        p = pairs.get((sym[i], sym[i + 1]))
+        p = get(sym[i] << 20 | sym[i + 1])
         if p is not None:
-            tree[size + i] = p[0] << 40 | i
+            tree[size + i] = p[0] | i
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
 
-    def put(i, value):
-        i += size
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                break
-            tree[i] = low
-
     while tree[1] != _NONE:
-        i = tree[1] & (1 << 40) - 1
+        i = tree[1] & _PLACE
         j = nxt[i]
-        sym[i] = pairs[(sym[i], sym[j])][1]
-        nxt[i] = k = nxt[j]
+        sym[i] = merged = get(sym[i] << 20 | sym[j])[1]
         sym[j] = -1
-        if j < n - 1:
-            put(j, _NONE)
+        nxt[i] = k = nxt[j]
         if k < n:
             prv[k] = i
-            p = pairs.get((sym[i], sym[k]))
-            put(i, _NONE if p is None else p[0] << 40 | i)
+            p = get(merged << 20 | sym[k])
+            changed = [(i, _NONE if p is None else p[0] | i)]
         else:
-            put(i, _NONE)
+            changed = [(i, _NONE)]
+        if j < n - 1 and tree[size + j] != _NONE:
+            changed.append((j, _NONE))
         h = prv[i]
         if h >= 0:
-            p = pairs.get((sym[h], sym[i]))
-            put(h, _NONE if p is None else p[0] << 40 | h)
+            p = get(sym[h] << 20 | merged)
+            low = _NONE if p is None else p[0] | h
+            if tree[size + h] != low:
+                changed.append((h, low))
+        for at, value in changed:
+            at += size
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                at >>= 1
+                if other < value:
+                    value = other
+                if tree[at] == value:
+                    break
+                tree[at] = value
     return [s for s in sym if s >= 0]
 
 
+class Remembered:
+    """Two generations of at most REMEMBERED results: when the younger is full, it becomes the
+    older and that one is dropped, so frequent entries survive."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value):
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary (the JSON text of its file)."""
 
@@ -104,24 +131,21 @@ class Codec:
         self.pairs = {}
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.pairs[(vocab[a], vocab[b])] = (rank, vocab[a + b])
+            self.pairs[vocab[a] << 20 | vocab[b]] = (rank << 40, vocab[a + b])
         self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
         self.bytes_of.update({i: s.encode() for s, i in self.added.items()})
         self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]")
                                      .replace(r"\s", f"[{_SPACE}]"))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") \
             if self.added else None
-        self.tokens: dict = {}
-        self.words: dict = {}
+        self.tokens, self.words = Remembered(), Remembered()
 
     def _token(self, token: str) -> tuple:
         got = self.tokens.get(token)
         if got is None:
             got = tuple(merge([self.byte_id[b] for b in token.encode()], self.pairs))
             if len(token) <= REMEMBERED_CHARS:
-                if len(self.tokens) >= REMEMBERED:
-                    self.tokens.clear()
-                self.tokens[token] = got
+                self.tokens.put(token, got)
         return got
 
     def _word(self, word: str) -> tuple:
@@ -129,9 +153,7 @@ class Codec:
         ids = [i for t in self.pattern.findall(word) for i in self._token(t)]
         got = (len(ids), ",".join(map(str, ids)), self.join(ids))
         if len(word) <= REMEMBERED_CHARS:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
+            self.words.put(word, got)
         return got
 
     def join(self, ids) -> bytes:
@@ -162,13 +184,14 @@ class Codec:
             runs = [text]
         else:
             runs = self.special.split(text)
-        known, out = self.words, []
+        out = []
         for run in runs:
             if run in self.added:
                 i = self.added[run]
                 out.append((1, str(i), self.bytes_of[i]))
             elif run:
-                out += [known.get(w) or self._word(w) for w in self.words_of(run)]
+                young = self.words.young
+                out += [young.get(w) or self.words.get(w) or self._word(w) for w in self.words_of(run)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
