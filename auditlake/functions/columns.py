@@ -141,12 +141,12 @@ def error_table_no(msg: str | Column) -> Column:
 def pct_half_even(num: str | Column, den: str | Column) -> Column:
     """``[Math]::Round(100*local/cloud)`` (.NET rounds half to even).
 
-    ``cloud = 0`` with ``local > 0`` reads as 100 %, ``0/0`` as NULL.
+    ``cloud = 0`` with ``local > 0`` reads as 100 %, ``0/0`` as 0; an unknown count is 0.
     """
-    n, d = col(num), col(den)
+    n, d = F.coalesce(col(num), F.lit(0)), F.coalesce(col(den), F.lit(0))
     ratio = F.bround(F.lit(100.0) * n / d, 0)
     return (F.when(d > 0, ratio)
-            .when((d == 0) & (n > 0), F.lit(100.0))).cast("long")
+            .when((d == 0) & (n > 0), F.lit(100.0)).otherwise(F.lit(0.0))).cast("long")
 
 
 def clean_text(c: str | Column, max_len: int = USER_MAP_NAME_LEN) -> Column:

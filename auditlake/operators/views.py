@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.functions.joins import materialized
 
 # Default and bounds of the snapshot row cap.
 TOP_ROWS_DEFAULT = 5000
@@ -41,10 +42,12 @@ def ranked_top(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK
 
     Small ``n``: ``orderBy().limit()`` (a bounded heap per task), ranked in a
     window over those ``n`` rows. Large ``n`` (the report cap goes up to
-    1,000,000): range-partition and sort by ``order``, count rows per
-    partition, turn the counts (one row per partition) into rank offsets, and
-    keep rows whose global rank is <= n. No task holds more than its own
-    range partition and nothing is merged in one place.
+    1,000,000): range-partition and sort by ``order``, store the rows ONCE
+    (checkpoint) with partition number and position, count rows per partition,
+    turn the counts (one row per partition) into rank offsets, and keep rows
+    whose global rank is <= n. Counts and rows read the same stored rows: planned
+    twice, the two sides would sample their own range bounds and disagree.
+    No task holds more than its own range partition.
     """
     if n <= local_max:
         top = df.orderBy(*order).limit(n)
@@ -53,6 +56,7 @@ def ranked_top(df: DataFrame, order: list[Column], n: int, local_max: int = TOPK
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_pos", F.monotonically_increasing_id()
                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    s = materialized(s)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -88,7 +88,7 @@ FROM customer"""),
     "page_map": ((), """
 SELECT CAST(p_partkey AS VARCHAR) AS PageId, CAST(p_partkey % 50 AS INTEGER) AS TableNo,
        'Table ' || CAST(p_partkey % 50 AS VARCHAR) AS TableName
-FROM part WHERE p_partkey < 60"""),
+FROM part WHERE p_partkey % 7 <> 3"""),
     "user_map": (("users",), """
 SELECT TelemetryUserId AS UserId,
        COALESCE(NULLIF(trim(FullName), ''), NULLIF(trim(UserName), ''), TelemetryUserId) AS Name

@@ -103,8 +103,9 @@ UNION ALL SELECT 'C', (SELECT COUNT(*) FROM trace_feed WHERE EventId = 'RT0031')
 
 
 def _pct(local: str, cloud: str) -> str:
+    local, cloud = f"COALESCE({local}, 0)", f"COALESCE({cloud}, 0)"
     return (f"CAST(CASE WHEN {cloud} > 0 THEN round_even(100.0 * {local} / {cloud}, 0) "
-            f"WHEN {cloud} = 0 AND {local} > 0 THEN 100 END AS BIGINT)")
+            f"WHEN {cloud} = 0 AND {local} > 0 THEN 100 ELSE 0 END AS BIGINT)")
 
 
 @query("sync_status", "A15 D8", sql(f"""
@@ -343,7 +344,8 @@ def export_roundtrip(spark, sf_dir):
 @query("storage_inventory", "S13 U3")
 def storage_inventory(spark, sf_dir):
     """Rows and MB per driver table (file sizes are engine-specific: rows-only check)."""
-    names = ["events", "orders", "customer", "part", "lineitem", "documents", "pages", "conversations"]
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+             "embeddings", "pages", "benchmark", "labels", "conversations"]
     return S.storage_inventory(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in names})
 
 

@@ -117,11 +117,17 @@ def recover_table(spark: SparkSession, table_path: str) -> list[str]:
         if fs.exists(target):
             fs.delete(st.getPath(), True)
         else:
-            fs.rename(st.getPath(), target)
+            _rename(fs, st.getPath(), target)
             fixed.append(name[len(REPLACED):])
     return fixed
 
 
+def _rename(fs, source, target) -> None:
+    """A rename that did not happen is an error: what would follow deletes the other copy."""
+    if not fs.rename(source, target):
+        raise OSError(f"rename failed: {source} to {target}")
+
+
 def swap_partitions(spark: SparkSession, table_path: str, staging_path: str, parts: list[str]) -> None:
     """Replace partition folders ``parts`` (e.g. ``DateKey=2024-01-02``) of a table
     by their staged copies; a part missing from staging is removed.
@@ -138,10 +144,10 @@ def swap_partitions(spark: SparkSession, table_path: str, staging_path: str, par
         if fs.exists(old):
             fs.delete(old, True)
         if fs.exists(target):
-            fs.rename(target, old)
+            _rename(fs, target, old)
         if fs.exists(staged):
             parent = target.getParent()
             if not fs.exists(parent):
                 fs.mkdirs(parent)
-            fs.rename(staged, target)
+            _rename(fs, staged, target)
         fs.delete(old, True)

@@ -52,8 +52,8 @@ def test_error_class_and_table_number(spark):
 def test_pct_half_even_and_zero_cloud(spark):
     df = spark.createDataFrame([(1, 8), (5, 0), (0, 0), (3, 600)], "l long, c long")
     out = df.select(C.pct_half_even("l", "c").alias("p"))
-    # 12.5 -> 12 (half to even), 0/0 -> NULL, local>0 with cloud 0 -> 100, 0.5 -> 0
-    assert [r.p for r in out.collect()] == [12, 100, None, 0]
+    # 12.5 -> 12 (half to even), 0/0 -> 0, local>0 with cloud 0 -> 100, 0.5 -> 0
+    assert [r.p for r in out.collect()] == [12, 100, 0, 0]
 
 
 def test_text_formats(spark):

@@ -206,3 +206,24 @@ def test_partition_swap_recovers_from_interrupted_swap(spark):
     spark.createDataFrame([(10, "a")], "k int, p string").write.partitionBy("p").parquet(stg)
     SK.swap_partitions(spark, t, stg, ["p=a", "p=b"])
     assert rows(spark.read.parquet(t), "k") == [(10,)]
+
+
+def test_large_top_n_on_wide_rows_in_many_partitions(spark):
+    """Rows and counts must agree on what a partition is, whatever AQE makes of each side."""
+    from pyspark.sql import functions as SF
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        df = spark.range(0, 400_000, 1, 16).select(
+            SF.xxhash64("id").alias("k"), "id", SF.repeat(SF.md5(SF.col("id").cast("string")), 6).alias("wide"))
+        order = [SF.col("k").desc(), SF.col("id").asc()]
+        for n in (20_000, 100_000, 300_000):
+            want = df.orderBy(*order).limit(n).agg(SF.count("*"), SF.sum("id"), SF.min("k")).first()
+            assert V.top_n(df, order, n).agg(SF.count("*"), SF.sum("id"), SF.min("k")).first() == want
+        page = {r.id for r in V.page_of_rows(df, order, 30, 5000).collect()}
+        want = {r.id for r in df.orderBy(*order).offset(150_000).limit(5000).collect()}
+        assert page == want
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

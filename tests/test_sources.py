@@ -108,3 +108,23 @@ def test_clean_user_map_entries(spark):
     out = L.clean_user_map(df)
     assert rows(out, "UserId") == [("g1",), ("g3",)]
     assert max(len(r.Name) for r in out.collect()) == 120
+
+
+def test_failing_rename_keeps_the_stored_partition(spark, tmp_path, monkeypatch):
+    from auditlake.sources import sinks as SK
+    table, staged = f"{tmp_path}/t", f"{tmp_path}/s"
+    spark.range(5).selectExpr("id", "1 as p").write.partitionBy("p").parquet(table)
+    spark.range(9).selectExpr("id", "1 as p").write.partitionBy("p").parquet(staged)
+    real, calls = SK._rename, []
+
+    def second_fails(fs, a, b):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("rename failed")
+        real(fs, a, b)
+    monkeypatch.setattr(SK, "_rename", second_fails)
+    with pytest.raises(OSError):
+        SK.swap_partitions(spark, table, staged, ["p=1"])
+    monkeypatch.undo()
+    SK.recover_table(spark, table)
+    assert spark.read.parquet(table).count() == 5
