@@ -27,7 +27,7 @@ from auditlake.llm.common import pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: code points that the library's pattern engine treats as white space
 _SPACE = "\t\n\x0b\f\r \x85\xa0                　"
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 REMEMBERED_CHARS = 48
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
@@ -65,22 +65,24 @@ def merge(symbols: list[int], pairs: dict) -> list[int]:
         sym[i] = merged = get(sym[i] << 20 | sym[j])[1]
         sym[j] = -1
         nxt[i] = k = nxt[j]
-        if k < n:
-            prv[k] = i
-            p = get(merged << 20 | sym[k])
-            changed = [(i, _NONE if p is None else p[0] | i)]
-        else:
-            changed = [(i, _NONE)]
+        # the neighbours first: while leaf i is still the lowest, their updates end where they meet its path
+        changed = []
         if j < n - 1 and tree[size + j] != _NONE:
-            changed.append((j, _NONE))
+            changed.append((size + j, _NONE))
         h = prv[i]
         if h >= 0:
             p = get(sym[h] << 20 | merged)
             low = _NONE if p is None else p[0] | h
             if tree[size + h] != low:
-                changed.append((h, low))
+                changed.append((size + h, low))
+        low = _NONE
+        if k < n:
+            prv[k] = i
+            p = get(merged << 20 | sym[k])
+            if p is not None:
+                low = p[0] | i
+        changed.append((size + i, low))
         for at, value in changed:
-            at += size
             tree[at] = value
             while at > 1:
                 other = tree[at ^ 1]
@@ -167,7 +169,7 @@ class Codec:
         parts = text.split(" ")
         for k, part in enumerate(parts):
             lead = " " if k else ""
-            if part and k and not part[0].isspace() and part[0] not in _SPACE:
+            if part and k and ("!" <= part[0] <= "~" or not part[0].isspace() and part[0] not in _SPACE):
                 if held:
                     out.append(held)
                 held = lead + part
