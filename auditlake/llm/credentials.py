@@ -5,7 +5,8 @@ train the model of random strings, all other tokens under 20 characters the mode
 ordinary identifiers. Both are transition counts over the token alphabet, summed by Spark over every
 document (a table bounded by the alphabet, 2 * 66 * 66 rows at most). A token of 20 or more
 characters outside the pattern spans, with letters and digits, is reported as ``markov`` if its
-mean log-likelihood ratio per character reaches MIN_MEAN.
+mean log-likelihood ratio per character reaches MIN_MEAN; one transition counts EVIDENCE at most
+either way, so a letter the ordinary tokens happen to lack is no verdict.
 
 Defined results: a null text is an empty one and has no span; documents are judged row by row, so
 repeated rows give equal rows; without samples both models are uniform and nothing is added;
@@ -30,6 +31,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 MIN_MEAN = 0.75
 BACKOFF = 20.0  # weight, in samples, of the single-character distribution
+EVIDENCE = 3.0  # nats one transition may say: letters that prose lacks don't decide alone
 _HINTS = ("passw", "secret", "token", "api")
 
 _CODE = np.zeros(256, dtype=np.int64)  # 0: outside the alphabet, and the state before a token
@@ -94,7 +96,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     single /= single.sum(axis=1, keepdims=True)
     p = (counts + BACKOFF * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACKOFF)
     p = np.log(np.maximum(p, 1e-300))
-    return p[1] - p[0]
+    return np.clip(p[1] - p[0], -EVIDENCE, EVIDENCE)
 
 
 def score(token: str, ratios: np.ndarray) -> float:
