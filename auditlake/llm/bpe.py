@@ -3,7 +3,8 @@
 Each pre-token is merged on its own: leaf i of the tree holds (rank, i) of the pair of
 symbol i and its right neighbour, the root is the leftmost pair of lowest rank, a merge
 updates at most three leaves in logarithmic time, and the work ends when the root is empty.
-The vocabulary file (a fixed, bounded file) is broadcast; texts stream through Arrow batches.
+Short pre-tokens not met before are merged in lockstep, a row of one array per tree
+(``merge_many``); long ones one by one (``merge``). The vocabulary file (a fixed, bounded file) is broadcast; texts stream through Arrow batches.
 
 Results of frequent words are remembered per Python worker in tables of bounded size, which
 changes the time only.
@@ -17,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +30,15 @@ from auditlake.llm.common import pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: code points that the library's pattern engine treats as white space
 _SPACE = "\t\n\x0b\f\r \x85\xa0                　"
+_CUT = re.compile(rf"(?= [^\s{_SPACE}])")
 REMEMBERED = 100_000
 REMEMBERED_CHARS = 48
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
+LOCKSTEP_BYTES = 126  # longer pre-tokens are merged one by one
+LOCKSTEP_LEAVES = 1 << 16  # leaves of all trees merged at a time
+GROUP_CHARS = 300_000  # texts (and words of one long text) looked up together
+GROUP_WORDS = 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,6 +103,87 @@ def merge(symbols: list[int], pairs: dict) -> list[int]:
     return [s for s in sym if s >= 0]
 
 
+class Pairs:
+    """Mergeable pairs as sorted arrays: ``of(a, b)`` gives ranks, -1 where a pair does not merge."""
+
+    def __init__(self, pairs: dict):
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], _NONE)
+        self.rank = np.append(np.fromiter((r >> 40 for r, _ in pairs.values()), np.int64, len(pairs))[order], -1)
+        self.merged = np.empty(len(pairs), dtype=np.int64)
+        self.merged[self.rank[:-1]] = np.fromiter((m for _, m in pairs.values()), np.int64, len(pairs))[order]
+
+    def of(self, a, b):
+        key = np.where((a < 0) | (b < 0), np.int64(-1), a << 20 | b)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], -1)
+
+
+def merge_many(tokens: list[bytes], byte_id: np.ndarray, pairs: Pairs) -> list[tuple]:
+    """Symbols of tokens of 2 to LOCKSTEP_BYTES bytes. Tree r is row r; its last leaf and symbol
+    are a sentinel that stands before the first symbol and after the last."""
+    out: list = [()] * len(tokens)
+    classes: dict = {}
+    for at, t in enumerate(tokens):
+        classes.setdefault(1 << len(t).bit_length(), []).append(at)
+    for size, members in classes.items():
+        step = max(1, LOCKSTEP_LEAVES // size)
+        for a in range(0, len(members), step):
+            part = members[a:a + step]
+            sym = _lockstep([tokens[i] for i in part], size, byte_id, pairs)
+            kept = sym >= 0
+            ends = np.cumsum(kept.sum(axis=1)).tolist()
+            ids = sym[kept].tolist()
+            lo = 0
+            for i, hi in zip(part, ends):
+                out[i] = tuple(ids[lo:hi])
+                lo = hi
+    return out
+
+
+def _lockstep(tokens: list[bytes], size: int, byte_id: np.ndarray, pairs: Pairs) -> np.ndarray:
+    m, end = len(tokens), size - 1
+    n = np.fromiter(map(len, tokens), np.int64, m)
+    raw = np.frombuffer(b"".join([t.ljust(size, b"\0") for t in tokens]), dtype=np.uint8).reshape(m, size)
+    place = np.arange(size)
+    sym = np.where(place < n[:, None], byte_id[raw], -1)
+    nxt = np.where(place + 1 < n[:, None], place + 1, end).ravel()
+    prv = np.tile(np.where(place > 0, place - 1, end), m)
+    tree = np.full((m, 2 * size), _NONE, dtype=np.int64)
+    rank = pairs.of(sym[:, :-1], sym[:, 1:])
+    tree[:, size:-1] = np.where(rank >= 0, rank << 8 | place[:-1], _NONE)
+    level = size >> 1
+    while level:
+        tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
+        level >>= 1
+    sym, tree = sym.ravel(), tree.ravel()
+    row = np.arange(m)
+    while True:
+        root = tree[row * (2 * size) + 1]
+        going = root != _NONE
+        row, root = row[going], root[going]
+        if not len(row):
+            return sym.reshape(m, size)
+        base, i = row * size, root & 255
+        merged = pairs.merged[root >> 8]
+        j, h = nxt[base + i], prv[base + i]
+        k = nxt[base + j]
+        sym[base + i] = merged
+        sym[base + j] = -1
+        nxt[base + i] = k
+        prv[base + k] = i
+        left, right = pairs.of(sym[base + h], merged), pairs.of(merged, sym[base + k])
+        at = np.concatenate([j, h, i]) + size
+        tops = np.tile(base * 2, 3)
+        tree[tops + at] = np.concatenate([np.full(len(row), _NONE), np.where(left >= 0, left << 8 | h, _NONE),
+                                          np.where(right >= 0, right << 8 | i, _NONE)])
+        while at[0] > 1:  # all leaves are equally deep
+            at >>= 1
+            child = tops + 2 * at
+            tree[tops + at] = np.minimum(tree[child], tree[child + 1])
+
+
 class Remembered:
     """Two generations of at most REMEMBERED results: when the younger is full, it becomes the
     older and that one is dropped, so frequent entries survive."""
@@ -103,18 +192,30 @@ class Remembered:
         self.young: dict = {}
         self.old: dict = {}
 
-    def get(self, key):
-        got = self.young.get(key)
-        if got is None:
-            got = self.old.get(key)
-            if got is not None:
-                self.put(key, got)
-        return got
-
-    def put(self, key, value):
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    def known(self, keys) -> tuple[dict, list]:
+        """Remembered results, and the keys without one."""
+        young, old = self.young, self.old
+        found, again, new = {}, {}, []
+        for key in keys:
+            got = young.get(key)
+            if got is None:
+                got = old.get(key)
+                if got is None:
+                    new.append(key)
+                    continue
+                again[key] = got
+            found[key] = got
+        self.put_all(again)
+        return found, new
+
+    def put_all(self, results: dict) -> None:
+        young = self.young
+        for key, value in results.items():
+            if len(key) <= REMEMBERED_CHARS:
+                if len(young) >= REMEMBERED:
+                    self.old, self.young = young, {}
+                    young = self.young
+                young[key] = value
 
 
 class Codec:
@@ -134,70 +235,99 @@ class Codec:
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.pairs[vocab[a] << 20 | vocab[b]] = (rank << 40, vocab[a + b])
+        self.byte_ids, self.sorted_pairs = np.array(self.byte_id, dtype=np.int64), Pairs(self.pairs)
         self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
         self.bytes_of.update({i: s.encode() for s, i in self.added.items()})
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]")
                                      .replace(r"\s", f"[{_SPACE}]"))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") \
             if self.added else None
         self.tokens, self.words = Remembered(), Remembered()
 
-    def _token(self, token: str) -> tuple:
-        got = self.tokens.get(token)
-        if got is None:
-            got = tuple(merge([self.byte_id[b] for b in token.encode()], self.pairs))
-            if len(token) <= REMEMBERED_CHARS:
-                self.tokens.put(token, got)
-        return got
-
-    def _word(self, word: str) -> tuple:
-        """(ids, their decimal form, their bytes) of one space-led word."""
-        ids = [i for t in self.pattern.findall(word) for i in self._token(t)]
-        got = (len(ids), ",".join(map(str, ids)), self.join(ids))
-        if len(word) <= REMEMBERED_CHARS:
-            self.words.put(word, got)
-        return got
+    def _merged(self, tokens) -> dict:
+        """Ids of every pre-token."""
+        out, new = self.tokens.known(tokens)
+        short = []
+        for t in new:
+            raw = t.encode()
+            if 1 < len(raw) <= LOCKSTEP_BYTES:
+                short.append(raw)
+            else:
+                out[t] = tuple(merge([self.byte_id[b] for b in raw], self.pairs))
+        if short:
+            merged = dict(zip([raw.decode() for raw in short], merge_many(short, self.byte_ids, self.sorted_pairs)))
+            self.tokens.put_all(merged)
+            out.update(merged)
+        return out
+
+    def _new_words(self, words: list[str]) -> dict:
+        """(number of ids, their decimal form, their bytes) of words not met before."""
+        find, added = self.pattern.findall, self.added
+        cut = [() if w in added else find(w) for w in words]
+        ids_of = self._merged({t for tokens in cut for t in tokens})
+        decimal, of = self.decimal, self.bytes_of
+        out = {}
+        for w, tokens in zip(words, cut):
+            if len(tokens) == 1:
+                ids = ids_of[tokens[0]]
+            else:
+                ids = [i for t in tokens for i in ids_of[t]] if tokens else (added[w],)
+            out[w] = (len(ids), ",".join([decimal[i] for i in ids]), b"".join([of[i] for i in ids]))
+        self.words.put_all(out)
+        return out
+
+    def _looked_up(self, words: list[str]) -> list[tuple]:
+        out = []
+        for a in range(0, len(words), GROUP_WORDS):
+            part = words[a:a + GROUP_WORDS]
+            got = list(map(self.words.young.get, part))
+            missing = {w for w, g in zip(part, got) if g is None}
+            if missing:
+                found, new = self.words.known(missing)
+                if new:
+                    found.update(self._new_words(new))
+                got = [g or found[w] for w, g in zip(part, got)]
+            out += got
+        return out
 
     def join(self, ids) -> bytes:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])
 
     def words_of(self, text: str) -> list[str]:
-        """Cuts the text before every single space that a non-space follows: the pattern
-        always begins a pre-token there."""
-        out, held = [], ""
-        parts = text.split(" ")
-        for k, part in enumerate(parts):
-            lead = " " if k else ""
-            if part and k and ("!" <= part[0] <= "~" or not part[0].isspace() and part[0] not in _SPACE):
-                if held:
-                    out.append(held)
-                held = lead + part
-            else:
-                held += lead + part
-        if held:
-            out.append(held)
-        return out
+        """Cuts the text before every space that a non-space follows: the pattern always
+        begins a pre-token there."""
+        return [w for w in _CUT.split(text) if w]
 
-    def parts(self, text: str) -> list[tuple]:
-        if not text:
-            return []
+    def _units(self, text: str) -> list[str]:
+        """Words and added tokens; a word never equals an added token, as the text is cut at those."""
         if self.special is None or not any(s in text for s in self.added):
-            runs = [text]
-        else:
-            runs = self.special.split(text)
+            return self.words_of(text) if text else []
         out = []
-        for run in runs:
+        for run in self.special.split(text):
             if run in self.added:
-                i = self.added[run]
-                out.append((1, str(i), self.bytes_of[i]))
+                out.append(run)
             elif run:
-                young = self.words.young
-                out += [young.get(w) or self.words.get(w) or self._word(w) for w in self.words_of(run)]
+                out += self.words_of(run)
+        return out
+
+    def parts(self, texts: list) -> list[list[tuple]]:
+        """Per text its words as (number of ids, their decimal form, their bytes)."""
+        out, units, ends = [], [], []
+        chars = 0
+        for at, text in enumerate(texts):
+            units += self._units(text or "")
+            ends.append(len(units))
+            chars += len(text or "")
+            if chars >= GROUP_CHARS or at == len(texts) - 1:
+                got = self._looked_up(units)
+                out += [got[a:b] for a, b in zip([0, *ends], ends)]
+                units, ends, chars = [], [], 0
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text or "") for i in p[1].split(",")]
+        return [int(i) for p in self.parts([text])[0] for i in p[1].split(",")]
 
     def decode(self, ids) -> str:
         return self.join(ids).decode("utf-8", errors="replace")
@@ -265,8 +395,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 n, ids, dec = [], [], []
-                for t in piece.column("text").to_pylist():
-                    parts = codec.parts(t or "")
+                for parts in codec.parts(piece.column("text").to_pylist()):
                     n.append(sum([p[0] for p in parts]))
                     ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                     text = b"".join([p[2] for p in parts]).decode("utf-8", errors="replace")
