@@ -20,12 +20,9 @@ AUTH_FAILED_EVENT = "RT0031"
 ZERO_GUID = "00000000-0000-0000-0000-000000000000"
 # separator between parts of a permission-error label (U+00B7 middle dot)
 LABEL_SEP = " · "
-# label lengths: ObjectId 50, ObjectName 200
+# widths of the displayed permission-error label and text (stored in full: the label is a key)
 OBJECT_ID_LEN = 50
 OBJECT_NAME_LEN = 200
-# change-log text column widths: UserId, CompanyName, TableName, FieldName, ChangeType, PrimaryKey
-CHANGE_LOG_WIDTHS = {"UserId": 132, "CompanyName": 100, "TableName": 200,
-                     "FieldName": 200, "ChangeType": 20, "PrimaryKey": 440}
 # change types of the change log
 CHANGE_TYPES = ["Insertion", "Modification", "Deletion"]
 # error classes: licence text, missing-right phrases (Czech and English), table number
@@ -71,22 +68,22 @@ def is_interactive(client_type: str | Column = "ClientType") -> Column:
 
 def auth_object_id(ptype: str | Column, otype: str | Column, oid: str | Column,
                    oname: str | Column) -> Column:
-    """``<perm> · <objtype>[ <id>][ <name>]`` cut to 50 characters."""
+    """``<perm> · <objtype>[ <id>][ <name>]``, in full: it is part of the error key."""
     oid_part = F.when(F.coalesce(col(oid), F.lit("")).isin("0", ""), F.lit("")) \
                 .otherwise(F.concat(F.lit(" "), col(oid)))
     name_part = F.when(F.coalesce(col(oname), F.lit("")) == "", F.lit("")) \
                  .otherwise(F.concat(F.lit(" "), col(oname)))
     label = F.concat(F.coalesce(empty_to_null(ptype), F.lit(MISSING_KEY)), F.lit(LABEL_SEP),
                      F.coalesce(empty_to_null(otype), F.lit(MISSING_KEY)), oid_part, name_part)
-    return empty_to_null(F.left(label, F.lit(OBJECT_ID_LEN)))
+    return empty_to_null(label)
 
 
 def auth_object_name(company: str | Column, err: str | Column, oname: str | Column) -> Column:
-    """``[<company> · ]coalesce(errorMessage, objectName)`` cut to 200; '' stored as NULL."""
+    """``[<company> · ]coalesce(errorMessage, objectName)``, in full; '' stored as NULL."""
     prefix = F.when(F.coalesce(col(company), F.lit("")) == "", F.lit("")) \
               .otherwise(F.concat(col(company), F.lit(LABEL_SEP)))
     text = F.concat(prefix, F.coalesce(kql_coalesce(err, oname), F.lit("")))
-    return empty_to_null(F.left(text, F.lit(OBJECT_NAME_LEN)))
+    return empty_to_null(text)
 
 
 def text_or_empty(c: str | Column) -> Column:

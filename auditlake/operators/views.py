@@ -22,14 +22,14 @@ TOP_ROWS_MAX = 1_000_000
 
 
 def top_rows(value) -> int:
-    """A row cap in 100..1,000,000; anything else falls back to 5,000."""
-    try:
-        n = int(value)
-    except (TypeError, ValueError):
+    """A row cap in 100..1,000,000; None is the default, anything else an error
+    (a report asked for 2,000,000 rows must not come back with 5,000)."""
+    if value is None:
         return TOP_ROWS_DEFAULT
-    if isinstance(value, float) and value != n:
-        return TOP_ROWS_DEFAULT
-    return n if TOP_ROWS_MIN <= n <= TOP_ROWS_MAX else TOP_ROWS_DEFAULT
+    text = str(value).strip()
+    if not text.isdecimal() or not TOP_ROWS_MIN <= int(text) <= TOP_ROWS_MAX:
+        raise ValueError(f"row cap {value!r} is not a whole number in {TOP_ROWS_MIN}..{TOP_ROWS_MAX}")
+    return int(text)
 
 
 # Largest cap served by Spark's TakeOrderedAndProject (every task keeps n rows,
@@ -201,9 +201,11 @@ def top_activity(daily: DataFrame, raw: DataFrame, n: int = TOP_ROWS_DEFAULT) ->
 
 # ---------------------------------------------------------------- T2 / T3
 def top_auth_failures(auth_daily: DataFrame, n: int = TOP_ROWS_DEFAULT) -> DataFrame:
-    """Newest days first, most failures first."""
-    return top_n(auth_daily.select("DateKey", "UserName", "ObjectId", "ObjectName", "Failures"),
-                 [desc("DateKey"), desc("Failures"), asc("UserName"), asc("ObjectId")], top_rows(n))
+    """Newest days first, most failures first; labels are ranked in full and cut for display."""
+    top = top_n(auth_daily.select("DateKey", "UserName", "ObjectId", "ObjectName", "Failures"),
+                [desc("DateKey"), desc("Failures"), asc("UserName"), asc("ObjectId")], top_rows(n))
+    return (top.withColumn("ObjectId", F.left("ObjectId", F.lit(C.OBJECT_ID_LEN)))
+            .withColumn("ObjectName", F.left("ObjectName", F.lit(C.OBJECT_NAME_LEN))))
 
 
 def audit_view(change_log: DataFrame) -> DataFrame:

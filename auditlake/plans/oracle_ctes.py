@@ -27,7 +27,7 @@ FROM page_views WHERE ClientType IN {INTERACTIVE}"""),
     "page_log": (("interactive",), """
 SELECT Id, "Timestamp", UserId, UserName, PageId, PageName, CompanyName FROM (
   SELECT *, row_number() OVER (PARTITION BY "Timestamp", UserId, COALESCE(PageId, '') ORDER BY Id) AS rn
-  FROM interactive WHERE UserId IS NOT NULL AND trim(UserId) <> '') t
+  FROM interactive WHERE "Timestamp" IS NOT NULL AND UserId IS NOT NULL AND trim(UserId) <> '') t
 WHERE rn = 1"""),
     "page_daily": (("page_log",), """
 SELECT DISTINCT DateKey, UserName, PageId, MAX(PageName) OVER day_page AS PageName, CompanyName,
@@ -49,16 +49,16 @@ SELECT event_id AS Id, date_trunc('millisecond', ts) AS "Timestamp", CAST(user_i
 FROM events"""),
     "auth_labels": (("trace_feed",), """
 SELECT Id, "Timestamp", UserId,
-       NULLIF(left(COALESCE(NULLIF(PermissionType, ''), '?') || ' · ' || COALESCE(NULLIF(ObjectType, ''), '?')
+       NULLIF(COALESCE(NULLIF(PermissionType, ''), '?') || ' · ' || COALESCE(NULLIF(ObjectType, ''), '?')
          || CASE WHEN COALESCE(ObjectNo, '') IN ('0', '') THEN '' ELSE ' ' || ObjectNo END
-         || CASE WHEN COALESCE(ObjectName, '') = '' THEN '' ELSE ' ' || ObjectName END, 50), '') AS ObjectId,
-       NULLIF(left(CASE WHEN COALESCE(CompanyName, '') = '' THEN '' ELSE CompanyName || ' · ' END
-         || COALESCE(NULLIF(ErrorMessage, ''), NULLIF(ObjectName, ''), ''), 200), '') AS ObjectName
+         || CASE WHEN COALESCE(ObjectName, '') = '' THEN '' ELSE ' ' || ObjectName END, '') AS ObjectId,
+       NULLIF(CASE WHEN COALESCE(CompanyName, '') = '' THEN '' ELSE CompanyName || ' · ' END
+         || COALESCE(NULLIF(ErrorMessage, ''), NULLIF(ObjectName, ''), ''), '') AS ObjectName
 FROM trace_feed WHERE EventId = 'RT0031'"""),
     "auth_fail_raw": (("auth_labels",), """
 SELECT "Timestamp", UserId, ObjectId, ObjectName FROM (
   SELECT *, row_number() OVER (PARTITION BY "Timestamp", UserId, COALESCE(ObjectId, '') ORDER BY Id DESC) AS rn
-  FROM auth_labels) t
+  FROM auth_labels WHERE "Timestamp" IS NOT NULL AND UserId IS NOT NULL AND trim(UserId) <> '') t
 WHERE rn = 1"""),
     "auth_fail_daily": (("auth_fail_raw",), """
 SELECT CAST("Timestamp" AS DATE) AS DateKey, UserId AS UserName, COALESCE(ObjectId, '?') AS ObjectId,
@@ -66,14 +66,14 @@ SELECT CAST("Timestamp" AS DATE) AS DateKey, UserId AS UserName, COALESCE(Object
 FROM auth_fail_raw GROUP BY CAST("Timestamp" AS DATE), UserId, COALESCE(ObjectId, '?')"""),
     "change_log": ((), """
 SELECT o_orderkey AS EntryNo, o_orderdate AS ChangedAt,
-       left(COALESCE('U' || CAST(o_custkey % 150 AS VARCHAR), ''), 132) AS UserId,
-       left(COALESCE('CO_' || CAST(o_orderkey % 7 AS VARCHAR), ''), 100) AS CompanyName,
+       COALESCE('U' || CAST(o_custkey % 150 AS VARCHAR), '') AS UserId,
+       COALESCE('CO_' || CAST(o_orderkey % 7 AS VARCHAR), '') AS CompanyName,
        COALESCE(CAST(o_custkey % 50 AS INTEGER), 0) AS TableNo,
-       left(COALESCE('Table ' || CAST(o_custkey % 50 AS VARCHAR), ''), 200) AS TableName,
+       COALESCE('Table ' || CAST(o_custkey % 50 AS VARCHAR), '') AS TableName,
        COALESCE(CAST(o_orderkey % 20 AS INTEGER), 0) AS FieldNo,
-       left(COALESCE('Field ' || CAST(o_orderkey % 20 AS VARCHAR), ''), 200) AS FieldName,
-       left(CASE o_orderstatus WHEN 'F' THEN 'Insertion' WHEN 'O' THEN 'Modification' ELSE 'Deletion' END, 20) AS ChangeType,
-       left(COALESCE(CAST(o_orderkey AS VARCHAR), ''), 440) AS PrimaryKey,
+       COALESCE('Field ' || CAST(o_orderkey % 20 AS VARCHAR), '') AS FieldName,
+       CASE o_orderstatus WHEN 'F' THEN 'Insertion' WHEN 'O' THEN 'Modification' ELSE 'Deletion' END AS ChangeType,
+       COALESCE(CAST(o_orderkey AS VARCHAR), '') AS PrimaryKey,
        COALESCE(CAST(o_custkey AS VARCHAR), '') AS OldValue, COALESCE(o_orderpriority, '') AS NewValue
 FROM orders"""),
     "users": ((), """

@@ -120,8 +120,9 @@ def auth_error_classes(spark, sf_dir):
 
 
 @query("auth_error_top", "T2", sql("""
-SELECT DateKey, UserName, ObjectId, ObjectName, Failures FROM auth_fail_daily
-ORDER BY DateKey DESC, Failures DESC, UserName NULLS FIRST, ObjectId NULLS FIRST LIMIT 5000""",
+SELECT DateKey, UserName, left(f.ObjectId, 50) AS ObjectId, left(f.ObjectName, 200) AS ObjectName, Failures
+FROM auth_fail_daily f
+ORDER BY DateKey DESC, Failures DESC, UserName NULLS FIRST, f.ObjectId NULLS FIRST LIMIT 5000""",
                                    "auth_fail_daily"))
 def auth_error_top(spark, sf_dir):
     return V.top_auth_failures(TB.auth_fail_daily(spark, sf_dir), V.TOP_ROWS_DEFAULT)

@@ -11,6 +11,7 @@ from auditlake.functions import columns as C
 from auditlake.operators import dedup as D
 from auditlake.operators import filters as FL
 from auditlake.operators import health as H
+from auditlake.operators import identity as ID
 from auditlake.operators import retention as RT
 from auditlake.operators import views as V
 from auditlake.plans import tables as TB
@@ -151,7 +152,7 @@ def _newest_rows(spark, sf_dir):
     """Newest row per module. ``Timestamp`` is part of the raw tables' dedup
     keys, so deduplication cannot change its maximum: the cleaned feeds give
     the same answer without the dedup shuffle."""
-    pages, _ = L.split_quarantine(TB.interactive_views(spark, sf_dir), ["UserId"])
+    pages, _ = L.split_quarantine(TB.interactive_views(spark, sf_dir), L.PAGE_REQUIRED)
     return (V.newest(pages, "Timestamp", "A")
             .unionByName(V.newest(TB.change_log(spark, sf_dir), "ChangedAt", "B"))
             .unionByName(V.newest(TB.auth_labels(spark, sf_dir), "Timestamp", "C")))
@@ -167,14 +168,6 @@ def freshness(spark, sf_dir):
     return _freshness(spark, sf_dir)
 
 
-@query("alerts", "H5 H1", sql(f"""
-SELECT CASE WHEN bool_or(Stale) THEN 'ERROR' ELSE 'OK' END AS Status, COUNT(*) FILTER (WHERE Stale) AS Problems
-FROM ({FRESH_SQL}) f""", "newest"))
-def alerts(spark, sf_dir):
-    fr = _freshness(spark, sf_dir)
-    return H.overall_status(fr.select(F.col("Stale").alias("Problem")))
-
-
 @query("filtered_table", "P13", sql("""
 SELECT * FROM change_log WHERE lower(TableName) LIKE '%able 1%' AND ChangeType = 'Deletion'
   AND CAST(ChangedAt AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""", "change_log"))
@@ -200,11 +193,57 @@ def _bars(value: str) -> str:
 @query("top_users", "T5 W5 A16", sql(f"""
 SELECT Label, Value, {_bars('Value')} AS Bar FROM (
   SELECT *, CASE WHEN MAX(Value) OVER () > 0 THEN round_even(100.0 * Value / MAX(Value) OVER (), 0) ELSE 0 END AS r
-  FROM (SELECT UserName AS Label, CAST(SUM(Hits) AS BIGINT) AS Value FROM page_daily GROUP BY UserName
-        ORDER BY Value DESC, Label LIMIT 10) t) b""", "page_daily"))
+  FROM (SELECT COALESCE((SELECT MAX(Name) FROM user_map m WHERE m.UserId = t.UserName), UserName) AS Label, Value
+        FROM (SELECT UserName, CAST(SUM(Hits) AS BIGINT) AS Value FROM page_daily GROUP BY UserName
+              ORDER BY Value DESC, UserName LIMIT 10) t) n) b""", "page_daily", "user_map"))
 def top_users(spark, sf_dir):
-    """Report: top 10 users by opens with bar widths."""
-    return V.top_groups(TB.page_daily(spark, sf_dir), "UserName", "Hits", 10)
+    """Report: top 10 users by opens with bar widths; the shown users get their names."""
+    top = V.top_groups(TB.page_daily(spark, sf_dir), "UserName", "Hits", 10)
+    named = ID.enrich_with_user_map(top, "Label", ID.user_map(TB.users(spark, sf_dir)))
+    return named.select(F.col("Name").alias("Label"), "Value", "Bar")
+
+
+def _change_report(column: str, n: int) -> str:
+    return f"""
+SELECT Label, Value, {_bars('Value')} AS Bar FROM (
+  SELECT *, round_even(100.0 * Value / MAX(Value) OVER (), 0) AS r
+  FROM (SELECT {column} AS Label, COUNT(*) AS Value FROM change_log GROUP BY ALL
+        ORDER BY Value DESC, Label LIMIT {n}) t) b"""
+
+
+@query("top_change_types", "T5 W5 A16", sql(_change_report("ChangeType", 8), "change_log"))
+def top_change_types(spark, sf_dir):
+    """Report: changes per type (top 8) with bar widths."""
+    return V.top_groups(TB.change_log(spark, sf_dir).withColumn("_one", F.lit(1)), "ChangeType", "_one", 8)
+
+
+@query("top_audit_companies", "T5 W5 A16", sql(_change_report("CompanyName", 10), "change_log"))
+def top_audit_companies(spark, sf_dir):
+    """Report: changes per company (top 10) with bar widths."""
+    return V.top_groups(TB.change_log(spark, sf_dir).withColumn("_one", F.lit(1)), "CompanyName", "_one", 10)
+
+
+@query("quarantined_rows", "P5 S2 S3", sql("""
+SELECT 'A' AS Module, Id, 'missing Timestamp/UserId' AS QuarantineReason FROM interactive WHERE Id % 31 = 0 OR Id % 37 = 0
+UNION ALL SELECT 'B', EntryNo, 'missing EntryNo/ChangedAt' FROM change_log WHERE EntryNo % 41 = 0 OR EntryNo % 43 = 0
+UNION ALL SELECT 'C', Id, 'missing Timestamp/UserId' FROM auth_labels WHERE Id % 31 = 0 OR Id % 37 = 0""",
+                                            "interactive", "change_log", "auth_labels"))
+def quarantined_rows(spark, sf_dir):
+    """Rows kept aside when feeds deliver missing times, blank users and missing entry numbers."""
+    def damaged(feed):
+        return feed.withColumns({"Timestamp": F.when(F.col("Id") % 31 != 0, F.col("Timestamp")),
+                                 "UserId": F.when(F.col("Id") % 37 == 0, F.lit(" ")).otherwise(F.col("UserId"))})
+
+    changes = X.change_feed(spark, sf_dir)
+    number = F.col("Entry_No")
+    changes = changes.withColumns({"Entry_No": F.when(number % 41 != 0, number),
+                                   "Date_and_Time": F.when(number % 43 != 0, F.col("Date_and_Time"))})
+    bad = [("A", "Id", L.scan_page_views(damaged(X.page_views(spark, sf_dir))), L.PAGE_REQUIRED),
+           ("B", "PrimaryKey", L.shape_change_log(changes), L.CHANGE_REQUIRED),
+           ("C", "Id", L.scan_auth_failures(damaged(X.trace_feed(spark, sf_dir))), L.AUTH_REQUIRED)]
+    parts = [L.split_quarantine(df, need)[1].select(F.lit(m).alias("Module"), F.col(c).cast("long").alias("Id"),
+                                                    "QuarantineReason") for m, c, df, need in bad]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("top_companies", "T5 W5 A16", sql(f"""
@@ -243,7 +282,7 @@ SELECT 'bct-daily-' || strftime(ts, '%Y%m%d') AS File, event_id AS LineNo,
 FROM events""")
 
 
-@query("step_status", "H3 S8", sql(r"""
+extra("step_rows", ("run_log",), r"""
 SELECT f.File, s.Step, x.ExitCode, x.ExitCode <> 0 AS Failed
 FROM (SELECT DISTINCT File FROM run_log) f
 CROSS JOIN (VALUES ('modul A'), ('modul C'), ('modul B'), ('uzivatele'), ('sync-status'), ('snapshot')) s(Step)
@@ -252,7 +291,10 @@ LEFT JOIN (SELECT File, Step, arg_min(ExitCode, LineNo) AS ExitCode FROM (
                     regexp_extract(value, '(?i)(modul A|modul C|modul B|uzivatele|sync-status|snapshot)\s+exit=\d+', 1) AS Step,
                     TRY_CAST(NULLIF(regexp_extract(value, '(?i)\bexit=(\d+)', 1), '') AS INTEGER) AS ExitCode
              FROM run_log) p WHERE Step <> '' GROUP BY File, Step) x
-  ON x.File = f.File AND x.Step = s.Step""", "run_log"))
+  ON x.File = f.File AND x.Step = s.Step""")
+
+
+@query("step_status", "H3 S8", sql("SELECT * FROM step_rows", "step_rows"))
 def step_status(spark, sf_dir):
     """Per daily run log: exit code of each step's first report, NULL when it never ran."""
     return H.step_status(L.parse_run_log(X.run_log_lines(spark, sf_dir)), L.STEP_LABELS)
@@ -266,6 +308,20 @@ def import_rollback(spark, sf_dir):
     return H.rollback_seen(L.parse_run_log(X.run_log_lines(spark, sf_dir)))
 
 
+@query("alerts", "H5 H1 H3", sql(f"""
+SELECT CASE WHEN bool_or(bad) THEN 'ERROR' ELSE 'OK' END AS Status, COUNT(*) FILTER (WHERE bad) AS Problems
+FROM (SELECT Stale AS bad FROM ({FRESH_SQL}) f UNION ALL SELECT Failed FROM step_rows
+      UNION ALL SELECT bool_or(regexp_matches(value, '(?i)Import ROLLBACK')) FROM run_log GROUP BY File) p""",
+                                  "newest", "step_rows"))
+def alerts(spark, sf_dir):
+    """One status over stale data, failed steps and import rollbacks."""
+    lines = L.parse_run_log(X.run_log_lines(spark, sf_dir))
+    flags = [(_freshness(spark, sf_dir), "Stale"), (H.step_status(lines, L.STEP_LABELS), "Failed"),
+             (H.rollback_seen(lines), "Rollback")]
+    found = [df.select(F.col(c).alias("Problem")) for df, c in flags]
+    return H.overall_status(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 @query("feed_status_age", "H2 A18", sql("""
 SELECT Section AS Module, true AS Ok, Newest AS CheckedAt,
        CAST(greatest(0, floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5))

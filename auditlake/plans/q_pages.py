@@ -54,7 +54,7 @@ def page_views_dedup(spark, sf_dir):
     """A feed delivered twice collapses to one row per (Timestamp, UserId, PageId)."""
     feed = X.page_views(spark, sf_dir)
     batch = L.scan_page_views(feed.unionByName(feed))
-    good, _ = L.split_quarantine(batch, ["UserId"])
+    good, _ = L.split_quarantine(batch, L.PAGE_REQUIRED)
     return D.dedup_batch(good, D.page_key(), order=["Id"])
 
 
@@ -72,7 +72,7 @@ def page_views_insert_if_absent(spark, sf_dir):
     """A re-pull overlapping stored rows inserts only the rows not stored yet."""
     history = TB.page_log(spark, sf_dir).filter(F.col("Timestamp") < F.lit(INSERT_HISTORY_END))
     batch = TB.interactive_views(spark, sf_dir).filter(F.col("Timestamp") >= F.lit(REDELIVERY_FROM))
-    good, _ = L.split_quarantine(batch, ["UserId"])
+    good, _ = L.split_quarantine(batch, L.PAGE_REQUIRED)
     return D.insert_if_absent(good, history, D.page_key(), order=["Id"], prune_col="Timestamp")
 
 

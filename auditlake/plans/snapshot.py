@@ -19,8 +19,8 @@ from auditlake.sources import sinks as S
 class Settings:
     """Run settings, validated the way the reference validates its inputs.
 
-    Out-of-range retention months (1..1200) and row caps (100..1,000,000)
-    fall back to the defaults; ``enabled_companies=None`` means all.
+    Out-of-range retention months (1..1200) fall back to the defaults, a row cap
+    outside 100..1,000,000 is an error; ``enabled_companies=None`` means all.
     """
     page_retention_months: int = RT.PAGE_RETENTION_MONTHS
     audit_retention_months: int = RT.AUDIT_RETENTION_MONTHS

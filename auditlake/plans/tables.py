@@ -32,7 +32,7 @@ def interactive_views(spark: SparkSession, sf_dir: str, since=None) -> DataFrame
 
 def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page log: interactive, cleaned, quarantine removed, deduplicated."""
-    good, _bad = L.split_quarantine(interactive_views(spark, sf_dir), ["UserId"])
+    good, _bad = L.split_quarantine(interactive_views(spark, sf_dir), L.PAGE_REQUIRED)
     return D.dedup_batch(good, D.page_key(), order=["Id"])
 
 
@@ -47,8 +47,8 @@ def auth_labels(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
 
 def auth_fail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw permission errors: one row per key, the last delivered row wins."""
-    labels = auth_labels(spark, sf_dir)
-    return D.dedup_batch(labels, D.auth_key(), order=["Id"], last=True) \
+    good, _bad = L.split_quarantine(auth_labels(spark, sf_dir), L.AUTH_REQUIRED)
+    return D.dedup_batch(good, D.auth_key(), order=["Id"], last=True) \
         .select("Timestamp", "UserId", "ObjectId", "ObjectName")
 
 

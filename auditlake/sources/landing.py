@@ -103,12 +103,21 @@ def scan_page_views(feed: DataFrame, since=None, lookback=None) -> DataFrame:
     )
 
 
+# NOT NULL columns of the three stored tables: a row without one of them goes to quarantine.
+PAGE_REQUIRED = ["Timestamp", "UserId"]
+CHANGE_REQUIRED = ["EntryNo", "ChangedAt"]
+AUTH_REQUIRED = ["Timestamp", "UserId"]
+
+
 def split_quarantine(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """P5: rows with a NULL / blank required column go to quarantine instead of
     failing the whole batch (the reference rolled back on a NOT NULL violation)."""
+    text = {c for c, t in df.dtypes if t == "string"}
     ok = None
     for c in required:
-        cond = F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
+        cond = F.col(c).isNotNull()
+        if c in text:
+            cond = cond & (F.trim(F.col(c)) != "")
         ok = cond if ok is None else ok & cond
     good = df.filter(ok)
     bad = df.filter(~ok | ok.isNull()).withColumn(
@@ -147,25 +156,24 @@ def read_change_pages(spark: SparkSession, path: str) -> DataFrame:
 def shape_change_log(feed: DataFrame) -> DataFrame:
     """ERP change-log entries -> stored row shape.
 
-    Text columns render NULL as '' and are cut to the stored widths, missing
-    TableNo / FieldNo become 0, the company comes from the scan.
+    Text columns render NULL as '' and are kept in full (the company is part of
+    the key), missing TableNo / FieldNo become 0, the company comes from the scan.
     """
-    w = C.CHANGE_LOG_WIDTHS
 
-    def cut(c, name):
-        return F.left(C.text_or_empty(c), F.lit(w[name])).alias(name)
+    def text(c, name):
+        return C.text_or_empty(c).alias(name)
 
     return feed.select(
         F.col("Entry_No").cast("long").alias("EntryNo"),
         F.col("Date_and_Time").alias("ChangedAt"),
-        cut("User_ID", "UserId"),
-        cut("Company", "CompanyName"),
+        text("User_ID", "UserId"),
+        text("Company", "CompanyName"),
         C.int_or_zero("Table_No").alias("TableNo"),
-        cut("Table_Caption", "TableName"),
+        text("Table_Caption", "TableName"),
         C.int_or_zero("Field_No").alias("FieldNo"),
-        cut("Field_Caption", "FieldName"),
-        cut("Type_of_Change", "ChangeType"),
-        cut("Primary_Key", "PrimaryKey"),
+        text("Field_Caption", "FieldName"),
+        text("Type_of_Change", "ChangeType"),
+        text("Primary_Key", "PrimaryKey"),
         C.text_or_empty("Old_Value").alias("OldValue"),
         C.text_or_empty("New_Value").alias("NewValue"),
     )

@@ -72,8 +72,21 @@ def ingest_auth_failures(spark: SparkSession, state: ST.State, traces: DataFrame
     if not repull and ST.exists(spark, raw_path):
         since = I.high_watermark(spark.read.parquet(raw_path), "Timestamp")
     labels = L.scan_auth_failures(traces, since=since)
+    # a row without a time passes no watermark filter: only those are looked for beside the scan
+    untimed = L.scan_auth_failures(traces.filter(F.col("Timestamp").isNull())) if since is not None else None
+    good, bad = L.split_quarantine(labels, L.AUTH_REQUIRED)
+    if untimed is not None:
+        bad = bad.unionByName(L.split_quarantine(untimed, L.AUTH_REQUIRED)[1])
+    # the feed is read again on every run: the table holds each unusable row once
+    bad = bad.distinct()
+    kept = state.path(ST.AUTH_QUARANTINE)
+    if ST.exists(spark, kept):
+        seen = spark.read.parquet(kept)
+        same = [bad[c].eqNullSafe(seen[c]) for c in bad.columns]
+        bad = bad.join(seen, same, "left_anti")
+    ST.keep_quarantine(bad, kept, max(ST._markers(spark, kept, "BatchId"), default=0) + 1)
     order = ["Id"] if "Id" in labels.columns else None
-    batch = D.dedup_batch(labels, D.auth_key(), order=order, last=True) \
+    batch = D.dedup_batch(good, D.auth_key(), order=order, last=True) \
         .select("Timestamp", "UserId", "ObjectId", "ObjectName") \
         .withColumn("DateKey", F.to_date("Timestamp"))
     n = batch.count()

@@ -103,6 +103,14 @@ def _overwrite_batch(df: DataFrame, path: str, parts: list[str]) -> None:
 PAGE_RAW = "page_log"
 PAGE_DELTAS = "page_daily_deltas"
 PAGE_QUARANTINE = "page_quarantine"
+CHANGE_QUARANTINE = "change_quarantine"
+AUTH_QUARANTINE = "auth_quarantine"
+
+
+def keep_quarantine(bad: DataFrame, path: str, batch_id: int) -> None:
+    """Rows that can't be stored, kept aside per batch; a retried batch replaces its own."""
+    if bad.limit(1).count() > 0:      # a cheap check saves an empty write job
+        _overwrite_batch(bad.withColumn("BatchId", F.lit(batch_id).cast("long")), path, ["BatchId"])
 
 
 def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame, batch_id: int,
@@ -123,7 +131,8 @@ def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame,
 
 def _ingest_views(spark: SparkSession, state: State, views: DataFrame, batch_id: int,
                   raw_path: str, delta_path: str) -> None:
-    good, bad = L.split_quarantine(views, ["UserId"])
+    good, bad = L.split_quarantine(views, L.PAGE_REQUIRED)
+    keep_quarantine(bad, state.path(PAGE_QUARANTINE), batch_id)
     order = ["Id"] if "Id" in views.columns else None
     deduped = D.dedup_batch(good, D.page_key(), order=order)
     if exists(spark, raw_path):
@@ -139,13 +148,12 @@ def _ingest_views(spark: SparkSession, state: State, views: DataFrame, batch_id:
                 .filter(F.col("DateKey").between(F.lit(lo.date()), F.lit(hi.date())))
                 .filter(F.col("Timestamp").between(F.lit(lo), F.lit(hi))))
         new = D.anti_join(deduped, hist, D.page_key())
+    elif good.isEmpty():      # nothing to store yet: don't leave a table without a file
+        return
     else:
         new = deduped
     tagged = new.withColumn("DateKey", F.to_date("Timestamp")).withColumn("BatchId", F.lit(batch_id).cast("long"))
     _overwrite_batch(tagged, raw_path, ["DateKey", "BatchId"])
-    if bad.limit(1).count() > 0:      # a cheap check on the persisted batch saves an empty write job
-        _overwrite_batch(bad.withColumn("BatchId", F.lit(batch_id).cast("long")),
-                         state.path(PAGE_QUARANTINE), ["BatchId"])
     # the delta is computed from exactly what was stored for this batch
     stored = spark.read.parquet(raw_path).filter(F.col("BatchId") == batch_id)
     _overwrite_batch(R.daily_delta(stored.drop("DateKey", "BatchId"), batch_id), delta_path, ["BatchId"])
@@ -246,20 +254,29 @@ CHANGE_STORE = "change_log"
 
 
 def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFrame, batch_id: int) -> None:
-    """One micro-batch of change-log pages: explode, shape, D3, append."""
+    """One micro-batch of change-log pages: explode, shape, quarantine, D3, append.
+
+    Entries without a number or a time, and pages that are no ``{value:[...]}``
+    document, go to quarantine; a malformed page leaves one row with its company."""
     path = state.path(CHANGE_STORE)
     entries = pages_batch.select("Company", F.explode("value").alias("e")).select("Company", "e.*")
     shaped = L.shape_change_log(entries).persist()
-    rows = D.dedup_batch(shaped, D.change_key())
+    good, bad = L.split_quarantine(shaped, L.CHANGE_REQUIRED)
+    broken = pages_batch.filter(F.col("value").isNull()).select(
+        F.col("Company").alias("CompanyName"), F.lit("malformed page").alias("QuarantineReason"))
+    rows = D.dedup_batch(good, D.change_key())
     try:
+        keep_quarantine(bad.unionByName(broken, allowMissingColumns=True), state.path(CHANGE_QUARANTINE), batch_id)
         new = rows
         if exists(spark, path):
-            lo, hi = shaped.agg(F.min("EntryNo"), F.max("EntryNo")).first()
+            lo, hi = good.agg(F.min("EntryNo"), F.max("EntryNo")).first()
             if lo is None:
                 return
             hist = (spark.read.parquet(path).filter(F.col("BatchId") != batch_id)
                     .filter(F.col("EntryNo").between(F.lit(lo), F.lit(hi))))
             new = D.anti_join(rows, hist, D.change_key())
+        elif good.isEmpty():
+            return
         _overwrite_batch(new.withColumn("BatchId", F.lit(batch_id).cast("long")), path, ["BatchId"])
     finally:
         shaped.unpersist()

@@ -21,11 +21,23 @@ def test_auth_labels_follow_kql_coalesce(spark):
     ], key=repr)
 
 
-def test_label_lengths_are_cut(spark):
+def test_labels_are_kept_in_full(spark):
     df = spark.createDataFrame([("x" * 80, "y" * 300)], "n string, e string")
     r = df.select(C.auth_object_id(F.lit("Read"), F.lit("Page"), F.lit("7"), "n").alias("a"),
                   C.auth_object_name(F.lit("CO"), "e", "n").alias("b")).first()
-    assert len(r.a) == 50 and len(r.b) == 200
+    assert r.a == "Read · Page 7 " + "x" * 80 and r.b == "CO · " + "y" * 300
+
+
+def test_errors_that_differ_late_in_the_label_stay_apart(spark):
+    from auditlake.operators import dedup as D
+    from auditlake.operators import views as V
+    t = dt.datetime(2024, 1, 5)
+    labels = [(t, "u", "L" * 60 + end, "text") for end in "ab"]
+    df = spark.createDataFrame(labels, "Timestamp timestamp_ntz, UserId string, ObjectId string, ObjectName string")
+    assert D.dedup_batch(df, D.auth_key()).count() == 2
+    daily = df.select(F.to_date("Timestamp").alias("DateKey"), F.col("UserId").alias("UserName"), "ObjectId",
+                      "ObjectName", F.lit(1).alias("Failures"))
+    assert rows(V.top_auth_failures(daily), "ObjectId") == [("L" * 50,)] * 2     # cut in the display only
 
 
 def test_display_name_and_guid_cleaning(spark):

@@ -30,12 +30,17 @@ def test_retention_param_validation(value, expected):
     assert RT.retention_months(value, 24) == expected
 
 
-@pytest.mark.parametrize("value,expected", [(100, 100), (1_000_000, 1_000_000), (99, 5000), (10**7, 5000),
-                                            ("250", 250), (None, 5000)])
+@pytest.mark.parametrize("value,expected", [(100, 100), (1_000_000, 1_000_000), ("250", 250), (None, 5000)])
 def test_top_rows_validation(value, expected):
     assert V.top_rows(value) == expected
 
 
+@pytest.mark.parametrize("value", [99, 10**7, 2_000_000, "x", 250.5, True, ""])
+def test_top_rows_out_of_range_is_an_error(value):
+    with pytest.raises(ValueError):
+        V.top_rows(value)
+
+
 def test_purge_validation_and_counts(spark):
     log = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "CompanyName string, EntryNo long")
     req = RT.normalize_names(spark, [" A ", "", "A"])
@@ -168,9 +173,9 @@ def test_page_of_rows_deep_pages_match(spark):
 
 def test_settings_validation():
     from auditlake.plans.snapshot import Settings
-    s = Settings(page_retention_months=0, audit_retention_months="36", top_rows=50,
+    s = Settings(page_retention_months=0, audit_retention_months="36", top_rows="500",
                  enabled_companies=[" CO_1", "", "CO_1", "CO_2"], stale_hours=-1).validated()
-    assert (s.page_retention_months, s.audit_retention_months, s.top_rows) == (6, 36, 5000)
+    assert (s.page_retention_months, s.audit_retention_months, s.top_rows) == (6, 36, 500)
     assert s.enabled_companies == ["CO_1", "CO_2"] and s.stale_hours == 24.0
     assert Settings().validated().enabled_companies is None
 

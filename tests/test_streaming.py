@@ -160,3 +160,41 @@ def test_raw_telemetry_json_landing_is_flattened_by_the_stream(spark):
     ST.run_page_stream(spark, landing, state, L.TELEMETRY_SCHEMA, fmt="json")
     stored = ST.stored_page_log(spark, state)
     assert stored.count() == 6 and {r.CompanyName for r in stored.collect()} == {"CO"}
+
+
+def test_unusable_rows_of_all_modules_go_to_quarantine_once(spark):
+    from auditlake.streaming.daily_run import ingest_auth_failures
+    state = ST.State(tempfile.mkdtemp(prefix="al-quar3-"))
+    # A: a view without a time, delivered twice, is never stored nor counted
+    batch = views(spark, 0, 4).withColumn("Timestamp", F.when(F.col("Id") != 2, F.col("Timestamp")))
+    for n in (1, 2):
+        ST.ingest_page_batch(spark, state, batch, n)
+    assert rows(ST.stored_page_log(spark, state), "Id") == [(0,), (1,), (3,)]
+    assert rows(spark.read.parquet(state.path(ST.PAGE_QUARANTINE)), "Id", "BatchId") == [(2, 1), (2, 2)]
+    # B: entries without number or time, and a page that is no document
+    entry = "struct<Entry_No:bigint,Date_and_Time:timestamp_ntz,User_ID:string,Table_No:string," \
+            "Table_Caption:string,Field_No:string,Field_Caption:string,Type_of_Change:string," \
+            "Primary_Key:string,Old_Value:string,New_Value:string>"
+    rest = ("U", "18", "T", "1", "F", "Insertion")
+    entries = [(1, T0, *rest, "a", "", ""), (None, T0, *rest, "b", "", ""), (None, T0, *rest, "c", "", ""),
+               (4, None, *rest, "d", "", "")]
+    pages = spark.createDataFrame([("A", entries), ("B", None)], f"Company string, value array<{entry}>")
+    for _ in range(2):                                    # a retried batch replaces its own rows
+        ST.ingest_change_batch(spark, state, pages, 1)
+    assert rows(ST.stored_change_log(spark, state), "PrimaryKey") == [("a",)]
+    kept = spark.read.parquet(state.path(ST.CHANGE_QUARANTINE))
+    assert rows(kept, "CompanyName", "PrimaryKey") == sorted([("A", "b"), ("A", "c"), ("A", "d"), ("B", None)], key=repr)
+    # a first batch with nothing usable leaves no table behind
+    empty = ST.State(tempfile.mkdtemp(prefix="al-quar4-"))
+    ST.ingest_change_batch(spark, empty, pages.filter("Company = 'B'"), 1)
+    assert not ST.exists(spark, empty.path(ST.CHANGE_STORE))
+    # C: re-pulled unusable traces are held once
+    cols = ["EventId", "PermissionType", "ObjectType", "ObjectNo", "ObjectName", "CompanyName", "ErrorMessage"]
+    traces = spark.createDataFrame([(1, T0, "u"), (2, T0, None), (3, None, "u")],
+                                   "Id long, Timestamp timestamp_ntz, UserId string")
+    traces = traces.select("*", *[F.lit("RT0031" if c == "EventId" else "x").alias(c) for c in cols])
+    for _ in range(2):
+        ingest_auth_failures(spark, state, traces, repull=True)
+        ingest_auth_failures(spark, state, traces)
+    assert spark.read.parquet(state.path("auth_fail_raw")).count() == 1
+    assert rows(spark.read.parquet(state.path(ST.AUTH_QUARANTINE)), "Id") == [(2,), (3,)]
