@@ -397,12 +397,21 @@ def export_roundtrip(spark, sf_dir):
     return back.withColumnRenamed(back.columns[0], back.columns[0].lstrip(S.BOM))
 
 
+STORED_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+                 "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
 @query("storage_inventory", "S13 U3")
 def storage_inventory(spark, sf_dir):
     """Rows and MB per driver table (file sizes are engine-specific: rows-only check)."""
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-             "embeddings", "pages", "benchmark", "labels", "conversations"]
-    return S.storage_inventory(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in names})
+    return S.storage_inventory(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in STORED_TABLES})
+
+
+@query("table_row_counts", "S13 U3", sql(" UNION ALL ".join(
+    f"SELECT '{n}' AS Dataset, COUNT(*) AS Rows FROM {n}" for n in STORED_TABLES)))
+def table_row_counts(spark, sf_dir):
+    """The inventory's row counts."""
+    return storage_inventory(spark, sf_dir).select("Dataset", "Rows")
 
 
 extra("stream_deltas", ("page_log",), """

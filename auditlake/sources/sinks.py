@@ -70,15 +70,15 @@ def write_snapshot(sections: dict[str, DataFrame], path: str, generated_utc: str
 def storage_inventory(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     """Rows and size (MB, one decimal) per dataset, largest first.
 
-    Size is the sum of the distinct data files' sizes from the ``_metadata``
-    column; counting and size both run on the executors.
+    Sizes are file lengths (``binaryFile`` without its content reads no file), counts come from
+    one scan without columns; both run on the executors.
     """
     parts = []
     for name, path in datasets.items():
         df = spark.read.parquet(path)
         rows = df.agg(F.count(F.lit(1)).alias("Rows"))
-        files = df.select("_metadata.file_path", "_metadata.file_size").distinct() \
-            .agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("Bytes"))
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path) \
+            .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("Bytes"))
         # two single-row aggregates combined by union + max (no join)
         both = rows.withColumn("Bytes", F.lit(None).cast("long")).unionByName(
             files.withColumn("Rows", F.lit(None).cast("long")))

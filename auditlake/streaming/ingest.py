@@ -287,30 +287,47 @@ def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFram
 BASE_BATCH = 0
 
 
+def _live_batches(spark: SparkSession, path: str) -> tuple[int, list[int], list[int]]:
+    """(newest folded batch, batches that hold the rows, leftovers already folded).
+
+    A compacted base is the partition ``BatchId=-<newest folded batch>``: it appears with one
+    rename, and that name alone tells which other partitions it replaces."""
+    batches = sorted(_markers(spark, path, "BatchId"))
+    base = min((b for b in batches if b <= BASE_BATCH), default=BASE_BATCH)
+    live = [b for b in batches if b == base or b > -base]
+    return -base, live, [b for b in batches if b not in live]
+
+
+def _live_rows(spark: SparkSession, path: str) -> DataFrame:
+    upto, _, _ = _live_batches(spark, path)
+    return spark.read.parquet(path).filter((F.col("BatchId") == -upto) | (F.col("BatchId") > upto))
+
+
 def compact_change_log(spark: SparkSession, state: State) -> int:
-    """Fold all ``BatchId`` partitions of the stored change log into one.
+    """Fold all ``BatchId`` partitions of the stored change log into one base.
 
-    The rows (deduplicated by key, so a re-run after a crash is harmless) are
-    staged as the base batch ``0``; that partition is swapped in first and the
-    folded ones removed afterwards, so an interruption can only leave
-    duplicates behind -- never lose rows -- and the next compaction removes
-    them. Returns the number of partitions folded.
+    The rows are staged, the base appears with one rename, and the folded partitions
+    are removed afterwards. Readers (``stored_change_log``) skip what the newest base
+    has folded, so each row is seen once before, between and after the two steps, and
+    an interrupted compaction is finished by the next. Returns the number of partitions folded.
     """
     from auditlake.sources.sinks import recover_table, swap_partitions
     path = state.path(CHANGE_STORE)
     if not exists(spark, path):
         return 0
     recover_table(spark, path)
-    batches = sorted(_markers(spark, path, "BatchId"))
-    folded = [b for b in batches if b != BASE_BATCH]
-    if not folded or batches == [BASE_BATCH]:
-        return 0
-    rows = D.dedup_batch(spark.read.parquet(path).drop("BatchId"), D.change_key())
-    staging = state.path(f"_staging/compact-{max(folded)}")
-    rows.withColumn("BatchId", F.lit(BASE_BATCH).cast("long")).write.mode("overwrite") \
-        .partitionBy("BatchId").parquet(staging)
-    swap_partitions(spark, path, staging, [f"BatchId={BASE_BATCH}"])
-    swap_partitions(spark, path, staging, [f"BatchId={b}" for b in folded])
+    upto, live, leftovers = _live_batches(spark, path)
+    folded = [b for b in live if b > upto]
+    if folded:
+        newest = max(folded)
+        rows = D.dedup_batch(_live_rows(spark, path).drop("BatchId"), D.change_key())
+        staging = state.path(f"_staging/compact-{newest}")
+        rows.withColumn("BatchId", F.lit(-newest).cast("long")).write.mode("overwrite") \
+            .partitionBy("BatchId").parquet(staging)
+        swap_partitions(spark, path, staging, [f"BatchId={-newest}"])
+        leftovers = _live_batches(spark, path)[2]
+    none_staged = state.path("_staging/none")
+    swap_partitions(spark, path, none_staged, [f"BatchId={b}" for b in leftovers])
     return len(folded)
 
 
@@ -377,7 +394,8 @@ def run_change_stream(spark: SparkSession, landing: str, state: State, max_files
 
 
 def stored_change_log(spark: SparkSession, state: State) -> DataFrame:
-    return spark.read.parquet(state.path(CHANGE_STORE)).drop("BatchId")
+    """The stored entries, each once, also while a compaction runs or after it was interrupted."""
+    return _live_rows(spark, state.path(CHANGE_STORE)).drop("BatchId")
 
 
 def land_change_pages(entries: DataFrame, landing: str, page_rows: int = 5000) -> None:

@@ -1,6 +1,7 @@
 import datetime as dt
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import dedup as D
@@ -114,7 +115,7 @@ def test_quarantined_rows_are_kept_aside(spark):
     assert [(r.Id, r.BatchId) for r in q.collect()] == [(2, 7)]
 
 
-def test_change_log_compaction_folds_batches_and_survives_a_rerun(spark):
+def test_change_log_compaction_folds_batches_and_survives_a_stop(spark, monkeypatch):
     state = ST.State(tempfile.mkdtemp(prefix="al-ccomp-"))
     entry = "struct<Entry_No:bigint,Date_and_Time:timestamp_ntz,User_ID:string,Table_No:string," \
             "Table_Caption:string,Field_No:string,Field_Caption:string,Type_of_Change:string," \
@@ -129,10 +130,30 @@ def test_change_log_compaction_folds_batches_and_survives_a_rerun(spark):
     before = sorted(r.EntryNo for r in ST.stored_change_log(spark, state).collect())
     assert ST.compact_change_log(spark, state) == 3
     after = spark.read.parquet(state.path(ST.CHANGE_STORE))
-    assert {r.BatchId for r in after.collect()} == {ST.BASE_BATCH}
+    assert {r.BatchId for r in after.collect()} == {-3}
     assert sorted(r.EntryNo for r in after.collect()) == before == list(range(1, 12))
     assert ST.compact_change_log(spark, state) == 0
-
+    # stopped between the two steps: every entry is still read once, and the next run cleans up
+    from auditlake.sources import sinks
+    ST.ingest_change_batch(spark, state, spark.createDataFrame([page(10, 15)], schema), 4)
+    real, calls = sinks.swap_partitions, []
+
+    def stops(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("stopped")
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "swap_partitions", stops)
+    with pytest.raises(OSError):
+        ST.compact_change_log(spark, state)
+    monkeypatch.undo()
+    assert set(ST._markers(spark, state.path(ST.CHANGE_STORE), "BatchId")) == {-4, -3, 4}
+    assert rows(ST.stored_change_log(spark, state), "EntryNo") == sorted(((n,) for n in range(1, 15)), key=repr)
+    ST.ingest_change_batch(spark, state, spark.createDataFrame([page(14, 17)], schema), 5)
+    assert ST.compact_change_log(spark, state) == 1
+    assert ST._markers(spark, state.path(ST.CHANGE_STORE), "BatchId") == [-5]
+    assert rows(ST.stored_change_log(spark, state), "EntryNo") == sorted(((n,) for n in range(1, 17)), key=repr)
 
 
 def test_page_log_compaction_per_day_keeps_rows_and_history(spark):
