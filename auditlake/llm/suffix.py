@@ -165,13 +165,20 @@ def _spans(w: Words, a: Anchors, lead: np.ndarray, d: int, marks: list, size: in
     lo, hi = np.searchsorted(a.doc, [d, d + 1])
     base = int(w.first[d])
     whole = {m["pos"]: m for m in marks if not m["win"]}
-    at: dict[int, tuple] = {m["pos"]: (m["src_doc"], m["src_pos"]) for m in marks if m["win"]}
-    for i in range(lo, hi):  # an anchor class is marked at its first place in the document
+    wins = {m["pos"]: (m["src_doc"], m["src_pos"]) for m in marks if m["win"]}
+    at: dict[int, tuple] = dict(wins)
+    for i in range(lo, hi):  # an anchor class is marked at its first place in the document, and so are its windows
         m = whole.get(int(a.at[lead[i]]) - base)
+        own = range(int(a.low[i]) - base, int(a.high[i]) - base + 1)
         if m is not None:
             shift = m["src_pos"] - (int(a.at[i]) - base)
-            for s in range(int(a.low[i]) - base, int(a.high[i]) - base + 1):
+            for s in own:
                 at[s] = (m["src_doc"], s + shift)
+        elif lead[i] != i and wins:
+            shift = int(a.at[lead[i]]) - int(a.at[i])
+            for s in own:
+                if s + shift in wins:
+                    at[s] = wins[s + shift]
     starts = np.array(sorted(at), dtype=np.int64)
     if not len(starts):
         return []

@@ -160,6 +160,20 @@ def test_suffix_passages(spark, parts):
         assert words[r.src_doc_id][r.src_start:][:50] == words[r.doc_id][r.start_word:][:50]
 
 
+def test_suffix_passages_twice_in_one_document(spark):
+    """The first holder of an anchor class may hold its block twice: both copies repeat the earlier document."""
+    docs = []
+    for i in range(40):
+        p = prose(1000 + i, 50 + i % 25)
+        block = prose(2000 + i, 60) + " " + p + " " + prose(3000 + i, 60)
+        docs += [(2 * i, prose(4000 + i, 30) + " " + p + " " + prose(5000 + i, 30)),
+                 (2 * i + 1, block + " " + prose(6000 + i, 20) + " " + block + " " + block)]
+    rows = suffix.op5(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.start_word, r.n_words) for r in rows} == spans_over(docs, 50)
+    words = {d: B.words(t) for d, t in docs}
+    assert all(words[r.src_doc_id][r.src_start:][:50] == words[r.doc_id][r.start_word:][:50] for r in rows)
+
+
 def test_suffix_awkward(nasty):
     got = {r.doc_id for r in suffix.op5(nasty).collect()}
     assert {1, 2, 4, 12} <= got and not got & {3, 5, 6, 7, 8, 13, 14, 15, 16}
