@@ -58,6 +58,8 @@ def neighbour_marks(seeds: DataFrame) -> DataFrame:
             out = []
             for g, c, *place in zip(*[batch.column(x).to_pylist() for x in ("gram", "context", *PLACE)]):
                 if key == (g, c):
+                    if place[:2] == first[:2]:  # the same document delivered again
+                        continue
                     out.append(("whole", *place, *first, part if at_border else None, None, None, None, None))
                     continue
                 if key is not None:
@@ -96,7 +98,8 @@ def join_borders(edges: list) -> tuple[list, list, list]:
             cur = (key, place(r), r["need"])
             continue
         if cur and cur[0] == key:
-            whole.append((*place(r), *cur[1]))
+            if place(r)[:2] != cur[1][:2]:
+                whole.append((*place(r), *cur[1]))
             corrected.append((r["edge"], *cur[1]))
             cur = (key, cur[1], cur[2] or r["need"])
         else:
@@ -131,7 +134,8 @@ def repeats(docs: DataFrame, size: int = SIZE, k: int = GRAM) -> DataFrame:
     border = whole.where("edge is not null").join(F.broadcast(fix), "edge", "left").select(
         *PLACE, *[F.when(F.col("g_pos").isNotNull(), F.col(f"g_{c}")).otherwise(F.col(f"f_{c}")).alias(f"f_{c}")
                   for c in PLACE])
-    whole = inner.unionByName(border).unionByName(spark.createDataFrame(e_whole, place + ", " + src))
+    whole = inner.unionByName(border).unionByName(spark.createDataFrame(e_whole, place + ", " + src)) \
+        .where("not (doc_id <=> f_doc_id and crc = f_crc)")  # a border class may begin in the document itself
     part = marks.where("kind = 'part'").select(*PLACE).unionByName(spark.createDataFrame(e_part, place))
     wins = repeated_windows(written(window_rows(d, part, size, k), "windows")).select(
         *PLACE, F.col("first.doc_id").alias("f_doc_id"), F.col("first.crc").alias("f_crc"),

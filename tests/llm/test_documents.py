@@ -174,6 +174,27 @@ def test_suffix_passages_twice_in_one_document(spark):
     assert all(words[r.src_doc_id][r.src_start:][:50] == words[r.doc_id][r.start_word:][:50] for r in rows)
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_suffix_rows_delivered_twice(spark, parts):
+    """Equal rows are one document: no source of themselves, and each gets the document's result."""
+    once = [(d, prose(700 + d, 80)) for d in range(6)]
+    docs = [*once, *once, (None, prose(800, 90)), (None, prose(800, 90)), (9, prose(900, 20) + " " + once[2][1]),
+            (9, prose(900, 20) + " " + once[2][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = bag(suffix.op5(df), "doc_id", "start_word", "n_words", "src_doc_id", "src_start")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {(9, 20, 80, 2, 0): 2}
+    edges = [{"kind": "first", "edge": e, "gram": 1, "context": 1, "need": False, "single": True, "doc_id": d, "crc": 5,
+              "pos": 0} for e, d in enumerate([7, 7, 8])]
+    assert suffix.join_borders(edges)[0] == [(8, 5, 0, 7, 5, 0)]
+
+
 def test_suffix_awkward(nasty):
     got = {r.doc_id for r in suffix.op5(nasty).collect()}
     assert {1, 2, 4, 12} <= got and not got & {3, 5, 6, 7, 8, 13, 14, 15, 16}
