@@ -30,7 +30,8 @@ MAX_ROUNDS = 48  # pointer doubling reaches chains of 2**48 calls
 SCHEMAS = {
     "search": {"query": {"type": "string", "required": True, "min_length": 1},
                "limit": {"type": "integer", "required": True, "min": 1, "max": 50}},
-    "fetch": {"url": {"type": "string", "required": True}, "depth": {"type": "integer", "min": 0, "max": 5}},
+    "fetch": {"url": {"type": "string", "required": True}, "depth": {"type": "integer", "min": 0, "max": 5},
+              "text": {"type": "string"}},
     "count_words": {"text": {"type": "string", "required": True, "min_length": 1},
                     "unique": {"type": "boolean"}},
 }
@@ -142,18 +143,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
 
 def from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read from plain conversations: an assistant turn is a call (tool by turn
-    number, arguments from its text) after the assistant turn two before it; a user turn after
-    the first answers the turn before it."""
+    number, its whole text in the arguments) after the assistant turn two before it; a user turn
+    after the first answers the turn before it. System turns, a user turn 0 and turns of any other
+    or no role are neither call nor result and have no row."""
     d = conv.select("conv_id", "turn", "role", "text")
     text = F.coalesce("text", F.lit(""))
 
     def named(turn):
         return F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
     tool = F.pmod(F.col("turn") + F.col("conv_id"), F.lit(3))
-    args = F.when(tool == 0, F.to_json(F.struct(F.substring_index(text, ".", 1).alias("query"),
-                                                F.pmod(F.length(text), F.lit(60)).alias("limit")))) \
+    args = F.when(tool == 0, F.to_json(F.struct(text.alias("query"), F.pmod(F.length(text), F.lit(60)).alias("limit")))) \
         .when(tool == 1, F.to_json(F.struct(F.concat(F.lit("doc:"), F.col("conv_id").cast("string")).alias("url"),
-                                            F.col("turn").alias("depth")))) \
+                                            F.col("turn").alias("depth"), text.alias("text")))) \
         .otherwise(F.to_json(F.struct(text.alias("text"), (F.length(text) % 2 == 0).alias("unique"))))
     calls = d.where("role = 'assistant'").select(
         "conv_id", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), named(F.col("turn"))).alias("call_id"),

@@ -67,6 +67,17 @@ def test_long_chain_and_query(spark):
     assert chat.op6(conv.where("false")).collect() == []
 
 
+def test_calls_carry_whole_turns(spark):
+    text = 'First. Second "quoted"\n. Third é \U0001f600. ' + "x. " * 500
+    conv = [(c, t, ("user", "assistant")[t % 2], f"{c}-{t} {text}") for c in range(4) for t in range(6)] + [(5, 0, "system", text)]
+    rows = chat.op6(spark.createDataFrame(conv, "conv_id long, turn long, role string, text string")).collect()
+    field = {"search": "query", "fetch": "text", "count_words": "text"}
+    records = {(r.conv_id, r.turn): json.loads(r.record) for r in rows if r.depth is not None}
+    got = {k: r["arguments"][field[r["name"]]] for k, r in records.items()}
+    assert got == {(c, t): x for c, t, role, x in conv if role == "assistant"}
+    assert {r["name"] for r in records.values()} == set(field) and not any("unknown" in e for r in rows for e in r.errors)
+
+
 VEC = "vec_id long, embedding array<float>, label int, part int, v int"
 
 
