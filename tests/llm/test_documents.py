@@ -42,6 +42,32 @@ def test_pii_spans(nasty):
     assert row.spans.count("iban") == 2 and max(row.scores) == 0.9
 
 
+IBANS = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466",
+         "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606",
+         "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "CH93 0076 2011 6238 5295 7"]
+
+
+def test_pii_account_numbers_before_other_tokens(spark):
+    """Numbers end where their country's do, whatever follows; one in groups and one in a run."""
+    after = ["", ",", " BIC CAIXESBB", " BIC", " 2024", " EUR 20", " A1", " 7", " AT61 1904 3002 3457 3201", " B"]
+    forms = [x for n in IBANS for x in (n, n.replace(" ", ""))]
+    rows = [(i, f, f"zum {p}{f}{x}", 1 + (x == after[-2])) for i, (f, x, p) in enumerate(
+        (f, x, p) for f in forms for x in after for p in ("", "BE12 ", "XX12 3456 7890 "))]
+    df = spark.createDataFrame([(i, t) for i, _, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.op8(df).collect()}
+    for i, f, t, n in rows:
+        at = t.index(f)
+        assert f"iban:{at}:{at + len(f)}" in got[i] and len(got[i]) == n, t
+    long = [(0, "DE89 " * 60_000), (1, "AB12 3456 " * 30_000), (2, "MT84 MALT 0110 " * 20_000)]
+    assert all(r.spans == "" for r in pii.op8(spark.createDataFrame(long, "doc_id long, text string")).collect())
+
+
+def test_redaction_of_account_numbers_before_other_tokens(spark):
+    df = spark.createDataFrame([(i, f"zum {f} BIC CAIXESBB") for i, f in enumerate(IBANS)], "doc_id long, text string")
+    for r in pii.redact(df.where("doc_id in (0, 1, 4, 5)")).collect():
+        assert r.text == "zum <IBAN> BIC CAIXESBB"
+
+
 def test_pii_long_runs_stay_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "1." * 100_000, "+1" + "(" * 200_000, "a@b" + ".c" * 100_000, "1 " * 100_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
