@@ -68,6 +68,20 @@ def test_redaction_of_account_numbers_before_other_tokens(spark):
         assert r.text == "zum <IBAN> BIC CAIXESBB"
 
 
+def test_pii_context_decides_for_unknown_countries(spark):
+    def number(rest, code="XX"):
+        digits = "".join(str(int(c, 36)) for c in rest.replace(" ", "") + code + "00")
+        return f"{code}{98 - int(digits) % 97:02d} {rest}"
+    x = number("1234 5678 9012 34")
+    texts = [f"order {x} shipped", f"Konto {x}.", f"order {x}" + " -" * 30 + " account", f"order {x}. Bank: {IBANS[0]}, 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.op8(df).collect()}
+    assert [("iban_other" in found[i]) for i in range(4)] == [False, True, False, True]
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert [out[i] for i in range(3)] == [texts[0], "Konto <IBAN_OTHER>.", texts[2]]
+    assert out[3] == "order <IBAN_OTHER>. Bank: <IBAN>, 1"
+
+
 def test_pii_long_runs_stay_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "1." * 100_000, "+1" + "(" * 200_000, "a@b" + ".c" * 100_000, "1 " * 100_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
