@@ -140,3 +140,50 @@ def test_pipeline_keeps_clean_documents(spark):
     got = [r.doc_id for r in out.collect()]
     assert set(got) == want and len(got) >= len(want) and len(corpus_pipeline.STAGES) == 5
     assert mixing.MAX_EPOCHS >= max(got.count(d) for d in want) - 1e-9
+
+
+def test_pipeline_rows_match_brute_force(spark):
+    """Every row of run(): ids, token counts, both digests and the number of copies."""
+    import re
+    from collections import Counter
+
+    import corpus_pipeline
+    from auditlake.llm import pii, quality
+    from auditlake.llm.queries import tokenizer_path
+    from tests.llm import brute as B
+    from tests.llm.test_documents import brute_mix
+    from tokenizers import Tokenizer
+
+    stop = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(set(quality.STOP_WORDS))) + r")(?![^\W_])", re.I)
+
+    def passes(t):
+        n, chars, symbols, dup, _, failed = B.quality(t)
+        if failed:
+            return False
+        lines = sum(bool(B.words(x)) for x in t.split("\n"))
+        upper = len(re.findall("[A-ZÀ-ÖØ-Þ]", t))
+        return 2 <= chars / n <= 14 and symbols / n <= 0.2 and len(stop.findall(t)) / n >= 0.02 \
+            and dup / lines <= 0.5 and upper / chars <= 0.6
+
+    def mod97(m):
+        return int("".join(str(int(c, 36)) for c in (m[4:] + m[:4]))) % 97 == 1
+
+    def redacted(t):
+        for kind in ("email", "ip", "card", "phone"):
+            for _, a, b in reversed([x for x in B.pii(t) if x[0] == kind]):
+                t = f"{t[:a]}<{kind.upper()}>{t[b:]}"
+        iban = next(k for k in pii.KINDS if k.name == "iban")
+        return re.sub(iban.pattern, lambda m: "<IBAN>" if mod97(m.group().replace(" ", "")) else m.group(), t)
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [r for r in rows if r[1] is not None and passes(r[1])]
+    comp = B.components([r[0] for r in rows], [B.simhash(r[1]) for r in rows])
+    rows = [(d, redacted(t), s) for (d, t, s), c in zip(rows, comp) if d == c]
+    copies = Counter(d for d, _, _ in brute_mix([(d, s, t) for d, t, s in rows]).elements())
+    t = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for d, text, _ in rows:
+        ids = t.encode(text, add_special_tokens=False).ids
+        want[d, len(ids), B.sha(",".join(map(str, ids))), B.sha(t.decode(ids, skip_special_tokens=False))] += copies[d]
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want and want
