@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from auditlake.llm import bpe, chat, credentials, mixing, neighbours, pii, quality, simhash, substring, suffix
+from auditlake.llm import (bpe, chat, credentials, mixing, neighbours, pii, quality, resampling, simhash, substring, suffix,
+                           voting, whitening)
 from auditlake.llm.common import table
 from auditlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -26,4 +27,7 @@ QUERIES = {
     "op8_pii": lambda spark, sf: pii.op8(table(spark, sf, "documents")),
     "op9_quality": lambda spark, sf: quality.op9(table(spark, sf, "documents")),
     "op10_neighbours": lambda spark, sf: neighbours.op10(table(spark, sf, "embeddings")),
+    "op11_whitening": lambda spark, sf: whitening.op11(table(spark, sf, "embeddings")),
+    "op12_voting": lambda spark, sf: voting.op12(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op13_resampling": lambda spark, sf: resampling.op13(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
