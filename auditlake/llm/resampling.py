@@ -91,7 +91,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 def bucket_gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     n, s_all, t_all = len(source), int(source.sum()), int(target.sum())
-    return np.array([math.floor(GAIN_SCALE * math.log(float(t + 1) * (t_all + n) / (float(s + 1) * (s_all + n))))
+    return np.array([math.floor(GAIN_SCALE * math.log(float(t + 1) * (s_all + n) / (float(s + 1) * (t_all + n))))
                      for s, t in zip(source.tolist(), target.tolist())], dtype=np.int64)
 
 
