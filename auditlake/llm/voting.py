@@ -34,9 +34,9 @@ POWER = 8
 THRESHOLD = 0.3
 FOLDS = 5
 BLOCK = 256             # documents compared at a time
-SLICE = 1 << 20         # bytes of one text looked at together
+PART = 1 << 18          # bytes of text looked at together
 
-BEGIN, END, AGAIN = 1, 2, 3
+BEGIN, END, AGAIN = 1, 2, 3   # signs of a text's ends and of a blank between two equal words
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _DROP = np.uint64(64 - (TERMS.bit_length() - 1))
 
@@ -56,7 +56,7 @@ MERGED = np.isin(np.arange(256), [ord(c) for c in "aA0 "])   # signs that count
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.full(SLICE, base, dtype=np.uint64)
+    out = np.full(PART, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -65,56 +65,77 @@ _BASE = 0x100000001B3
 _UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
-def _slices(text: bytes):
-    """Pieces of at most SLICE bytes that begin before a blank, if there is one."""
-    at = 0
-    while len(text) - at > SLICE:
-        end = max(text.rfind(b" ", at + 1, at + SLICE), text.rfind(b"\n", at + 1, at + SLICE))
-        end = end if end > 0 else at + SLICE
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
-def term_counts(text: bytes) -> np.ndarray:
-    """How often each term occurs."""
-    counts = np.zeros(TERMS, dtype=np.int64)
-    tail, last_word = np.zeros(0, dtype=np.uint64), None
-
-    def add(signs):
-        nonlocal tail
-        s = np.concatenate([tail, signs])
-        h = s + np.uint64(1)
-        for n in (1, 2, 3):
-            if n > 1:
-                h = h[:-1] * np.uint64(257) + s[n - 1:] if len(s) >= n else h[:0]
-            fresh = h[max(0, len(tail) - n + 1):]
-            at = ((fresh + np.uint64(n << 40)) * _MIX >> _DROP).astype(np.int64)
-            np.add(counts, np.bincount(at, minlength=TERMS), out=counts)
-        tail = s[-2:]
-
-    add(np.array([BEGIN], dtype=np.uint64))
-    for part in _slices(text):
-        b = np.frombuffer(part, dtype=np.uint8)
-        if not len(b):
-            continue
+def _parts(texts: list[bytes]):
+    """Texts as groups of whole ones, a longer text in pieces of its own, as lists of (row, begins, ends, bytes):
+    PART bytes at most together. Pieces begin before a blank, if there is one."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        if group and size + len(text) + 2 > PART:
+            yield group
+            group, size = [], 0
+        at = 0
+        while len(text) - at > PART - 2:
+            end = max(text.rfind(b" ", at + 1, at + PART - 2), text.rfind(b"\n", at + 1, at + PART - 2))
+            end = end if end > 0 else at + PART - 2
+            yield [(row, at == 0, False, text[at:end])]
+            at = end
+        group.append((row, at == 0, True, text[at:]))
+        size += len(text) - at + 2
+    if group:
+        yield group
+
+
+def term_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each term occurs: a row per text."""
+    counts = np.zeros(len(texts) * TERMS, dtype=np.int64)
+    tail, last_word = np.zeros(0, dtype=np.uint8), None   # of the piece before, if it is of the same text
+    for group in _parts(texts):
+        if group[0][1]:
+            tail, last_word = tail[:0], None
+        b = np.frombuffer(b"".join(bytes([BEGIN]) * begins + part + bytes([END]) * ends for _, begins, ends, part in group), np.uint8)
+        lengths = np.array([begins + len(part) + ends for _, begins, ends, part in group])
+        stop = np.cumsum(lengths)
+        row = np.repeat(np.array([g[0] for g in group]), lengths)
         signs = SIGNS[b]
         word = (signs != 32) & (signs != 10)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+        word[(stop - lengths)[[g[1] for g in group]]] = False
+        word[stop[[g[2] for g in group]] - 1] = False
+        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
         if len(starts):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((b + np.uint64(1)) * _UP[:len(b)])])
+            sums = np.zeros(len(b) + 1, dtype=np.uint64)
+            np.cumsum((b + np.uint64(1)) * _UP[:len(b)], out=sums[1:])
             codes = (sums[ends] - sums[starts]) * _DOWN[starts]
             same = np.zeros(len(codes), dtype=bool)
             same[1:] = codes[1:] == codes[:-1]
             same[0] = last_word is not None and codes[0] == last_word
-            again = starts[same] - 1
-            signs[again[again >= 0]] = AGAIN
+            blank = starts[same & (starts > 0)] - 1
+            signs[blank[row[blank] == row[blank + 1]]] = AGAIN   # words of another text are no repeats
             last_word = codes[-1]
-        before = np.concatenate([tail[-1:].astype(np.uint8), signs[:-1]])
-        add(signs[(signs != before) | ~MERGED[signs]].astype(np.uint64))
-    add(np.array([END], dtype=np.uint64))
-    return counts
+            if len(group) > 1:
+                signs[stop[:-1] - 1], signs[stop[:-1]] = END, BEGIN
+            if group[0][1]:
+                signs[0] = BEGIN
+        keep = ~MERGED[signs]
+        keep[1:] |= signs[1:] != signs[:-1]
+        keep[0] |= not len(tail) or tail[-1] != signs[0]
+        s = np.concatenate([tail, signs[keep]]).astype(np.uint64)
+        row = np.concatenate([np.full(len(tail), group[0][0]), row[keep]])
+        h = s + np.uint64(1)
+        for n in (1, 2, 3):
+            if n > 1:
+                h = h[:-1] * np.uint64(257) + s[n - 1:]
+            old = max(0, len(tail) - n + 1)   # these ended in the piece before
+            whole = row[old:len(row) - n + 1] == row[old + n - 1:]
+            at = ((h[old:] + np.uint64(n << 40)) * _MIX >> _DROP).astype(np.int64) + row[old + n - 1:] * TERMS
+            counts += np.bincount(at[whole], minlength=len(counts))
+        tail = s[-2:][row[-2:] == row[-1]].astype(np.uint8)
+    return counts.reshape(len(texts), TERMS)
+
+
+def _blocks(texts: list):
+    for a in range(0, len(texts), BLOCK):
+        yield term_counts([t or b"" for t in texts[a:a + BLOCK]])
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -124,9 +145,9 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches):
         n, total = 0, np.zeros(TERMS, dtype=np.int64)
         for piece in (p for batch in batches for p in pieces(batch)):
-            for text in text_bytes(piece):
-                total += term_counts(text or b"") > 0
-                n += 1
+            for counts in _blocks(text_bytes(piece)):
+                total += (counts > 0).sum(axis=0)
+                n += len(counts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()]), pa.array([n, *total[at].tolist()])], names=["term", "n"])
 
@@ -170,11 +191,11 @@ class Model:
             return np.full(len(counts), 0.5)
         likeness = np.rint(self.place(counts) @ self.vectors.T * 2.0**30) / 2.0**30  # the same in blocks of any size
         k = min(NEAREST, len(self.labels))
-        last = -np.partition(-likeness, k - 1, axis=1)[:, k - 1:k]
-        votes = np.where(likeness >= last, np.maximum(likeness, 0) ** POWER, 0)
-        total = votes.sum(axis=1)
-        share = (votes @ self.labels) / np.where(total > 0, total, 1)
-        return np.clip(np.where(total > 0, share, self.labels.mean()), 0, 1)
+        last = np.partition(likeness, likeness.shape[1] - k, axis=1)[:, likeness.shape[1] - k, None]
+        row, near = np.nonzero(likeness >= last)
+        weight = np.maximum(likeness[row, near], 0) ** POWER
+        total, ones = (np.bincount(row, w, minlength=len(counts)) for w in (weight, weight * self.labels[near]))
+        return np.clip(np.where(total > 0, ones / np.where(total > 0, total, 1), self.labels.mean()), 0, 1)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -205,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 
     def run(batches):
         for piece in (p for batch in batches for p in pieces(batch)):
-            counts = [term_counts(t or b"") for t in text_bytes(piece)]
+            counts = [row for block in _blocks(text_bytes(piece)) for row in block]
             terms = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
                 [piece.column("label"), pa.array([t.tolist() for t in terms], pa.list_(pa.int32())),
@@ -236,9 +257,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sam
 
     def run(batches):
         for piece in (p for batch in batches for p in pieces(batch)):
-            texts, scores = text_bytes(piece), []
-            for a in range(0, len(texts), BLOCK):
-                scores += model.value.score(np.stack([term_counts(t or b"") for t in texts[a:a + BLOCK]])).tolist()
+            scores = [x for counts in _blocks(text_bytes(piece)) for x in model.value.score(counts).tolist()]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, score double").select(
