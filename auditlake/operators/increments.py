@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.joins import bounded_broadcast
+from auditlake.functions.joins import bounded_broadcast, materialized
 
 # Fixed value: watermark when the target is empty.
 DEFAULT_WATERMARK = dt.datetime(2000, 1, 1)
-# Default caps per company and run (forward, backfill, seed block).
+# What the settings hold for caps per company and run (forward, backfill, seed block) unless changed.
 FORWARD_CAP = 150_000
 BACKFILL_CAP = 50_000
 SEED_ROWS = 5_000
 
 
+def newest_first(target: DataFrame, col: str) -> DataFrame:
+    """The row of the largest ``col``: every task keeps its largest, nothing is exchanged."""
+    return target.select(col).where(F.col(col).isNotNull()).orderBy(F.desc(col)).limit(1)
+
+
 def high_watermark(target: DataFrame, col: str = "Timestamp", default=DEFAULT_WATERMARK):
     """``MAX(col)`` of the stored table, ``default`` when empty.
 
-    Returns one scalar (a one-row aggregate -- the Parquet footer statistics
-    often answer it without reading rows); used as a literal so the next
-    scan's ``col > wm`` is a pushed-down filter.
+    One scalar, used as a literal so the next scan's ``col > wm`` is a pushed-down filter. Pass rows
+    before deduplication where ``col`` is part of the key: that cannot change its maximum. A table
+    stored by day answers from its newest day alone (``streaming.ingest.newest_in_days``).
     """
-    v = target.agg(F.max(col)).first()[0]
-    return default if v is None else v
+    v = newest_first(target, col).collect()
+    return v[0][0] if v else default
 
 
 def company_edges(stored: DataFrame) -> DataFrame:
@@ -35,104 +41,117 @@ def company_edges(stored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("StoredRows"))
 
 
-# Width of an EntryNo bucket for the exact per-company top-N (a window never
-# sees more than this many rows of one company).
-BUCKET_WIDTH = 1 << 16
+# Entry numbers of one histogram row (one bit each), and histogram rows of one coarse bucket.
+FINE = 64
+COARSE = 1 << 16
 
 
-def _per_phase(phase: Column, values: dict) -> Column:
-    expr = None
-    for ph, v in values.items():
-        expr = F.when(phase == ph, F.lit(v)) if expr is None else expr.when(phase == ph, F.lit(v))
-    return expr
+@dataclass(frozen=True)
+class Caps:
+    """Entries per company and run: above the stored ones, below them, and for a company without any."""
+    forward: int
+    backfill: int
+    seed: int
 
 
-def capped_runs(df: DataFrame, key: Column, caps: dict, marks: dict | None = None,
-                bucket_width: int = BUCKET_WIDTH) -> DataFrame:
-    """Per ``(CompanyName, Phase)`` the rows ranked ``<= caps[Phase]`` by ``key``.
+def key_histogram(df: DataFrame, groups: list[str], descending: Column) -> DataFrame:
+    """One row per group and FINE consecutive entry numbers: ``Slot`` in rank order, ``Bits`` of those that occur.
 
-    A plain ``row_number() <= cap`` (even with Spark's partial
-    ``WindowGroupLimit``) merges up to ``cap`` rows from *every* map task of a
-    company in one task -- 150,000 x 1,000 tasks for a company holding a third
-    of a large feed. Instead:
+    The partial aggregate ORs the bits in every map task, so a hot company (or an entry delivered many
+    times) shrinks before the shuffle; with numbers that mostly follow each other the result has 1/64 of the rows.
+    """
+    e = F.col("EntryNo")
+    bucket = F.floor(e / F.lit(FINE)).cast("long")
+    return (df.withColumn("Slot", F.when(descending, -bucket).otherwise(bucket))
+            .withColumn("Down", descending)
+            .groupBy(*groups, "Down", "Slot")
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(EntryNo, {FINE}) AS INT))")).alias("Bits")))
 
-    1. count candidates per ``(company, phase, key bucket)`` -- a partial
-       aggregation with a tiny output;
-    2. a running sum over each group's *bucket counts* (bounded by the key
-       range / bucket width, not by rows) gives every bucket the number of
-       rows ranked before it;
-    3. buckets wholly inside the cap are kept as they are; only buckets that
-       straddle the cap (or a mark, e.g. the end of the seed block) are ranked
-       row by row, in windows of at most ``bucket_width`` rows.
 
-    Exact for any skew. Adds ``_rank`` (exact in straddling buckets, the
-    bucket's last rank elsewhere -- enough to place a row on either side of
-    a mark).
+def kth_keys(histogram: DataFrame, groups: list[str], ranks: Column, coarse_slots: int = COARSE) -> DataFrame:
+    """The exact ``k``-th entry number per group, for every ``k`` in the array ``ranks``.
+
+    The stored histogram is refined, no row of the feed is read: sums per coarse bucket give the coarse bucket
+    that holds rank ``k``; inside it (at most ``coarse_slots`` rows) running sums give the fine one; its bits give the
+    number. Windows see a group's coarse buckets, or one coarse bucket's rows. A group of fewer than
+    ``k`` entries has no row.
     """
-    marks = marks or {}
-    groups = ["CompanyName", "Phase"]
-    tagged = df.withColumn("_b", F.floor(key / F.lit(bucket_width)).cast("long")).withColumn("_key", key)
-    counts = tagged.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = (counts.withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
-              .withColumn("_cap", _per_phase(F.col("Phase"), caps))
-              .filter(F.col("_before") < F.col("_cap")))
-    last = F.col("_before") + F.col("_n")
-    straddle = last > F.col("_cap")
-    for ph, m in marks.items():
-        straddle = straddle | ((F.col("Phase") == ph) & (F.col("_before") < m) & (last > m))
-    chosen = counts.withColumn("_exact", straddle)
-    j = tagged.join(chosen, [*groups, "_b"])
-    whole = j.filter(~F.col("_exact")).withColumn("_rank", last)
-    exact = (j.filter(F.col("_exact"))
-             .withColumn("_rank", F.col("_before") + F.row_number().over(
-                 Window.partitionBy(*groups, "_b").orderBy("_key")))
-             .filter(F.col("_rank") <= F.col("_cap")))
-    return whole.unionByName(exact).drop("_b", "_key", "_n", "_before", "_cap", "_exact")
-
-
-def first_n_per_company(df: DataFrame, n: int, descending: bool = False,
-                        bucket_width: int = BUCKET_WIDTH) -> DataFrame:
-    """Exactly the first ``n`` rows per company in ``EntryNo`` order (see ``capped_runs``)."""
-    key = -F.col("EntryNo") if descending else F.col("EntryNo")
-    out = capped_runs(df.withColumn("Phase", F.lit("x")), key, {"x": n}, bucket_width=bucket_width)
-    return out.drop("Phase", "_rank")
-
-
-def next_change_rows(feed: DataFrame, stored: DataFrame, forward_cap: int = FORWARD_CAP,
-                     backfill_cap: int = BACKFILL_CAP, seed_rows: int = SEED_ROWS,
-                     not_before=None) -> DataFrame:
-    """The change-log rows the next run fetches, per company.
-
-    * seed (company with nothing stored): the newest ``seed_rows`` entries,
+    h = histogram.withColumns({"Coarse": F.floor(F.col("Slot") / F.lit(coarse_slots)).cast("long"), "n": F.bit_count("Bits")})
+
+    coarse = h.groupBy(*groups, "Coarse").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy(*groups).orderBy("Coarse").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = (coarse.withColumn("_before", F.sum("n").over(run) - F.col("n")).withColumn("k", F.explode(ranks))
+          .where((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("n")))
+          .select(*groups, "Coarse", "k", (F.col("k") - F.col("_before")).alias("_need")))
+    inside = h.join(bounded_broadcast(at, materialize=True), [*groups, "Coarse"])
+    run = Window.partitionBy(*groups, "k").orderBy("Slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = (inside.withColumn("_before", F.sum("n").over(run) - F.col("n"))
+            .where((F.col("_before") < F.col("_need")) & (F.col("_need") <= F.col("_before") + F.col("n"))))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.getbit("Bits", i) == 1)
+    nth = (F.col("_need") - F.col("_before")).cast("int")
+    bit = F.element_at(set_bits, F.when(F.col("Down"), -nth).otherwise(nth))
+    bucket = F.when(F.col("Down"), -F.col("Slot")).otherwise(F.col("Slot"))
+    return fine.select(*groups, "k", (bucket * FINE + bit).alias("Key"))
+
+
+def first_n_per_company(df: DataFrame, n: int, descending: bool = False, coarse_slots: int = COARSE) -> DataFrame:
+    """The rows of the first ``n`` entry numbers per company, in ``EntryNo`` order."""
+    hist = materialized(key_histogram(df, ["CompanyName"], F.lit(descending)))
+    cut = kth_keys(hist, ["CompanyName"], F.array(F.lit(n).cast("long")), coarse_slots).select("CompanyName", "Key")
+    j = df.join(bounded_broadcast(cut, materialize=True), "CompanyName", "left")
+    inside = F.col("EntryNo") >= F.col("Key") if descending else F.col("EntryNo") <= F.col("Key")
+    return j.where(F.col("Key").isNull() | inside).drop("Key")
+
+
+def next_change_rows(feed: DataFrame, edges: DataFrame, caps: Caps, not_before=None) -> DataFrame:
+    """The change-log rows the next run fetches, per company; ``edges`` as of ``company_edges``.
+
+    * seed (company with nothing stored): the newest ``caps.seed`` entries,
       then -- in the same run, as the reference re-reads its edges after the
       seed -- backfill below them;
-    * forward: ``EntryNo > max`` ascending, at most ``forward_cap``;
-    * backfill: ``EntryNo < min`` descending, at most ``backfill_cap``; off when
+    * forward: ``EntryNo > max`` ascending, at most ``caps.forward``;
+    * backfill: ``EntryNo < min`` descending, at most ``caps.backfill``; off when
       the cap is 0 or ``min <= 1``. ``not_before`` (the audit retention cutoff)
       stops backfill from re-fetching what retention deleted (SURVEY §5 #4).
 
-    One pass for all companies and phases: the feed joins the per-company
-    edges (one row per company, size-checked broadcast), every candidate gets
-    its phase, and ``capped_runs`` applies the per-phase caps exactly without
-    sorting any company in one task. The reference checks its cap per
-    5,000-row page and can overshoot by a page; here the cap is exact.
+    The feed is read twice: once into a histogram of its entry numbers, which is stored and refined to the exact
+    cutoff per company and phase, and once with the cutoffs (a row per company, broadcast after a size check) as a
+    filter. No row is sorted or joined by shuffle. Caps count entry numbers: an entry that
+    the feed delivers twice counts once and comes twice.
     """
-    edges = bounded_broadcast(company_edges(stored), materialize=True)
-    f = feed.join(edges, "CompanyName", "left")
+    edges = bounded_broadcast(edges.select("CompanyName", "MaxEntryNo", "MinEntryNo"), materialize=True)
     mx, mn, e = F.col("MaxEntryNo"), F.col("MinEntryNo"), F.col("EntryNo")
-    phase = (F.when(mx.isNull(), "seedfill").when(e > mx, "forward")
-             .when((e < mn) & (mn > 1) & F.lit(backfill_cap > 0), "backfill"))
-    cand = f.withColumn("Phase", phase).filter(F.col("Phase").isNotNull())
-    if not_before is not None:
-        cand = cand.filter((F.col("Phase") != "backfill") | (F.col("ChangedAt") >= F.lit(not_before)))
-    key = F.when(F.col("Phase") == "forward", e).otherwise(-e)
-    caps = {"forward": forward_cap, "backfill": max(backfill_cap, 0),
-            "seedfill": seed_rows + max(backfill_cap, 0)}
-    out = capped_runs(cand, key, caps, marks={"seedfill": seed_rows})
-    label = (F.when(F.col("Phase") != "seedfill", F.col("Phase"))
-             .when(F.col("_rank") <= seed_rows, "seed").otherwise("backfill"))
-    out = out.withColumn("Phase", label)
+    wanted = {"forward": caps.forward, "backfill": caps.backfill, "seedfill": caps.seed + max(caps.backfill, 0)}
+    on = [p for p, n in wanted.items() if n > 0]
+    phase = (F.when(mx.isNull(), "seedfill").when(e > mx, "forward").when((e < mn) & (mn > 1), "backfill"))
+
+    def candidates(with_edges: DataFrame) -> DataFrame:
+        cand = with_edges.withColumn("Phase", phase).filter(F.col("Phase").isin(on))
+        if not_before is not None:
+            cand = cand.filter((F.col("Phase") != "backfill") | (F.col("ChangedAt") >= F.lit(not_before)))
+        return cand
+
+    groups = ["CompanyName", "Phase"]
+    hist = materialized(key_histogram(candidates(feed.join(edges, "CompanyName", "left")), groups, F.col("Phase") != "forward"))
+    ranks = F.when(F.col("Phase") == "seedfill", F.array_distinct(F.array(F.lit(caps.seed), F.lit(wanted["seedfill"])))) \
+        .when(F.col("Phase") == "forward", F.array(F.lit(caps.forward))).otherwise(F.array(F.lit(caps.backfill)))
+    keys = kth_keys(hist, groups, ranks.cast("array<bigint>"))
+
+    def key_of(p: str, k: int) -> Column:
+        return F.max(F.when((F.col("Phase") == p) & (F.col("k") == k), F.col("Key")))
+
+    cut = keys.groupBy("CompanyName").agg(
+        key_of("forward", caps.forward).alias("ForwardTo"), key_of("backfill", caps.backfill).alias("BackfillFrom"),
+        key_of("seedfill", wanted["seedfill"]).alias("SeedfillFrom"), key_of("seedfill", caps.seed).alias("SeedFrom"))
+    bounds = cut.unionByName(edges, allowMissingColumns=True).groupBy("CompanyName").agg(
+        *[F.max(c).alias(c) for c in ("MaxEntryNo", "MinEntryNo", "ForwardTo", "BackfillFrom", "SeedfillFrom", "SeedFrom")])
+    j = feed.join(bounded_broadcast(bounds, materialize=True), "CompanyName", "left")
+    p = F.col("Phase")
+    inside = (F.when(p == "forward", e <= F.coalesce("ForwardTo", e)).when(p == "backfill", e >= F.coalesce("BackfillFrom", e))
+              .otherwise(e >= F.coalesce("SeedfillFrom", e)))
+    seed = F.lit(caps.seed > 0) & (e >= F.coalesce("SeedFrom", e))
+    out = candidates(j).where(inside).withColumn(
+        "Phase", F.when(p != "seedfill", p).when(seed, "seed").otherwise("backfill"))
     if not_before is not None:
         out = out.filter((F.col("Phase") != "backfill") | (F.col("ChangedAt") >= F.lit(not_before)))
-    return out.drop("MaxEntryNo", "MinEntryNo", "StoredRows", "_rank")
+    return out.drop("MaxEntryNo", "MinEntryNo", "ForwardTo", "BackfillFrom", "SeedfillFrom", "SeedFrom")

@@ -16,16 +16,14 @@ RETENTION_MIN, RETENTION_MAX = 1, 1200
 
 
 def retention_months(value, default: int) -> int:
-    """An integer 1..1200; anything else keeps ``default``."""
-    if isinstance(value, bool):
+    """A whole number of months in 1..1200; None means ``default``, anything else is an error:
+    a mistyped retention must not delete by another rule than the one asked for."""
+    if value is None:
         return default
-    try:
-        n = int(value)
-    except (TypeError, ValueError):
-        return default
-    if isinstance(value, float) and value != n:
-        return default
-    return n if RETENTION_MIN <= n <= RETENTION_MAX else default
+    text = "" if isinstance(value, bool) else str(value).strip()
+    if not text.isdecimal() or not RETENTION_MIN <= int(text) <= RETENTION_MAX:
+        raise ValueError(f"retention {value!r} is not a whole number of months in {RETENTION_MIN}..{RETENTION_MAX}")
+    return int(text)
 
 
 def months_back(as_of: dt.datetime, months: int) -> dt.datetime:
@@ -85,56 +83,3 @@ def removed_companies(previous: DataFrame | None, known: DataFrame, now_enabled:
 def queue_purge(pending: DataFrame, new: DataFrame) -> DataFrame:
     """Merge a new purge request into the pending one (union distinct)."""
     return pending.select("CompanyName").union(new.select("CompanyName")).distinct()
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def drop_partitions_before(spark: SparkSession, table_path: str, part_col: str, cutoff: dt.date) -> list[str]:
-    """R1 at storage level: delete whole ``part_col=<date>`` directories older than ``cutoff``.
-
-    Only directory metadata is touched (no data is read); the edge partition
-    is rewritten separately by ``rewrite_partition``.
-    """
-    from auditlake.sources.sinks import recover_table
-    recover_table(spark, table_path)
-    fs, root = _fs(spark, table_path)
-    dropped = []
-    if not fs.exists(root):
-        return dropped
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(part_col + "="):
-            try:
-                d = dt.date.fromisoformat(name.split("=", 1)[1])
-            except ValueError:
-                continue
-            if d < cutoff:
-                fs.delete(st.getPath(), True)
-                dropped.append(name)
-    return dropped
-
-
-def rewrite_partition(spark: SparkSession, table_path: str, part_col: str, value,
-                      keep: F.Column, staging: str, sub_partitions: list[str] | None = None) -> None:
-    """Rewrite one partition with only the rows satisfying ``keep``.
-
-    Rows are first written to ``staging`` (shared storage, keeping any
-    nested partitioning), then swapped in with a crash-safe folder swap, so
-    a failure at any point never loses kept rows.
-    """
-    from auditlake.sources.sinks import recover_table, swap_partitions
-    recover_table(spark, table_path)
-    part = f"{part_col}={value}"
-    fs, p = _fs(spark, f"{table_path.rstrip('/')}/{part}")
-    if not fs.exists(p):
-        return
-    kept = F.coalesce(keep, F.lit(True))    # unknown predicate: not deleted, as in SQL DELETE
-    w = spark.read.parquet(f"{table_path.rstrip('/')}/{part}").filter(kept).write.mode("overwrite")
-    if sub_partitions:
-        w = w.partitionBy(*sub_partitions)
-    w.parquet(f"{staging.rstrip('/')}/{part}")
-    swap_partitions(spark, table_path, staging, [part])

@@ -208,12 +208,6 @@ def top_auth_failures(auth_daily: DataFrame, n: int = TOP_ROWS_DEFAULT) -> DataF
             .withColumn("ObjectName", F.left("ObjectName", F.lit(C.OBJECT_NAME_LEN))))
 
 
-def audit_view(change_log: DataFrame) -> DataFrame:
-    """vw_DashAudit: a plain projection (its ORDER BY is ignored by SQL Server)."""
-    return change_log.select("ChangedAt", "UserId", "CompanyName", "ChangeType", "TableName",
-                             "FieldName", "PrimaryKey", "OldValue", "NewValue")
-
-
 def latest_changes(change_log: DataFrame, n: int = TOP_ROWS_DEFAULT) -> DataFrame:
     """T3 + P16: the newest changes, sorted on the base table."""
     return (top_n(change_log, [desc("ChangedAt"), asc("CompanyName"), desc("EntryNo")], top_rows(n))

@@ -179,6 +179,17 @@ def shape_change_log(feed: DataFrame) -> DataFrame:
     )
 
 
+# The ERP's field names of the stored columns.
+CHANGE_FIELDS = {"EntryNo": "Entry_No", "ChangedAt": "Date_and_Time", "UserId": "User_ID", "CompanyName": "Company",
+                 "TableNo": "Table_No", "TableName": "Table_Caption", "FieldNo": "Field_No", "FieldName": "Field_Caption",
+                 "ChangeType": "Type_of_Change", "PrimaryKey": "Primary_Key", "OldValue": "Old_Value", "NewValue": "New_Value"}
+
+
+def unshape_change_log(rows: DataFrame) -> DataFrame:
+    """Stored-shape rows under the ERP's field names again, to be landed as pages."""
+    return rows.select(*[F.col(c).alias(f) for c, f in CHANGE_FIELDS.items()])
+
+
 def company_list(change_rows: DataFrame, company_col: str = "CompanyName") -> DataFrame:
     """The companies present in the landed feed."""
     return change_rows.select(F.col(company_col).alias("CompanyName")).distinct()

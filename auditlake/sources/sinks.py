@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.functions import columns as C
 
@@ -15,17 +16,6 @@ CSV_SEP = ";"
 TXT_SEP = "\t"
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                mode: str = "append") -> None:
-    """Write a stored table (Parquet). With ``partitionOverwriteMode=dynamic``
-    and ``mode='overwrite'`` only the partitions present in ``df`` are replaced,
-    which makes a retried batch idempotent."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def _texty(df: DataFrame) -> DataFrame:
     """Render dates and timestamps like the snapshot (P16) -- at the sink only."""
     out = []
@@ -54,41 +44,72 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
      .option("encoding", "UTF-8").csv(path))
 
 
-def write_snapshot(sections: dict[str, DataFrame], path: str, generated_utc: str) -> None:
-    """The dashboard snapshot as one directory per section (JSON lines),
-    plus a small manifest. Sections are written by the executors in parallel;
-    no section is assembled on the driver."""
-    for name, df in sections.items():
-        _texty(df).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
-    spark = next(iter(sections.values())).sparkSession if sections else None
-    if spark is not None:
-        manifest = json.dumps({"generatedUtc": generated_utc, "sections": sorted(sections)})
-        spark.createDataFrame([(manifest,)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{path.rstrip('/')}/_manifest")
-
+def write_snapshot(sections: dict[str, DataFrame], path: str, generated_utc: str) -> int:
+    """Publish all sections as one new version ``v=<n>`` of the dashboard snapshot; returns its number.
 
-def storage_inventory(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
+    A section is a folder of JSON lines written by the executors; a small manifest has the time and every
+    section's columns. The version counts once its commit marker exists, which is made last: readers see all
+    sections of one moment or the version before.
+    """
+    from auditlake.streaming.versions import Versions
+    spark = next(iter(sections.values())).sparkSession
+    versions = Versions(spark, path.rstrip("/"))
+    version = versions.next()
+    folder = versions.folder(version)
+    columns = {}
+    for name, df in sections.items():
+        texts = _texty(df)
+        columns[name] = texts.schema.jsonValue()
+        texts.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}")
+    manifest = json.dumps({"generatedUtc": generated_utc, "sections": columns})
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    versions.commit(version)
+    return version
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The sections of one published version (the newest, unless named); ``generatedUtc`` among them."""
+    from auditlake.streaming.versions import Versions
+    versions = Versions(spark, path.rstrip("/"))
+    version = versions.newest() if version is None else version
+    if version is None:
+        return {}
+    folder = versions.folder(version)
+    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+    out = {n: spark.read.schema(T.StructType.fromJson(columns)).json(f"{folder}/{n}") for n, columns in manifest["sections"].items()}
+    return {**out, "generatedUtc": spark.createDataFrame([(manifest["generatedUtc"],)], "GeneratedUtc string")}
+
+
+def storage_inventory(spark: SparkSession, datasets: dict[str, str], sizes: bool = True) -> DataFrame:
     """Rows and size (MB, one decimal) per dataset, largest first.
 
-    Sizes are file lengths (``binaryFile`` without its content reads no file), counts come from
-    one scan without columns; both run on the executors.
+    One scan without columns counts the rows of all datasets by file, one listing (``binaryFile`` without its
+    content reads no file) gives the lengths of the files; what folder a file lies in names its dataset.
     """
-    parts = []
-    for name, path in datasets.items():
-        df = spark.read.parquet(path)
-        rows = df.agg(F.count(F.lit(1)).alias("Rows"))
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path) \
-            .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("Bytes"))
-        # two single-row aggregates combined by union + max (no join)
-        both = rows.withColumn("Bytes", F.lit(None).cast("long")).unionByName(
-            files.withColumn("Rows", F.lit(None).cast("long")))
-        parts.append(both.agg(F.lit(name).alias("Dataset"), F.max("Rows").alias("Rows"),
-                              F.max("Bytes").alias("Bytes")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.select("Dataset", "Rows",
-                       (F.col("Bytes") / F.lit(1024.0 * 1024.0)).cast("decimal(18,1)").alias("SizeMB"))
+    places = {name: _fs(spark, path) for name, path in datasets.items()}
+    roots = {name: fs.makeQualified(p).toUri() for name, (fs, p) in places.items()}
+
+    def dataset(uri: Column, raw: bool) -> Column:
+        path = F.regexp_replace(uri, "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+        out = None
+        for name, root in roots.items():
+            base = root.getRawPath() if raw else root.getPath()
+            inside = (path == base) | path.startswith(base.rstrip("/") + "/")
+            out = F.when(inside, F.lit(name)) if out is None else out.when(inside, F.lit(name))
+        return out
+
+    paths = list(datasets.values())
+    counts = spark.read.schema("_none int").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*paths) \
+        .groupBy(dataset(F.col("_metadata.file_path"), True).alias("Dataset")).agg(F.count(F.lit(1)).alias("Rows"))
+    names = spark.createDataFrame([(n,) for n in datasets], "Dataset string").withColumn("Rows", F.lit(0).cast("long"))
+    rows = names.unionByName(counts)
+    if not sizes:
+        return rows.groupBy("Dataset").agg(F.sum("Rows").alias("Rows")).orderBy("Dataset")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(paths) \
+        .groupBy(dataset(F.col("path"), False).alias("Dataset")).agg(F.sum("length").alias("Bytes"))
+    both = rows.unionByName(files, allowMissingColumns=True).groupBy("Dataset") \
+        .agg(F.sum("Rows").alias("Rows"), F.coalesce(F.sum("Bytes"), F.lit(0)).alias("Bytes"))
+    return (both.select("Dataset", "Rows", (F.col("Bytes") / F.lit(1024.0 * 1024.0)).cast("decimal(18,1)").alias("SizeMB"))
             .orderBy(F.col("SizeMB").desc(), F.col("Dataset")))
 
 

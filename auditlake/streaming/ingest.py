@@ -6,9 +6,10 @@ goes through ``foreachBatch``:
 * page views: P1/P5 + quarantine -> D1 in-batch dedup -> D2 insert-if-absent
   against the stored raw log -> raw rows written to ``BatchId=<id>`` ->
   the daily *delta* of exactly those rows written to ``BatchId=<id>``;
-* change log: explode OData pages -> P6 -> D3 dedup + insert-if-absent.
+* change log: explode OData pages -> P6 -> D3 dedup + insert-if-absent, stored and
+  committed as one version of ``change_store``.
 
-Every write replaces only its own ``BatchId`` partition (dynamic partition
+Every write of page views replaces only its own ``BatchId`` partition (dynamic partition
 overwrite), so a micro-batch retried after a failure or a lost executor
 rewrites itself instead of duplicating rows; the streaming checkpoint (under
 ``spark.checkpoint.dir``) records which files were committed. The daily
@@ -29,7 +30,10 @@ from pyspark.sql import types as T
 
 from auditlake.operators import dedup as D
 from auditlake.operators import rollup as R
+from auditlake.operators.increments import DEFAULT_WATERMARK, newest_first
 from auditlake.sources import landing as L
+from auditlake.streaming.change_store import ChangeStore
+from auditlake.streaming.versions import GRACE, exists, markers, mkdirs, names, remove, rename
 
 # A stored batch id combines an ordered run id with the micro-batch number,
 # because micro-batch numbers restart at 0 with a new checkpoint.
@@ -48,38 +52,6 @@ class State:
         return self.path("_checkpoint")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def _mkdirs(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.mkdirs(p)
-
-
-def _markers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Integer values of ``<prefix>=<n>`` entries directly under ``path``."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith(prefix + "="):
-            try:
-                out.append(int(name.split("=", 1)[1]))
-            except ValueError:
-                pass
-    return out
-
-
 def run_id(spark: SparkSession, state: State) -> int:
     """The ordered run id bound to this state's checkpoint.
 
@@ -87,11 +59,11 @@ def run_id(spark: SparkSession, state: State) -> int:
     ``mkdirs``, never deleted or renamed): a resumed checkpoint keeps the
     newest run id, a new checkpoint takes the next one.
     """
-    runs = _markers(spark, state.path("_runs"), "run")
+    runs = markers(spark, state.path("_runs"), "run")
     if runs and exists(spark, state.checkpoint):
         return max(runs)
     rid = max(runs, default=0) + 1
-    _mkdirs(spark, state.path(f"_runs/run={rid}"))
+    mkdirs(spark, state.path(f"_runs/run={rid}"))
     return rid
 
 
@@ -102,7 +74,9 @@ def _overwrite_batch(df: DataFrame, path: str, parts: list[str]) -> None:
 # ---------------------------------------------------------------- page views
 PAGE_RAW = "page_log"
 PAGE_DELTAS = "page_daily_deltas"
+PAGE_CUTOFFS = "page_cutoffs"
 PAGE_QUARANTINE = "page_quarantine"
+PAGE_LATE = "page_late"
 CHANGE_QUARANTINE = "change_quarantine"
 AUTH_QUARANTINE = "auth_quarantine"
 
@@ -115,7 +89,10 @@ def keep_quarantine(bad: DataFrame, path: str, batch_id: int) -> None:
 
 def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame, batch_id: int,
                       lookback: dt.timedelta | None = None) -> None:
-    """One micro-batch of page views: clean, dedup, insert-if-absent, delta."""
+    """One micro-batch of page views: clean, dedup, insert-if-absent, delta.
+
+    ``lookback`` (I6): rows more than that behind the newest stored time are too late; they are
+    kept aside per batch (``late_rows``) and change neither the log nor the rollup. None: no row is too late."""
     raw_path, delta_path = state.path(PAGE_RAW), state.path(PAGE_DELTAS)
     if {"TimeGenerated", "Properties"} <= set(feed_batch.columns):
         feed_batch = L.page_view_rows(feed_batch)          # raw telemetry landing (S1)
@@ -124,11 +101,29 @@ def ingest_page_batch(spark: SparkSession, state: State, feed_batch: DataFrame,
     # from the replayable file source
     views = L.scan_page_views(feed_batch).persist()
     try:
-        _ingest_views(spark, state, views, batch_id, raw_path, delta_path)
+        _ingest_views(spark, state, _in_time(spark, state, views, batch_id, lookback), batch_id, raw_path, delta_path)
     finally:
         views.unpersist()
 
 
+def _in_time(spark: SparkSession, state: State, views: DataFrame, batch_id: int,
+             lookback: dt.timedelta | None) -> DataFrame:
+    if lookback is None or not exists(spark, state.path(PAGE_RAW)):
+        return views
+    # the batch's own rows don't count: a retried batch must judge its rows as it did before
+    oldest = newest_in_days(spark, state.path(PAGE_RAW), but_batch=batch_id) - lookback
+    late = views.filter(F.col("Timestamp") < F.lit(oldest))
+    if late.limit(1).count() > 0:
+        _overwrite_batch(late.withColumn("BatchId", F.lit(batch_id).cast("long")), state.path(PAGE_LATE), ["BatchId"])
+    return views.filter(F.col("Timestamp").isNull() | (F.col("Timestamp") >= F.lit(oldest)))
+
+
+def late_rows(spark: SparkSession, state: State) -> DataFrame | None:
+    """Page views that came too late, with the batch that delivered them; None if there were none."""
+    path = state.path(PAGE_LATE)
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
 def _ingest_views(spark: SparkSession, state: State, views: DataFrame, batch_id: int,
                   raw_path: str, delta_path: str) -> None:
     good, bad = L.split_quarantine(views, L.PAGE_REQUIRED)
@@ -169,8 +164,8 @@ def _base(spark: SparkSession, state: State) -> tuple[DataFrame | None, int]:
     exists; the marker is created after the data is fully written.
     """
     best = None
-    for ver in sorted(_markers(spark, state.path(DAILY_BASE), "v"), reverse=True):
-        upto = _markers(spark, state.path(f"{DAILY_BASE}/v={ver}"), "_upto")
+    for ver in sorted(markers(spark, state.path(DAILY_BASE), "v"), reverse=True):
+        upto = markers(spark, state.path(f"{DAILY_BASE}/v={ver}"), "_upto")
         if upto:
             best = (ver, upto[0])
             break
@@ -186,7 +181,7 @@ def daily_table(spark: SparkSession, state: State) -> DataFrame:
     parts = []
     if base is not None:
         parts.append(base)
-    if exists(spark, state.path(PAGE_DELTAS)):
+    if any(b > upto for b in markers(spark, state.path(PAGE_DELTAS), "BatchId")):
         parts.append(spark.read.parquet(state.path(PAGE_DELTAS)).filter(F.col("BatchId") > upto))
     cols = ["DateKey", "UserName", "PageId", "PageName", "CompanyName", "Hits", "BatchId"]
     allp = parts[0].select(*cols)
@@ -201,21 +196,36 @@ def compact_daily(spark: SparkSession, state: State) -> int:
     The new base carries the newest folded batch id, so later deltas still
     win the page name. Data is written first and the commit marker last, so
     a crash leaves the previous base + deltas valid (the half-written
-    version is ignored). Old versions and folded deltas can be removed later.
+    version is ignored). ``vacuum_daily`` removes old versions and folded deltas later.
     """
     base, upto = _base(spark, state)
-    deltas = spark.read.parquet(state.path(PAGE_DELTAS)).filter(F.col("BatchId") > upto)
-    newest = deltas.agg(F.max("BatchId")).first()[0]
-    if newest is None:
+    newest = max(markers(spark, state.path(PAGE_DELTAS), "BatchId"), default=-1)
+    if newest <= upto:
         return -1
-    ver = max(_markers(spark, state.path(DAILY_BASE), "v"), default=0) + 1
+    deltas = spark.read.parquet(state.path(PAGE_DELTAS)).filter(F.col("BatchId") > upto)
+    ver = max(markers(spark, state.path(DAILY_BASE), "v"), default=0) + 1
     cols = ["DateKey", "UserName", "PageId", "PageName", "CompanyName", "Hits", "BatchId"]
     allp = deltas.select(*cols) if base is None else base.select(*cols).unionByName(deltas.select(*cols))
     R.compact_daily(allp, newest).write.mode("overwrite").parquet(state.path(f"{DAILY_BASE}/v={ver}/data"))
-    _mkdirs(spark, state.path(f"{DAILY_BASE}/v={ver}/_upto={newest}"))
+    mkdirs(spark, state.path(f"{DAILY_BASE}/v={ver}/_upto={newest}"))
     return ver
 
 
+def vacuum_daily(spark: SparkSession, state: State, grace: int = GRACE) -> int:
+    """Remove bases older than the newest ``grace`` and the deltas that the oldest base kept has folded, so a
+    reader that began before the newest compaction still finds its files. Returns the folders removed."""
+    path = state.path(DAILY_BASE)
+    done = {v: upto[0] for v in markers(spark, path, "v") if (upto := markers(spark, f"{path}/v={v}", "_upto"))}
+    kept = sorted(done)[-max(1, grace):]
+    gone = [f"{path}/v={v}" for v in markers(spark, path, "v") if kept and v < kept[0]]
+    if len(kept) >= grace:
+        deltas = state.path(PAGE_DELTAS)
+        gone += [f"{deltas}/BatchId={b}" for b in markers(spark, deltas, "BatchId") if b <= done[kept[0]]]
+    for folder in gone:
+        remove(spark, folder)
+    return len(gone)
+
+
 def _start(src: DataFrame, fn, state: State, processing_time: str | None):
     w = src.writeStream.foreachBatch(fn).option("checkpointLocation", state.checkpoint)
     if processing_time:
@@ -228,8 +238,8 @@ def _start(src: DataFrame, fn, state: State, processing_time: str | None):
 
 def run_page_stream(spark: SparkSession, landing: str, state: State, schema: T.StructType,
                     max_files_per_trigger: int = 1000, fmt: str = "parquet",
-                    processing_time: str | None = None):
-    """Commit every landed file not yet seen.
+                    processing_time: str | None = None, lookback: dt.timedelta | None = None):
+    """Commit every landed file not yet seen; ``lookback`` as in ``ingest_page_batch``.
 
     Default ``trigger(availableNow=True)``: process the backlog and stop (run
     it from a scheduler); with ``processing_time`` the query keeps running
@@ -240,132 +250,142 @@ def run_page_stream(spark: SparkSession, landing: str, state: State, schema: T.S
            .option("maxFilesPerTrigger", max_files_per_trigger).load(landing))
 
     def fn(df, micro_batch_id):
-        ingest_page_batch(df.sparkSession, state, df, rid * BATCH_SPAN + micro_batch_id)
+        ingest_page_batch(df.sparkSession, state, df, rid * BATCH_SPAN + micro_batch_id, lookback)
 
     return _start(src, fn, state, processing_time)
 
 
 def stored_page_log(spark: SparkSession, state: State) -> DataFrame:
-    return spark.read.parquet(state.path(PAGE_RAW)).drop("DateKey", "BatchId")
+    return _page_rows(spark, state).drop("DateKey", "BatchId")
 
 
 # ---------------------------------------------------------------- change log
 CHANGE_STORE = "change_log"
 
 
+def change_store(spark: SparkSession, state: State) -> ChangeStore:
+    return ChangeStore(spark, state.path(CHANGE_STORE))
+
+
 def ingest_change_batch(spark: SparkSession, state: State, pages_batch: DataFrame, batch_id: int) -> None:
     """One micro-batch of change-log pages: explode, shape, quarantine, D3, append.
 
     Entries without a number or a time, and pages that are no ``{value:[...]}``
     document, go to quarantine; a malformed page leaves one row with its company."""
-    path = state.path(CHANGE_STORE)
     entries = pages_batch.select("Company", F.explode("value").alias("e")).select("Company", "e.*")
     shaped = L.shape_change_log(entries).persist()
     good, bad = L.split_quarantine(shaped, L.CHANGE_REQUIRED)
     broken = pages_batch.filter(F.col("value").isNull()).select(
         F.col("Company").alias("CompanyName"), F.lit("malformed page").alias("QuarantineReason"))
-    rows = D.dedup_batch(good, D.change_key())
     try:
         keep_quarantine(bad.unionByName(broken, allowMissingColumns=True), state.path(CHANGE_QUARANTINE), batch_id)
-        new = rows
-        if exists(spark, path):
-            lo, hi = good.agg(F.min("EntryNo"), F.max("EntryNo")).first()
-            if lo is None:
-                return
-            hist = (spark.read.parquet(path).filter(F.col("BatchId") != batch_id)
-                    .filter(F.col("EntryNo").between(F.lit(lo), F.lit(hi))))
-            new = D.anti_join(rows, hist, D.change_key())
-        elif good.isEmpty():
-            return
-        _overwrite_batch(new.withColumn("BatchId", F.lit(batch_id).cast("long")), path, ["BatchId"])
+        if not good.isEmpty():
+            change_store(spark, state).add(good, batch_id)
     finally:
         shaped.unpersist()
 
 
-# Batch id of compacted rows: real ids are run_id * 10^9 + n >= 10^9, so a
-# replayed batch never mistakes compacted rows for its own.
-BASE_BATCH = 0
+def compact_change_log(spark: SparkSession, state: State) -> int:
+    """Rewrite the months and companies that lie in several units or have deleted rows; returns how many did."""
+    return change_store(spark, state).compact()
 
 
-def _live_batches(spark: SparkSession, path: str) -> tuple[int, list[int], list[int]]:
-    """(newest folded batch, batches that hold the rows, leftovers already folded).
+def stored_change_log(spark: SparkSession, state: State) -> DataFrame:
+    """The stored entries, each once: those of the newest committed version."""
+    return change_store(spark, state).rows()
+
+
+# ---------------------------------------------------------------- page-log compaction
+# Batch ids are run_id * 10^9 + n > 0. A compacted day is the partition ``BatchId=-<newest folded batch>``: it
+# appears with one rename, and that name alone tells which other partitions of the day it replaces.
+def _folded(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Per day with such leftovers: batches that the day's compacted partition has folded already."""
+    out = {}
+    for name in names(spark, path):
+        if name.startswith("DateKey="):
+            batches = markers(spark, f"{path}/{name}", "BatchId")
+            base = min((b for b in batches if b <= 0), default=0)
+            left = [b for b in batches if b != base and b <= -base]
+            if left:
+                out[name.split("=", 1)[1]] = left
+    return out
 
-    A compacted base is the partition ``BatchId=-<newest folded batch>``: it appears with one
-    rename, and that name alone tells which other partitions it replaces."""
-    batches = sorted(_markers(spark, path, "BatchId"))
-    base = min((b for b in batches if b <= BASE_BATCH), default=BASE_BATCH)
-    live = [b for b in batches if b == base or b > -base]
-    return -base, live, [b for b in batches if b not in live]
 
+def compact_page_log(spark: SparkSession, state: State, before=None) -> list:
+    """Fold each day's ``BatchId`` sub-partitions of the raw page log into one; ``before`` limits it to closed days.
 
-def _live_rows(spark: SparkSession, path: str) -> DataFrame:
-    upto, _, _ = _live_batches(spark, path)
-    return spark.read.parquet(path).filter((F.col("BatchId") == -upto) | (F.col("BatchId") > upto))
+    The rows of all days are staged by one job; then each day's compacted partition appears with one
+    rename, and what it folded is removed. Readers (``stored_page_log``) skip what a day's compacted
+    partition has folded, so each row is seen once at any moment; an interrupted compaction is
+    finished by the next. Returns the compacted days.
+    """
+    path = state.path(PAGE_RAW)
+    newest = {}
+    for name in names(spark, path):
+        day = name.split("=", 1)[-1]
+        if name.startswith("DateKey=") and (before is None or day < str(before)):
+            batches = markers(spark, f"{path}/{name}", "BatchId")
+            live = [b for b in batches if b > -min(batches) or b == min(batches)]
+            if len(live) > 1:
+                newest[day] = max(batches)
+    if newest:
+        day = F.col("DateKey").cast("string")
+        rows = _page_rows(spark, state).filter(day.isin(list(newest)))
+        order = ["Id"] if "Id" in rows.columns else None
+        staging = state.path(f"_staging/compact-days-{uuid_hex()}")
+        D.dedup_batch(rows.drop("BatchId"), D.page_key(), order=order) \
+            .write.partitionBy("DateKey").parquet(staging)
+        for d, n in newest.items():
+            rename(spark, f"{staging}/DateKey={d}", f"{path}/DateKey={d}/BatchId={-n}")
+        remove(spark, staging)
+    for d, batches in _folded(spark, path).items():
+        for b in batches:
+            remove(spark, f"{path}/DateKey={d}/BatchId={b}")
+    return sorted(newest)
+
+
+def retain_page_log(spark: SparkSession, state: State, cutoff: dt.datetime) -> list[str]:
+    """Views before ``cutoff`` are gone for readers with one marker; whole days before it are then
+    removed. No day is rewritten: the rest of the cutoff's own day is filtered off by the scan."""
+    mkdirs(spark, state.path(f"{PAGE_CUTOFFS}/us={_micros(cutoff)}"))
+    path = state.path(PAGE_RAW)
+    gone = [n for n in names(spark, path) if n.startswith("DateKey=") and n.split("=", 1)[1] < cutoff.date().isoformat()]
+    for name in gone:
+        remove(spark, f"{path}/{name}")
+    return gone
 
 
-def compact_change_log(spark: SparkSession, state: State) -> int:
-    """Fold all ``BatchId`` partitions of the stored change log into one base.
+def _micros(at: dt.datetime) -> int:
+    return int((at - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
 
-    The rows are staged, the base appears with one rename, and the folded partitions
-    are removed afterwards. Readers (``stored_change_log``) skip what the newest base
-    has folded, so each row is seen once before, between and after the two steps, and
-    an interrupted compaction is finished by the next. Returns the number of partitions folded.
-    """
-    from auditlake.sources.sinks import recover_table, swap_partitions
-    path = state.path(CHANGE_STORE)
-    if not exists(spark, path):
-        return 0
-    recover_table(spark, path)
-    upto, live, leftovers = _live_batches(spark, path)
-    folded = [b for b in live if b > upto]
-    if folded:
-        newest = max(folded)
-        rows = D.dedup_batch(_live_rows(spark, path).drop("BatchId"), D.change_key())
-        staging = state.path(f"_staging/compact-{newest}")
-        rows.withColumn("BatchId", F.lit(-newest).cast("long")).write.mode("overwrite") \
-            .partitionBy("BatchId").parquet(staging)
-        swap_partitions(spark, path, staging, [f"BatchId={-newest}"])
-        leftovers = _live_batches(spark, path)[2]
-    none_staged = state.path("_staging/none")
-    swap_partitions(spark, path, none_staged, [f"BatchId={b}" for b in leftovers])
-    return len(folded)
 
+def page_cutoff(spark: SparkSession, state: State) -> dt.datetime | None:
+    us = markers(spark, state.path(PAGE_CUTOFFS), "us")
+    return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=max(us)) if us else None
 
-def compact_page_log(spark: SparkSession, state: State, before=None) -> list:
-    """Fold each day's ``BatchId`` sub-partitions of the raw page log into one
-    base batch (``0``); ``before`` limits it to closed days.
 
-    Each day is rewritten as a whole and swapped in with a crash-safe folder
-    swap; rows are deduplicated by key on the way, so a re-run is harmless.
-    Returns the compacted days.
-    """
-    from auditlake.sources.sinks import recover_table, swap_partitions
+def _page_rows(spark: SparkSession, state: State) -> DataFrame:
+    """Stored page views with their partition columns, each once, from the retention cutoff on."""
     path = state.path(PAGE_RAW)
-    if not exists(spark, path):
-        return []
-    recover_table(spark, path)
-    fs, root = _fs(spark, path)
-    days = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith("DateKey=")):
-            continue
-        day = name.split("=", 1)[1]
-        if before is not None and day >= str(before):
-            continue
-        subs = _markers(spark, f"{path}/{name}", "BatchId")
-        if len(subs) > 1 or (subs and subs != [BASE_BATCH]):
-            days.append(day)
-    if not days:
-        return []
-    raw = spark.read.parquet(path).filter(F.col("DateKey").cast("string").isin(days))
-    order = ["Id"] if "Id" in raw.columns else None
-    rows = D.dedup_batch(raw.drop("BatchId"), D.page_key(), order=order)
-    staging = state.path(f"_staging/compact-days-{uuid_hex()}")
-    rows.withColumn("BatchId", F.lit(BASE_BATCH).cast("long")).write.mode("overwrite") \
-        .partitionBy("DateKey", "BatchId").parquet(staging)
-    swap_partitions(spark, path, staging, [f"DateKey={d}" for d in days])
-    return days
+    rows = spark.read.parquet(path)
+    for day, batches in _folded(spark, path).items():
+        rows = rows.filter(~((F.col("DateKey").cast("string") == day) & F.col("BatchId").isin(batches)))
+    cutoff = page_cutoff(spark, state)
+    return rows if cutoff is None else rows.filter((F.col("DateKey") >= F.lit(cutoff.date())) & (F.col("Timestamp") >= F.lit(cutoff)))
+
+
+def newest_in_days(spark: SparkSession, path: str, column: str = "Timestamp", but_batch: int | None = None) -> dt.datetime:
+    """I1 on a table stored by ``DateKey``: the newest time lies in the newest day, which its folder name
+    tells. One day is read, its largest time kept per task (no exchange). ``but_batch`` is left out."""
+    days = [n.split("=", 1)[1] for n in names(spark, path) if n.startswith("DateKey=")]
+    for day in sorted(days, reverse=True):   # a day may hold folders without a row
+        rows = spark.read.option("basePath", path).parquet(f"{path}/DateKey={day}")
+        if but_batch is not None:
+            rows = rows.filter(F.col("BatchId") != but_batch)
+        newest = newest_first(rows, column).collect()
+        if newest:
+            return newest[0][0]
+    return DEFAULT_WATERMARK
 
 
 def uuid_hex() -> str:
@@ -377,8 +397,9 @@ CHANGE_PAGE_STREAM_SCHEMA = T.StructType(L.CHANGE_PAGE_SCHEMA.fields + [T.Struct
 
 
 def run_change_stream(spark: SparkSession, landing: str, state: State, max_files_per_trigger: int = 1000,
-                      processing_time: str | None = None):
-    """I2 / I7 for the change log: commit every landed page file not yet seen.
+                      processing_time: str | None = None, companies: list[str] | None = None):
+    """I2 / I7 for the change log: commit every landed page file not yet seen; pages of companies that are not
+    selected (P12; None: all are) are passed over.
 
     ``max_files_per_trigger`` bounds one micro-batch (a catch-up backlog is
     split into several); each micro-batch is one dedup + one anti join.
@@ -386,6 +407,8 @@ def run_change_stream(spark: SparkSession, landing: str, state: State, max_files
     rid = run_id(spark, state)
     src = (spark.readStream.schema(CHANGE_PAGE_STREAM_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(landing))
+    if companies is not None:
+        src = src.filter(F.col("Company").isin(companies))
 
     def fn(df, micro_batch_id):
         ingest_change_batch(df.sparkSession, state, df, rid * BATCH_SPAN + micro_batch_id)
@@ -393,11 +416,6 @@ def run_change_stream(spark: SparkSession, landing: str, state: State, max_files
     return _start(src, fn, state, processing_time)
 
 
-def stored_change_log(spark: SparkSession, state: State) -> DataFrame:
-    """The stored entries, each once, also while a compaction runs or after it was interrupted."""
-    return _live_rows(spark, state.path(CHANGE_STORE)).drop("BatchId")
-
-
 def land_change_pages(entries: DataFrame, landing: str, page_rows: int = 5000) -> None:
     """Land change-log entries the way the ERP serves them: ``{value:[...]}``
     pages, one directory per company.

@@ -24,7 +24,7 @@ def test_watermark_default_and_max(spark):
 def test_cursor_seed_forward_backfill_with_exact_caps(spark):
     f = feed(spark, [("A", 1, 100), ("B", 1, 50)])
     stored = f.filter((F.col("CompanyName") == "A") & F.col("EntryNo").between(40, 60))
-    out = I.next_change_rows(f, stored, forward_cap=10, backfill_cap=5, seed_rows=20)
+    out = I.next_change_rows(f, I.company_edges(stored), I.Caps(10, 5, 20))
     got = {(r.CompanyName, r.Phase): sorted([]) for r in []}
     for r in out.collect():
         got.setdefault((r.CompanyName, r.Phase), []).append(r.EntryNo)
@@ -37,9 +37,9 @@ def test_cursor_seed_forward_backfill_with_exact_caps(spark):
 def test_cursor_backfill_off_and_min_one(spark):
     f = feed(spark, [("A", 1, 30)])
     stored = f.filter(F.col("EntryNo").between(1, 10))
-    out = I.next_change_rows(f, stored, forward_cap=100, backfill_cap=0, seed_rows=5)
+    out = I.next_change_rows(f, I.company_edges(stored), I.Caps(100, 0, 5))
     assert rows(out.select("Phase").distinct()) == [("forward",)]
-    out2 = I.next_change_rows(f, stored, forward_cap=3, backfill_cap=10, seed_rows=5)
+    out2 = I.next_change_rows(f, I.company_edges(stored), I.Caps(3, 10, 5))
     assert rows(out2, "EntryNo", "Phase") == [(11, "forward"), (12, "forward"), (13, "forward")]
 
 
@@ -47,7 +47,7 @@ def test_backfill_respects_retention_cutoff(spark):
     f = feed(spark, [("A", 1, 30)])
     stored = f.filter(F.col("EntryNo").between(20, 30))
     cutoff = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15)
-    out = I.next_change_rows(f, stored, forward_cap=10, backfill_cap=100, seed_rows=5, not_before=cutoff)
+    out = I.next_change_rows(f, I.company_edges(stored), I.Caps(10, 100, 5), not_before=cutoff)
     assert sorted(r.EntryNo for r in out.collect()) == list(range(15, 20))
 
 
@@ -64,7 +64,7 @@ def test_bucketed_top_n_matches_row_number_with_gaps_and_skew(spark):
     df = spark.createDataFrame(data, COLS)
     for desc_ in (False, True):
         for n in (1, 3, 250, 10_000):
-            got = I.first_n_per_company(df, n, descending=desc_, bucket_width=64)
+            got = I.first_n_per_company(df, n, descending=desc_)
             exp = {}
             for c in ("HOT", "COLD"):
                 ids = sorted((e for cc, e, _ in data if cc == c), reverse=desc_)[:n]
@@ -79,6 +79,6 @@ def test_purged_company_is_seeded_again_by_the_next_run(spark):
     # SURVEY §5 #5: a purged company that is still selected comes back from its newest block
     f = feed(spark, [("A", 1, 50), ("B", 1, 50)])
     stored_after_purge = f.filter(F.col("CompanyName") == "A")
-    out = I.next_change_rows(f, stored_after_purge, forward_cap=10, backfill_cap=0, seed_rows=5)
+    out = I.next_change_rows(f, I.company_edges(stored_after_purge), I.Caps(10, 0, 5))
     assert rows(out.filter(F.col("CompanyName") == "B"), "EntryNo", "Phase") == [
         (46, "seed"), (47, "seed"), (48, "seed"), (49, "seed"), (50, "seed")]

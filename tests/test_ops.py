@@ -24,12 +24,17 @@ def test_retention_edge_and_month_arithmetic(spark):
     assert RT.retain(unknown, "Timestamp", dt.datetime(2024, 1, 15), 6).count() == 1
 
 
-@pytest.mark.parametrize("value,expected", [(6, 6), ("12", 12), (0, 24), (1201, 24), (2.5, 24), (None, 24),
-                                            (True, 24), ("x", 24)])
+@pytest.mark.parametrize("value,expected", [(6, 6), ("12", 12), (None, 24), (1, 1), (1200, 1200)])
 def test_retention_param_validation(value, expected):
     assert RT.retention_months(value, 24) == expected
 
 
+@pytest.mark.parametrize("value", [0, 1201, 2.5, True, "x", "", -3])
+def test_bad_retention_raises(value):
+    with pytest.raises(ValueError):
+        RT.retention_months(value, 24)
+
+
 @pytest.mark.parametrize("value,expected", [(100, 100), (1_000_000, 1_000_000), ("250", 250), (None, 5000)])
 def test_top_rows_validation(value, expected):
     assert V.top_rows(value) == expected
@@ -59,20 +64,6 @@ def test_removed_companies_null_previous_means_all(spark):
     assert rows(RT.queue_purge(pending, RT.removed_companies(None, known, now))) == [("A",), ("C",), ("D",)]
 
 
-def test_drop_and_rewrite_date_partitions(spark):
-    d = tempfile.mkdtemp(prefix="al-ret-") + "/t"
-    df = spark.createDataFrame([(dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 5)),
-                                (dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 5)),
-                                (dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 15)),
-                                (dt.date(2024, 1, 3), dt.datetime(2024, 1, 3, 5))], "DateKey date, Timestamp timestamp_ntz")
-    df.write.partitionBy("DateKey").parquet(d)
-    cutoff = dt.datetime(2024, 1, 2, 12)
-    assert RT.drop_partitions_before(spark, d, "DateKey", cutoff.date()) == ["DateKey=2024-01-01"]
-    RT.rewrite_partition(spark, d, "DateKey", "2024-01-02", F.col("Timestamp") >= F.lit(cutoff),
-                         tempfile.mkdtemp(prefix="al-stage-") + "/s")
-    assert rows(spark.read.parquet(d), "Timestamp") == [(dt.datetime(2024, 1, 2, 15),), (dt.datetime(2024, 1, 3, 5),)]
-
-
 def test_feed_status_age_expiry_and_overall(spark):
     now = dt.datetime(2024, 1, 31, 12, 0, 0)
     st = spark.createDataFrame([(True, dt.datetime(2024, 1, 30, 9, 59, 30)), (False, dt.datetime(2024, 1, 1)),
@@ -138,13 +129,26 @@ def test_csv_export_has_bom_and_semicolons(spark):
     assert "Ann\t2024-01-02\t3" in t2
 
 
-def test_snapshot_sections(spark):
+def test_snapshot_sections(spark, monkeypatch):
     d = tempfile.mkdtemp(prefix="al-snap-") + "/snap"
     kpi = spark.createDataFrame([(1, 2)], "A long, B long")
     trend = spark.createDataFrame([(dt.date(2024, 1, 1), 5)], "DateKey date, Hits long")
-    S.write_snapshot({"kpi": kpi, "trend": trend}, d, "2024-01-31 12:00:00")
-    assert spark.read.json(d + "/trend").first().DateKey == "2024-01-01"
-    assert "generatedUtc" in spark.read.text(d + "/_manifest").first().value
+    assert S.read_snapshot(spark, d) == {}
+    first = S.write_snapshot({"kpi": kpi, "trend": trend}, d, "2024-01-31 12:00:00")
+    assert S.read_snapshot(spark, d)["trend"].first().DateKey == "2024-01-01"
+    # a later version that was not committed is not seen; a pinned one stays readable
+    from auditlake.streaming.versions import Versions
+    late = spark.createDataFrame([(9, None)], "A long, B long")
+    commit = Versions.commit
+    monkeypatch.setattr(Versions, "commit", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        S.write_snapshot({"kpi": late}, d, "2024-02-01 12:00:00")
+    monkeypatch.setattr(Versions, "commit", commit)
+    assert rows(S.read_snapshot(spark, d)["kpi"]) == [(1, 2)]
+    second = S.write_snapshot({"kpi": late}, d, "2024-02-02 12:00:00")
+    assert second > first and rows(S.read_snapshot(spark, d)["kpi"]) == [(9, None)]
+    assert rows(S.read_snapshot(spark, d, first)["kpi"]) == [(1, 2)]
+    assert S.read_snapshot(spark, d)["generatedUtc"].first()[0] == "2024-02-02 12:00:00"
 
 
 def test_storage_inventory_rows(spark):
@@ -173,26 +177,30 @@ def test_page_of_rows_deep_pages_match(spark):
 
 def test_settings_validation():
     from auditlake.plans.snapshot import Settings
-    s = Settings(page_retention_months=0, audit_retention_months="36", top_rows="500",
-                 enabled_companies=[" CO_1", "", "CO_1", "CO_2"], stale_hours=-1).validated()
+    s = Settings(audit_retention_months="36", top_rows="500", forward_cap="7",
+                 enabled_companies=[" CO_1", "", "CO_1", "CO_2"]).validated()
     assert (s.page_retention_months, s.audit_retention_months, s.top_rows) == (6, 36, 500)
-    assert s.enabled_companies == ["CO_1", "CO_2"] and s.stale_hours == 24.0
+    assert s.enabled_companies == ["CO_1", "CO_2"] and s.stale_hours == 24.0 and s.caps.forward == 7
     assert Settings().validated().enabled_companies is None
+    for bad in (dict(page_retention_months=0), dict(stale_hours=-1), dict(seed_rows="x"), dict(secret_warn_days=0), dict(top_rows=3)):
+        with pytest.raises(ValueError):
+            Settings(**bad).validated()
 
 
 def test_full_snapshot_from_stored_tables(spark):
     import datetime as _dt
     from auditlake.plans import tables as TB
-    from auditlake.plans.snapshot import Settings, snapshot_sections, write_dashboard_snapshot
+    from auditlake.plans.snapshot import Settings, snapshot_sections
     sf = "/root/testdata/sf0.001"
     secs = snapshot_sections(TB.page_daily(spark, sf), TB.page_log(spark, sf), TB.auth_fail_daily(spark, sf),
                              TB.change_log(spark, sf), TB.users(spark, sf), TB.page_map(spark, sf),
                              _dt.date(2024, 1, 31), Settings(top_rows=100))
     d = tempfile.mkdtemp(prefix="al-dash-") + "/snap"
-    write_dashboard_snapshot(secs, d, _dt.datetime(2024, 1, 31, 12))
-    assert spark.read.json(d + "/changeLog").count() == 100
-    assert spark.read.json(d + "/pageMapCount").first().PageMapCount == TB.page_map(spark, sf).count()
-    assert set(secs) >= {"kpi", "trend", "tableAccess", "userActivity", "authFails", "ranges"}
+    S.write_snapshot(secs, d, "2024-01-31 12:00:00")
+    back = S.read_snapshot(spark, d)
+    assert back["changeLog"].count() == 100
+    assert back["pageMapCount"].first().PageMapCount == TB.page_map(spark, sf).count()
+    assert set(back) >= {"kpi", "trend", "tableAccess", "userActivity", "authFails", "pageRange", "auditRange"}
 
 
 def test_partition_swap_recovers_from_interrupted_swap(spark):

@@ -23,7 +23,7 @@ def test_first_n_per_company_is_exact(spark, rows, cap, width, descending):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(c, e, t) for c, e in rows], "CompanyName string, EntryNo long, ChangedAt timestamp_ntz")
     got = {}
-    for r in I.first_n_per_company(df, cap, descending=descending, bucket_width=width).collect():
+    for r in I.first_n_per_company(df, cap, descending=descending, coarse_slots=width).collect():
         got.setdefault(r.CompanyName, set()).add(r.EntryNo)
     exp = {}
     for c in {c for c, _ in rows}:

@@ -115,59 +115,69 @@ def test_quarantined_rows_are_kept_aside(spark):
     assert [(r.Id, r.BatchId) for r in q.collect()] == [(2, 7)]
 
 
-def test_change_log_compaction_folds_batches_and_survives_a_stop(spark, monkeypatch):
-    state = ST.State(tempfile.mkdtemp(prefix="al-ccomp-"))
-    entry = "struct<Entry_No:bigint,Date_and_Time:timestamp_ntz,User_ID:string,Table_No:string," \
-            "Table_Caption:string,Field_No:string,Field_Caption:string,Type_of_Change:string," \
-            "Primary_Key:string,Old_Value:string,New_Value:string>"
-    schema = f"Company string, value array<{entry}>"
-
-    def page(lo, hi):
-        return ("A", [(n, T0, "U", "18", "T", "1", "F", "Insertion", "k", "a", "b") for n in range(lo, hi)])
-
-    for b, (lo, hi) in enumerate([(1, 5), (5, 9), (9, 12)], start=1):
-        ST.ingest_change_batch(spark, state, spark.createDataFrame([page(lo, hi)], schema), b)
-    before = sorted(r.EntryNo for r in ST.stored_change_log(spark, state).collect())
-    assert ST.compact_change_log(spark, state) == 3
-    after = spark.read.parquet(state.path(ST.CHANGE_STORE))
-    assert {r.BatchId for r in after.collect()} == {-3}
-    assert sorted(r.EntryNo for r in after.collect()) == before == list(range(1, 12))
-    assert ST.compact_change_log(spark, state) == 0
-    # stopped between the two steps: every entry is still read once, and the next run cleans up
-    from auditlake.sources import sinks
-    ST.ingest_change_batch(spark, state, spark.createDataFrame([page(10, 15)], schema), 4)
-    real, calls = sinks.swap_partitions, []
-
-    def stops(*args):
-        calls.append(args)
-        if len(calls) == 2:
-            raise OSError("stopped")
-        return real(*args)
-
-    monkeypatch.setattr(sinks, "swap_partitions", stops)
-    with pytest.raises(OSError):
-        ST.compact_change_log(spark, state)
-    monkeypatch.undo()
-    assert set(ST._markers(spark, state.path(ST.CHANGE_STORE), "BatchId")) == {-4, -3, 4}
-    assert rows(ST.stored_change_log(spark, state), "EntryNo") == sorted(((n,) for n in range(1, 15)), key=repr)
-    ST.ingest_change_batch(spark, state, spark.createDataFrame([page(14, 17)], schema), 5)
-    assert ST.compact_change_log(spark, state) == 1
-    assert ST._markers(spark, state.path(ST.CHANGE_STORE), "BatchId") == [-5]
-    assert rows(ST.stored_change_log(spark, state), "EntryNo") == sorted(((n,) for n in range(1, 17)), key=repr)
-
-
-def test_page_log_compaction_per_day_keeps_rows_and_history(spark):
+def test_page_log_compaction_per_day_shows_every_row_once_at_any_moment(spark, monkeypatch):
     state = ST.State(tempfile.mkdtemp(prefix="al-pcomp-"))
     ST.ingest_page_batch(spark, state, views(spark, 0, 10), 1_000_000_001)
     ST.ingest_page_batch(spark, state, views(spark, 10, 10), 1_000_000_002)
-    before = sorted(r.Id for r in ST.stored_page_log(spark, state).collect())
-    days = ST.compact_page_log(spark, state)
-    assert days and sorted(r.Id for r in ST.stored_page_log(spark, state).collect()) == before
-    assert {r.BatchId for r in spark.read.parquet(state.path(ST.PAGE_RAW)).collect()} == {ST.BASE_BATCH}
+    before = rows(ST.stored_page_log(spark, state))
+    # stopped after the compacted day appeared: its leftovers are not read again
+    with monkeypatch.context() as m:
+        real = ST.remove
+        m.setattr(ST, "remove", lambda sp, path: real(sp, path) if "_staging" in path else (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            ST.compact_page_log(spark, state)
+    day = f"{state.path(ST.PAGE_RAW)}/DateKey={T0:%Y-%m-%d}"
+    assert len(ST.markers(spark, day, "BatchId")) > 1
+    assert rows(ST.stored_page_log(spark, state)) == before
+    ST.compact_page_log(spark, state)
+    assert all(b < 0 for b in ST.markers(spark, day, "BatchId")) and rows(ST.stored_page_log(spark, state)) == before
     # a replay of an already stored batch still finds its rows in the compacted history
     ST.ingest_page_batch(spark, state, views(spark, 10, 10), 1_000_000_002)
-    assert ST.stored_page_log(spark, state).count() == 20
-    assert ST.compact_page_log(spark, state) == [] or ST.stored_page_log(spark, state).count() == 20
+    assert rows(ST.stored_page_log(spark, state)) == before
+    assert ST.compact_page_log(spark, state) == []
+
+
+def test_page_retention_hides_the_rest_of_the_cutoffs_day(spark):
+    state = ST.State(tempfile.mkdtemp(prefix="al-pret-"))
+    ST.ingest_page_batch(spark, state, views(spark, 0, 60), 1_000_000_001)
+    hits = ST.daily_table(spark, state).agg(F.sum("Hits")).first()[0]
+    times = sorted(r.Timestamp for r in ST.stored_page_log(spark, state).collect())
+    cutoff = times[30]
+    gone = ST.retain_page_log(spark, state, cutoff)
+    assert gone == sorted({f"DateKey={t:%Y-%m-%d}" for t in times if t.date() < cutoff.date()})
+    assert sorted(r.Timestamp for r in ST.stored_page_log(spark, state).collect()) == [t for t in times if t >= cutoff]
+    assert ST.daily_table(spark, state).agg(F.sum("Hits")).first()[0] == hits
+
+
+def test_rows_later_than_the_lookback_are_kept_aside(spark):
+    state = ST.State(tempfile.mkdtemp(prefix="al-late-"))
+    ST.ingest_page_batch(spark, state, views(spark, 20, 10), 1)
+    newest = ST.newest_in_days(spark, state.path(ST.PAGE_RAW))
+    assert newest == max(r.Timestamp for r in ST.stored_page_log(spark, state).collect())
+    plan = ST.newest_first(spark.read.parquet(state.path(ST.PAGE_RAW)), "Timestamp")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "TakeOrderedAndProject" in plan
+    batch = views(spark, 0, 25)
+    look = newest - sorted(r.Timestamp for r in batch.collect())[12]
+    for _ in range(2):                                     # a retried batch judges its rows as before
+        ST.ingest_page_batch(spark, state, batch, 2, look)
+        late = sorted(r.Id for r in ST.late_rows(spark, state).collect())
+        assert late and sorted(r.Id for r in ST.stored_page_log(spark, state).collect()) == sorted(set(range(30)) - set(late))
+
+
+def test_daily_base_vacuum_keeps_the_grace_version(spark):
+    state = ST.State(tempfile.mkdtemp(prefix="al-vac-"))
+    total, folders = 0, []
+    slow = None
+    for k in range(1, 13):
+        ST.ingest_page_batch(spark, state, views(spark, 10 * k, 10), k)
+        total += 10
+        if k == 12:
+            slow = ST.daily_table(spark, state)            # begins before the last compaction, ends after its vacuum
+        ST.compact_daily(spark, state)
+        ST.vacuum_daily(spark, state)
+        folders.append(len(ST.names(spark, state.path(ST.DAILY_BASE))) + len(ST.markers(spark, state.path(ST.PAGE_DELTAS), "BatchId")))
+        assert ST.daily_table(spark, state).agg(F.sum("Hits")).first()[0] == total
+    assert max(folders) <= 4 and slow.agg(F.sum("Hits")).first()[0] == total
 
 
 def test_raw_telemetry_json_landing_is_flattened_by_the_stream(spark):
@@ -208,7 +218,7 @@ def test_unusable_rows_of_all_modules_go_to_quarantine_once(spark):
     # a first batch with nothing usable leaves no table behind
     empty = ST.State(tempfile.mkdtemp(prefix="al-quar4-"))
     ST.ingest_change_batch(spark, empty, pages.filter("Company = 'B'"), 1)
-    assert not ST.exists(spark, empty.path(ST.CHANGE_STORE))
+    assert ST.change_store(spark, empty).versions.newest() is None
     # C: re-pulled unusable traces are held once
     cols = ["EventId", "PermissionType", "ObjectType", "ObjectNo", "ObjectName", "CompanyName", "ErrorMessage"]
     traces = spark.createDataFrame([(1, T0, "u"), (2, T0, None), (3, None, "u")],
