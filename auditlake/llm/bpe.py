@@ -3,11 +3,11 @@
 Each pre-token is merged on its own: leaf i of the tree holds (rank, i) of the pair of
 symbol i and its right neighbour, the root is the leftmost pair of lowest rank, a merge
 updates at most three leaves in logarithmic time, and the work ends when the root is empty.
-Short pre-tokens not met before are merged in lockstep, a row of one array per tree
+Short pre-tokens are merged in lockstep, a row of one array per tree
 (``merge_many``); long ones one by one (``merge``). The vocabulary file (a fixed, bounded file) is broadcast; texts stream through Arrow batches.
 
-Results of frequent words are remembered per Python worker in tables of bounded size, which
-changes the time only.
+Every distinct word of a group of texts, and every distinct pre-token of those words, is
+worked on once (Arrow's dictionary encoding); ids, decimals and bytes are then taken by position.
 
 Defined results: a null or empty text has no ids; ids and texts are row by row, so repeated
 rows give equal rows; other columns are never read.
@@ -24,21 +24,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import pieces
+from auditlake.llm.common import pieces, text_bytes
 
 #: fixed value: split pattern of the byte-level vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: code points that the library's pattern engine treats as white space
 _SPACE = "\t\n\x0b\f\r \x85\xa0                　"
-_CUT = re.compile(rf"(?= [^\s{_SPACE}])")
-REMEMBERED = 100_000
-REMEMBERED_CHARS = 48
+#: bytes after which a space begins a word: not those of ASCII white space, nor those that may begin another one
+_WORD_BYTE = ~np.isin(np.arange(256), [*b"\t\n\x0b\f\r ", 0xC2, 0xE1, 0xE2, 0xE3])
+_CUT = re.compile(rb" (?=[^\t\n\x0b\f\r \xc2\xe1\xe2\xe3])")
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
 LOCKSTEP_BYTES = 126  # longer pre-tokens are merged one by one
 LOCKSTEP_LEAVES = 1 << 16  # leaves of all trees merged at a time
-GROUP_CHARS = 300_000  # texts (and words of one long text) looked up together
-GROUP_WORDS = 50_000
+GROUP_BYTES = 8_000_000  # texts (and parts of one long text) encoded together
 
 
 def byte_letters() -> dict[str, int]:
@@ -120,34 +119,52 @@ class Pairs:
         return np.where(self.keys[at] == key, self.rank[at], -1)
 
 
-def merge_many(tokens: list[bytes], byte_id: np.ndarray, pairs: Pairs) -> list[tuple]:
-    """Symbols of tokens of 2 to LOCKSTEP_BYTES bytes. Tree r is row r; its last leaf and symbol
-    are a sentinel that stands before the first symbol and after the last."""
-    out: list = [()] * len(tokens)
-    classes: dict = {}
-    for at, t in enumerate(tokens):
-        classes.setdefault(1 << len(t).bit_length(), []).append(at)
-    for size, members in classes.items():
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then the same from starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def merge_many(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, byte_id: np.ndarray, pairs: Pairs,
+               by_pair: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the tokens ``data[starts:starts + lengths]``, one after the other, and how many each token has.
+    Those of up to LOCKSTEP_BYTES bytes are merged in lockstep, by classes of length; longer ones one by one."""
+    counts = np.zeros(len(starts), dtype=np.int64)
+    found = []
+    class_of = np.where(lengths <= LOCKSTEP_BYTES, np.frexp(lengths.astype(np.float64))[1], -1)
+    for c in np.unique(class_of).tolist():
+        members = np.flatnonzero(class_of == c)
+        if c < 0:
+            for i in members.tolist():
+                ids = merge(byte_id[data[starts[i]:starts[i] + lengths[i]]].tolist(), by_pair)
+                counts[i] = len(ids)
+                found.append((np.array([i]), np.array(ids, dtype=np.int64)))
+            continue
+        size = 1 << c
         step = max(1, LOCKSTEP_LEAVES // size)
         for a in range(0, len(members), step):
             part = members[a:a + step]
-            sym = _lockstep([tokens[i] for i in part], size, byte_id, pairs)
+            sym = _lockstep(data, starts[part], lengths[part], size, byte_id, pairs)
             kept = sym >= 0
-            ends = np.cumsum(kept.sum(axis=1)).tolist()
-            ids = sym[kept].tolist()
-            lo = 0
-            for i, hi in zip(part, ends):
-                out[i] = tuple(ids[lo:hi])
-                lo = hi
-    return out
-
-
-def _lockstep(tokens: list[bytes], size: int, byte_id: np.ndarray, pairs: Pairs) -> np.ndarray:
-    m, end = len(tokens), size - 1
-    n = np.fromiter(map(len, tokens), np.int64, m)
-    raw = np.frombuffer(b"".join([t.ljust(size, b"\0") for t in tokens]), dtype=np.uint8).reshape(m, size)
+            counts[part] = kept.sum(axis=1)
+            found.append((part, sym[kept]))
+    at = _offsets(counts)
+    out = np.empty(at[-1], dtype=np.int64)
+    for part, ids in found:
+        out[_ranges(at[part], counts[part])] = ids
+    return out, counts
+
+
+def _lockstep(data, starts, n, size: int, byte_id: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """Tree r is row r; its last leaf and symbol are a sentinel that stands before the first symbol and after the last."""
+    m, end = len(starts), size - 1
     place = np.arange(size)
-    sym = np.where(place < n[:, None], byte_id[raw], -1)
+    inside = place < n[:, None]
+    sym = np.where(inside, byte_id[data[np.where(inside, starts[:, None] + place, 0)]], -1)
     nxt = np.where(place + 1 < n[:, None], place + 1, end).ravel()
     prv = np.tile(np.where(place > 0, place - 1, end), m)
     tree = np.full((m, 2 * size), _NONE, dtype=np.int64)
@@ -184,40 +201,6 @@ def _lockstep(tokens: list[bytes], size: int, byte_id: np.ndarray, pairs: Pairs)
             tree[tops + at] = np.minimum(tree[child], tree[child + 1])
 
 
-class Remembered:
-    """Two generations of at most REMEMBERED results: when the younger is full, it becomes the
-    older and that one is dropped, so frequent entries survive."""
-
-    def __init__(self):
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def known(self, keys) -> tuple[dict, list]:
-        """Remembered results, and the keys without one."""
-        young, old = self.young, self.old
-        found, again, new = {}, {}, []
-        for key in keys:
-            got = young.get(key)
-            if got is None:
-                got = old.get(key)
-                if got is None:
-                    new.append(key)
-                    continue
-                again[key] = got
-            found[key] = got
-        self.put_all(again)
-        return found, new
-
-    def put_all(self, results: dict) -> None:
-        young = self.young
-        for key, value in results.items():
-            if len(key) <= REMEMBERED_CHARS:
-                if len(young) >= REMEMBERED:
-                    self.old, self.young = young, {}
-                    young = self.young
-                young[key] = value
-
-
 class Codec:
     """Encoder and decoder of one byte-level vocabulary (the JSON text of its file)."""
 
@@ -238,99 +221,133 @@ class Codec:
         self.byte_ids, self.sorted_pairs = np.array(self.byte_id, dtype=np.int64), Pairs(self.pairs)
         self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
         self.bytes_of.update({i: s.encode() for s, i in self.added.items()})
-        self.decimal = {i: str(i) for i in self.bytes_of}
+        self.added_bytes = {s.encode(): i for s, i in self.added.items()}
+        top = max(self.bytes_of) + 1
+        self.symbols = [self.bytes_of.get(i, b"") for i in range(top)]
+        self.decimals = [str(i) for i in range(top)]
         self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]")
                                      .replace(r"\s", f"[{_SPACE}]"))
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") \
+        self.special = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.added_bytes, key=len, reverse=True))) + b")") \
             if self.added else None
-        self.tokens, self.words = Remembered(), Remembered()
-
-    def _merged(self, tokens) -> dict:
-        """Ids of every pre-token."""
-        out, new = self.tokens.known(tokens)
-        short = []
-        for t in new:
-            raw = t.encode()
-            if 1 < len(raw) <= LOCKSTEP_BYTES:
-                short.append(raw)
-            else:
-                out[t] = tuple(merge([self.byte_id[b] for b in raw], self.pairs))
-        if short:
-            merged = dict(zip([raw.decode() for raw in short], merge_many(short, self.byte_ids, self.sorted_pairs)))
-            self.tokens.put_all(merged)
-            out.update(merged)
-        return out
-
-    def _new_words(self, words: list[str]) -> dict:
-        """(number of ids, their decimal form, their bytes) of words not met before."""
-        find, added = self.pattern.findall, self.added
-        cut = [() if w in added else find(w) for w in words]
-        ids_of = self._merged({t for tokens in cut for t in tokens})
-        decimal, of = self.decimal, self.bytes_of
-        out = {}
-        for w, tokens in zip(words, cut):
-            if len(tokens) == 1:
-                ids = ids_of[tokens[0]]
-            else:
-                ids = [i for t in tokens for i in ids_of[t]] if tokens else (added[w],)
-            out[w] = (len(ids), ",".join([decimal[i] for i in ids]), b"".join([of[i] for i in ids]))
-        self.words.put_all(out)
-        return out
-
-    def _looked_up(self, words: list[str]) -> list[tuple]:
-        out = []
-        for a in range(0, len(words), GROUP_WORDS):
-            part = words[a:a + GROUP_WORDS]
-            got = list(map(self.words.young.get, part))
-            missing = {w for w, g in zip(part, got) if g is None}
-            if missing:
-                found, new = self.words.known(missing)
-                if new:
-                    found.update(self._new_words(new))
-                got = [g or found[w] for w, g in zip(part, got)]
-            out += got
-        return out
-
-    def join(self, ids) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
-
-    def words_of(self, text: str) -> list[str]:
-        """Cuts the text before every space that a non-space follows: the pattern always
-        begins a pre-token there."""
-        return [w for w in _CUT.split(text) if w]
-
-    def _units(self, text: str) -> list[str]:
-        """Words and added tokens; a word never equals an added token, as the text is cut at those."""
-        if self.special is None or not any(s in text for s in self.added):
-            return self.words_of(text) if text else []
-        out = []
-        for run in self.special.split(text):
-            if run in self.added:
-                out.append(run)
-            elif run:
-                out += self.words_of(run)
-        return out
-
-    def parts(self, texts: list) -> list[list[tuple]]:
-        """Per text its words as (number of ids, their decimal form, their bytes)."""
-        out, units, ends = [], [], []
-        chars = 0
-        for at, text in enumerate(texts):
-            units += self._units(text or "")
-            ends.append(len(units))
-            chars += len(text or "")
-            if chars >= GROUP_CHARS or at == len(texts) - 1:
-                got = self._looked_up(units)
-                out += [got[a:b] for a, b in zip([0, *ends], ends)]
-                units, ends, chars = [], [], 0
-        return out
+
+    def _segments(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as one run of bytes, where texts, added tokens and what follows them begin, and where texts end."""
+        parts, ends, size = [], [], 0
+        for text in texts:
+            has = text and self.special and any(s in text for s in self.added_bytes)
+            for part in self.special.split(text) if has else [text]:
+                if part:
+                    parts.append(part)
+                    size += len(part)
+            ends.append(size)
+        starts = _offsets(np.fromiter(map(len, parts), np.int64, len(parts)))[:-1]
+        return np.frombuffer(b"".join(parts), dtype=np.uint8), starts, np.array(ends, dtype=np.int64)
+
+    def _pre_tokens(self, words: list[bytes], plain: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of all words, first those of plain words, and how many each word has. A plain word begins with a
+        space before a non-space: the pattern begins a pre-token there whatever stands before, so that one
+        search goes over all plain words together."""
+        import pyarrow as pa
+
+        together = [w for w, p in zip(words, plain.tolist()) if p]
+        tokens = self.pattern.findall(b"".join(together).decode())
+        counts = np.zeros(len(words), dtype=np.int64)
+        if tokens:
+            ends = np.frombuffer(pa.array(tokens, pa.large_string()).buffers()[1], np.int64, len(tokens) + 1)[1:]
+            words_end = np.cumsum(np.fromiter(map(len, together), np.int64, len(together)))
+            counts[plain] = np.diff(np.searchsorted(ends, words_end) + 1, prepend=0)
+        for i in np.flatnonzero(~plain).tolist():
+            found = self.pattern.findall(words[i].decode())
+            counts[i] = len(found)
+            tokens += found
+        return tokens, counts
+
+    def _word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words in some order, where each word's begin, how many it has)."""
+        import pyarrow as pa
+
+        added = np.fromiter((w in self.added_bytes for w in words), bool, len(words))
+        plain = np.fromiter((w[0] == 32 and len(w) > 1 and _WORD_BYTE[w[1]] for w in words), bool, len(words))
+        cut = np.flatnonzero(~added)
+        order = np.concatenate([np.flatnonzero(plain), cut[~plain[cut]], np.flatnonzero(added)])
+        of_pattern = [words[i] for i in order[:len(cut)].tolist()]
+        tokens, n_tokens = self._pre_tokens(of_pattern, plain[order[:len(cut)]])
+        coded = pa.array(tokens, pa.large_string()).dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary
+        if len(distinct):
+            at = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1)
+            data = np.frombuffer(distinct.buffers()[2], np.uint8, at[-1])
+            merged, n_ids = merge_many(data, at[:-1], np.diff(at), self.byte_ids, self.sorted_pairs, self.pairs)
+        else:
+            merged, n_ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        ids = merged[_ranges(_offsets(n_ids)[which], n_ids[which])]
+        upto = _offsets(n_ids[which])[_offsets(n_tokens)]
+        special = [self.added_bytes[words[i]] for i in order[len(cut):].tolist()]
+        ids = np.concatenate([ids, np.array(special, dtype=np.int64)])
+        in_order = np.concatenate([np.diff(upto), np.ones(len(special), dtype=np.int64)])
+        first, counts = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
+        first[order], counts[order] = _offsets(in_order)[:-1], in_order
+        return ids, first, counts
+
+    def encode_many(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes or None), one after the other, and how many each text has.
+
+        Texts are cut into words before every space that a word's byte follows. Every distinct word of the texts is
+        split and merged once; the ids of all words are taken by position."""
+        import pyarrow as pa
+
+        data, starts, ends = self._segments(texts)
+        if not len(data):
+            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        begins = np.zeros(len(data), dtype=bool)
+        begins[:-1] = (data[:-1] == 32) & _WORD_BYTE[data[1:]]
+        begins[starts[1:] - 1] = False  # what follows belongs to another text
+        begins[starts] = True
+        at = np.flatnonzero(begins)
+        buffers = [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
+        which = words.indices.to_numpy()
+        ids, first, counts = self._word_ids(words.dictionary.to_pylist())
+        counts = counts[which]
+        ids = ids[_ranges(first[which], counts)]
+        return ids, np.diff(_offsets(counts)[np.searchsorted(at, ends)], prepend=0)
+
+    def join_many(self, symbols, ids: np.ndarray, counts: np.ndarray, separator) -> list:
+        """Per text its ids' symbols (of a list by id) joined."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pa.LargeListArray.from_arrays(_offsets(counts), pa.array(symbols).take(pa.array(ids)))
+        return pc.binary_join(lists, separator).to_pylist()
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts([text])[0] for i in p[1].split(",")]
+        return self.encode_many([(text or "").encode()])[0].tolist()
 
     def decode(self, ids) -> str:
-        return self.join(ids).decode("utf-8", errors="replace")
+        of = self.symbols
+        return b"".join([of[i] for i in ids]).decode("utf-8", errors="replace")
+
+
+def chunks(texts: list):
+    """Lists of (row, bytes) of about GROUP_BYTES together; a longer text comes in several, cut where a word begins."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        text, at = text or b"", 0
+        while True:
+            end = len(text)
+            if end - at > GROUP_BYTES:
+                found = _CUT.search(text, at + GROUP_BYTES)
+                end = found.start() if found else end
+            group.append((row, text[at:end]))
+            size += end - at
+            at = end
+            if size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
+            if at >= len(text):
+                break
+    if group:
+        yield group
 
 
 _CODECS: dict = {}
@@ -362,9 +379,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         codec = _codec(shared)
         for batch in batches:
             for piece in pieces(batch):
-                ids = [codec.encode(t) for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(ids, pa.list_(pa.int32()))],
-                                                 names=["row", "ids"])
+                ids, counts = codec.encode_many(text_bytes(piece))
+                lists = pa.LargeListArray.from_arrays(_offsets(counts), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([piece.column("row"), lists], names=["row", "ids"])
     return d.mapInArrow(run, f"row {kind}, ids array<int>")
 
 
@@ -393,16 +410,20 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
         codec = _codec(shared)
         for batch in batches:
-            for piece in pieces(batch):
-                n, ids, dec = [], [], []
-                for parts in codec.parts(piece.column("text").to_pylist()):
-                    n.append(sum([p[0] for p in parts]))
-                    ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                    text = b"".join([p[2] for p in parts]).decode("utf-8", errors="replace")
-                    dec.append(hashlib.sha256(text.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                     pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n = [0] * batch.num_rows
+            of_ids = [hashlib.sha256() for _ in n]
+            of_text = [hashlib.sha256() for _ in n]
+            for group in chunks(text_bytes(batch)):
+                ids, counts = codec.encode_many([text for _, text in group])
+                numbers = codec.join_many(codec.decimals, ids, counts, ",")
+                decoded = codec.join_many(codec.symbols, ids, counts, b"")
+                for (row, _), count, number, text in zip(group, counts.tolist(), numbers, decoded):
+                    of_ids[row].update(("," + number if n[row] and count else number).encode())
+                    of_text[row].update(text.decode("utf-8", errors="replace").encode())
+                    n[row] += count
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([h.hexdigest() for h in of_ids]),
+                 pa.array([h.hexdigest() for h in of_text])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return d.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

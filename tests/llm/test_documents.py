@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+
 import pytest
 
 from auditlake.llm import bpe, credentials, mixing, pii, quality, simhash, substring, suffix
@@ -251,7 +253,7 @@ def test_bpe(nasty):
         == Counter(row(d, x) for d, x in ROWS)
 
 
-def test_bpe_unusual_text():
+def test_bpe_unusual_text(monkeypatch):
     import random
 
     from tokenizers import Tokenizer
@@ -260,12 +262,29 @@ def test_bpe_unusual_text():
         codec = bpe.Codec(f.read())
     r = random.Random(1)
     chars = "ab Z09'st  \t\n\r\x0b\x0c\x1c\x1f\x85\xa0   　​﻿é́ß漢字٣½Ⅷ😀<|endoftext|>.,!-"
+    texts = []
     for _ in range(3000):
         s = "".join(r.choice(chars) for _ in range(r.randint(0, 24)))
-        s = s if r.random() < .9 else s + "<|endoftext|>" + s
-        want = t.encode(s, add_special_tokens=False).ids
+        texts.append(s if r.random() < .9 else s + "<|endoftext|>" + s)
+    wants = [t.encode(s, add_special_tokens=False).ids for s in texts]
+    for s, want in zip(texts, wants):
         assert codec.encode(s) == want, repr(s)
         assert codec.decode(want) == t.decode(want, skip_special_tokens=False)
+    # all together, and one long text in chunks
+    ids, counts = codec.encode_many([s.encode() for s in texts] + [None, b""])
+    ends = np.cumsum(counts)
+    assert [ids[b - n:b].tolist() for n, b in zip(counts, ends)] == wants + [[], []]
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 50)
+    long = "".join(texts)
+    groups = list(bpe.chunks([long.encode(), b"", None, long.encode()]))
+    assert len(groups) > 20
+    got = {row: [] for row in range(4)}
+    for group in groups:
+        ids, counts = codec.encode_many([x for _, x in group])
+        for (row, _), n, end in zip(group, counts, np.cumsum(counts)):
+            got[row] += ids[end - n:end].tolist()
+    want = t.encode(long, add_special_tokens=False).ids
+    assert got == {0: want, 1: [], 2: [], 3: want}
 
 
 def test_secrets(nasty):
