@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import SEPARATORS, SPACE_RE, unpack, with_row_struct
 
 SYMBOLS = "#*$%&|<>"
+# A to Z and the capitals of Latin-1
+CAPITALS = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -96,7 +98,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .otherwise(_repeat_words(F.col("windows"), WINDOW)).alias("n_repeat_words"),
         F.regexp_count("text", F.lit(r"(?<![\p{L}\p{N}])(?i:" + "|".join(sorted(set(STOP_WORDS)))
                                      + r")(?![\p{L}\p{N}])")).cast("long").alias("n_stop"),
-        F.length(F.regexp_replace("text", r"[^A-ZÀ-ÖØ-Þ]+", "")).cast("long").alias("n_upper"))
+        (F.length("text") - F.length(F.translate("text", CAPITALS, ""))).cast("long").alias("n_upper"))
     d = d.select("row", "n_words", "word_chars", "n_symbols",
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  F.size("lines").cast("long").alias("n_lines"), "n_repeat_words", "n_stop", "n_upper")
