@@ -83,7 +83,7 @@ def window_rows(docs: DataFrame, part: DataFrame, size: int, k: int) -> DataFram
     """Windows owned by the listed anchors: (gram, off, win, doc_id, crc, pos)."""
     import pyarrow as pa
 
-    listed = part.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_list("pos")).alias("anchors"))
+    listed = part.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_set("pos")).alias("anchors"))
     joined = _same_doc(docs.dropDuplicates(["doc_id", "crc"]), listed, "inner").select("doc_id", "crc", "text", "anchors")
 
     def run(batches):
@@ -117,9 +117,10 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
 
 
 def per_document(docs: DataFrame, whole: DataFrame, wins: DataFrame) -> DataFrame:
-    """docs with the sorted arrays ``whole`` (anchor positions) and ``wins`` (window starts)."""
+    """docs with the sorted arrays ``whole`` (anchor positions) and ``wins`` (window starts), each place once
+    however often its row was delivered."""
     def listed(d: DataFrame, name: str, pos: Column) -> DataFrame:
-        return d.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_list(pos)).alias(name))
+        return d.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_set(pos)).alias(name))
     marks = listed(whole, "whole", F.col("pos")).withColumn("wins", F.lit(None).cast("array<int>")).unionByName(
         listed(wins, "wins", F.col("pos")).withColumn("whole", F.lit(None).cast("array<int>")))
     marks = marks.groupBy("doc_id", "crc").agg(F.max("whole").alias("whole"), F.max("wins").alias("wins"))

@@ -141,7 +141,7 @@ def repeats(docs: DataFrame, size: int = SIZE, k: int = GRAM) -> DataFrame:
         *PLACE, F.col("first.doc_id").alias("f_doc_id"), F.col("first.crc").alias("f_crc"),
         F.col("first.pos").alias("f_pos")).where("not (doc_id <=> f_doc_id and crc = f_crc)")
     found = whole.withColumn("win", F.lit(False)).unionByName(wins.withColumn("win", F.lit(True)))
-    listed = found.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_list(F.struct(
+    listed = found.groupBy("doc_id", "crc").agg(F.array_sort(F.collect_set(F.struct(  # once per place, however often delivered
         "pos", "win", F.col("f_pos").alias("src_pos"), F.col("f_doc_id").alias("src_doc")))).alias("marks"))
     joined = _same_doc(d, listed, "inner").select("doc_id", "crc", "text", "marks")
 
