@@ -10,14 +10,16 @@ Defined results: of calls (or results) that repeat an identifier the one of smal
 smallest content, counts; rows without an identifier link to nothing and are reported as
 ``no_id``; a result without a call is an ``orphan``, a call without a result ``unanswered``; a chain
 that names a missing call starts there; calls on or behind a cycle are ``cyclic`` with null
-depth; null or broken argument text is an error of the record, not of the job; other columns
-are never read; empty tables give an empty result.
+depth; null or broken argument text, or a number beyond double range in it, is an error of the record, not of
+the job; half a surrogate pair is written as its escape; other columns are never read; empty tables give an empty result.
+Of conversations, turns that are neither call nor result have the status ``message``.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,27 @@ SCHEMAS = {
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _writable(text: str) -> str:
+    """Half a surrogate pair is no character: it stays the escape it was."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _writable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+class _TooLarge(ValueError):
+    pass
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise _TooLarge(text)
+    return value
 
 
 def check_arguments(name: str | None, text: str | None, schemas: dict) -> tuple[object, list[str]]:
@@ -48,7 +69,9 @@ def check_arguments(name: str | None, text: str | None, schemas: dict) -> tuple[
     def no_constant(s):
         raise ValueError(s)
     try:
-        value = json.loads(text if text is not None else "", parse_constant=no_constant)
+        value = json.loads(text if text is not None else "", parse_constant=no_constant, parse_float=_number)
+    except _TooLarge:
+        return None, ["arguments: number too large"]
     except (ValueError, RecursionError):
         return None, ["arguments: not JSON"]
     if name not in schemas:
@@ -62,15 +85,14 @@ def check_arguments(name: str | None, text: str | None, schemas: dict) -> tuple[
                 errors.append(f"{field}: missing")
             continue
         v = value[field]
-        if not isinstance(v, _TYPES[rule["type"]]) or rule["type"] != "boolean" and isinstance(v, bool) \
-                or isinstance(v, float) and not math.isfinite(v):
+        if not isinstance(v, _TYPES[rule["type"]]) or rule["type"] != "boolean" and isinstance(v, bool):
             errors.append(f"{field}: not {rule['type']}")
             continue
         if "min" in rule and v < rule["min"] or "min_length" in rule and len(v) < rule["min_length"]:
             errors.append(f"{field}: too small")
         if "max" in rule and v > rule["max"]:
             errors.append(f"{field}: too large")
-    errors += [f"{field}: unknown" for field in sorted(set(value) - set(schemas[name]))]
+    errors += [_writable(f"{field}: unknown") for field in sorted(set(value) - set(schemas[name]))]
     return value, errors
 
 
@@ -145,7 +167,7 @@ def from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read from plain conversations: an assistant turn is a call (tool by turn
     number, its whole text in the arguments) after the assistant turn two before it; a user turn
     after the first answers the turn before it. System turns, a user turn 0 and turns of any other
-    or no role are neither call nor result and have no row."""
+    or no role are neither call nor result (``messages``)."""
     d = conv.select("conv_id", "turn", "role", "text")
     text = F.coalesce("text", F.lit(""))
 
@@ -166,5 +188,27 @@ def from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def messages(conv: DataFrame) -> DataFrame:
+    """The turns that are neither call nor result, in the columns of ``link``: status ``message``, the turn as record."""
+    import pyarrow as pa
+
+    is_call = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    is_result = F.coalesce((F.col("role") == "user") & (F.col("turn").isNull() | (F.col("turn") > 0)), F.lit(False))
+    rest = conv.where(~is_call & ~is_result).select("conv_id", "turn", "role", "text")
+    kinds = {n: rest.schema[n].dataType.simpleString() for n in ("conv_id", "turn")}
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*[batch.column(n).to_pylist() for n in ("turn", "role", "text")])
+            records = [canonical({"turn": t, "role": r, "text": x}) for t, r, x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(records, pa.string())],
+                                             names=["conv_id", "turn", "record"])
+
+    found = rest.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, record string")
+    return found.select("conv_id", F.lit(None).cast("string").alias("call_id"), "turn", F.lit(None).cast("long").alias("depth"),
+                        F.lit("message").alias("status"), F.lit(None).cast("boolean").alias("valid"),
+                        F.array().cast("array<string>").alias("errors"), "record")
+
+
 def op6(conv: DataFrame) -> DataFrame:
-    return link(*from_conversations(conv))
+    return link(*from_conversations(conv)).unionByName(messages(conv))
