@@ -106,9 +106,12 @@ def score(token: str, ratios: np.ndarray) -> float:
 
 
 def added_spans(text: str, base: list, ratios: np.ndarray) -> list[tuple[int, int, int, int]]:
-    out = []
+    out, nth, reach = [], 0, 0   # base spans that begin before the token's end, and how far they reach
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        while nth < len(base) and base[nth][0] < m.end():
+            reach = max(reach, base[nth][2])
+            nth += 1
+        if reach > m.start():
             continue
         token = m.group()
         if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and score(token, ratios) >= MIN_MEAN:
