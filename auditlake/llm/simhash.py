@@ -229,7 +229,8 @@ def op2(docs: DataFrame) -> DataFrame:
 
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
     """The row with the smallest id of each component, input columns unchanged. Of rows that
-    repeat an id inside one component the first by all texts stays; rows without an id stay
+    repeat an id inside one component the first by text hash stays, of those alike in id and text the first by a
+    hash of all columns, then by all columns; rows without an id stay
     only where no row of the component has one (one per component)."""
     named = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), "text"), shingle, radius)
     chosen = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
@@ -239,5 +240,5 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     kept = d.join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
     # ids are unique in a sound table; only repeated ids need a choice inside their group
     first = kept.where("n_rows > 1").select("row", F.row_number().over(
-        Window.partitionBy("_id", "_tie").orderBy("root")).alias("rn")).where("rn = 1")
+        Window.partitionBy("_id", "_tie").orderBy("root", F.xxhash64("row"), F.to_json("row"))).alias("rn")).where("rn = 1")
     return unpack(kept.where("n_rows = 1").select("row").unionByName(first.select("row")), docs.columns)
