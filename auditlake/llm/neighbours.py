@@ -196,9 +196,14 @@ def search(queries: DataFrame, index: DataFrame, router: Router, k: int = TOP, p
             for j, qj in enumerate(q):  # one summation order, whatever the block
                 d += (x[:, j] - qj) ** 2
             d = np.sqrt(d)
-            d[ids == qid] = np.inf
-            kth = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-            near = np.flatnonzero((d <= kth) & np.isfinite(d))
+            for i in np.flatnonzero(np.isinf(d)).tolist():  # the squares are too large, the distance need not be
+                apart = np.abs(x[i] / 2 - np.asarray(q) / 2)
+                d[i] = 2 * apart.max() * np.sqrt(((apart / apart.max()) ** 2).sum())
+            others = np.flatnonzero(ids != qid)
+            if not len(others):
+                continue
+            kth = np.partition(d[others], min(k, len(others)) - 1)[min(k, len(others)) - 1]
+            near = others[d[others] <= kth]
             near = near[np.lexsort((ids[near], d[near]))][:k]
             out_q += [qid] * len(near)
             out_v += ids[near].tolist()
