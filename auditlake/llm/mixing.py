@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.joins import bounded_broadcast
 from auditlake.llm.common import WORD_RE, unpack, with_row_struct, written
 
 MAX_EPOCHS = 2.0
@@ -107,7 +108,7 @@ def last_epoch_cut(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """(skey, cut): the first order key of the last epoch that no longer fits the rest. Sources
     whose rest holds everything have no row."""
     part = plan.where("rest > 0").select("skey", "full_epochs", "rest")
-    cur = rows.join(part, "skey").select("skey", "n_tokens", "rest", order_key(F.col("full_epochs"), seed).alias("key"))
+    cur = rows.join(bounded_broadcast(part), "skey").select("skey", "n_tokens", "rest", order_key(F.col("full_epochs"), seed).alias("key"))
     for level in range(2):
         digit = F.substring("key", 1 + level * DIGITS, DIGITS)
         sums = cur.groupBy("skey", "rest", digit.alias("digit")).agg(F.sum("n_tokens").alias("n"))
@@ -116,7 +117,7 @@ def last_epoch_cut(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
             .groupBy("skey").agg(F.min(F.struct("digit", "upto", "n", "rest")).alias("c")) \
             .select("skey", F.col("c.digit").alias("digit"),
                     (F.col("c.rest") - (F.col("c.upto") - F.col("c.n"))).alias("left"))
-        cur = cur.join(cross, "skey").where(digit == F.col("digit")) \
+        cur = cur.join(bounded_broadcast(cross, materialize=True), "skey").where(digit == F.col("digit")) \
             .select("skey", "n_tokens", F.col("left").alias("rest"), "key")
     keys = cur.groupBy("skey", "rest", "key").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("skey").orderBy("key"))
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float |
     plan = written(budgets(sources, alpha, total_budget), "plan")
     cuts = last_epoch_cut(rows, plan, seed)
     full = plan.join(cuts, "skey", "left").select("skey", "full_epochs", "rest", "cut")
-    taken = rows.join(full, "skey").select(
+    taken = rows.join(bounded_broadcast(full, materialize=True), "skey").select(
         "doc_id", "source", "n_tokens", "full_epochs", "cut",
         F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("full_epochs"))
                              .otherwise(F.col("full_epochs") - 1))).alias("epoch")).where("epoch >= 0")
