@@ -116,3 +116,36 @@ def quality(text):
     covered = {j for s in at.values() if len(s) > 1 for i in s for j in range(i, i + 8)}
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered),
             len(w) < 20 or 100 * len(covered) > 30 * len(w))
+
+
+def tool_calls(turns):
+    """Rows of op6 by definition: (conv_id, call_id or '', turn, depth, status, valid, record)."""
+    import json
+
+    def dump(x):
+        return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    calls, results, out = {}, {}, []
+    for c, n, role, text in turns:
+        if role == "assistant":
+            k = (n + c) % 3
+            body = text or ""
+            args = [{"query": body, "limit": len(body) % 60}, {"url": f"doc:{c}", "depth": n, "text": body},
+                    {"text": body, "unique": len(body) % 2 == 0}][k]
+            bad = [body == "" or not 1 <= len(body) % 60 <= 50, not 0 <= n <= 5, body == ""][k]
+            calls[c, f"call-{c}-{n}"] = (n, ["search", "fetch", "count_words"][k], args, f"call-{c}-{n - 2}" if n >= 2 else None, not bad)
+        elif role == "user" and n > 0:
+            results[c, f"call-{c}-{n - 1}"] = (n, text)
+        else:
+            out.append((c, "", n, None, "message", None, dump({"role": role, "text": text, "turn": n})))
+    for (c, i), (n, name, args, after, valid) in calls.items():
+        depth, at = 0, after
+        while (c, at) in calls:
+            depth, at = depth + 1, calls[c, at][3]
+        answer = results.get((c, i))
+        out.append((c, i, n, depth, "linked" if answer else "unanswered", valid,
+                    dump({"id": i, "after": after, "name": name, "arguments": args, "result": answer and answer[1]})))
+    for (c, i), (n, text) in results.items():
+        if (c, i) not in calls:
+            out.append((c, i, n, None, "orphan", None, dump({"id": i, "after": None, "name": None, "arguments": None, "result": text})))
+    return out
