@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
@@ -20,12 +20,21 @@ def module_count(df: DataFrame, module: str, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(column)).select(F.lit(module).alias("Module"), column)
 
 
+def module_counts(feed: DataFrame, module: str, **counts) -> DataFrame:
+    """One row with several counts of a feed, all of one scan: ``<column>=<aggregate>``."""
+    return feed.agg(*[c.alias(n) for n, c in counts.items()]).select(F.lit(module).alias("Module"), *counts)
+
+
+def stored_keys(keep: Column, *key: Column) -> Column:
+    """How many rows of a feed its table holds: the distinct keys of those that can be stored."""
+    return F.count_distinct(F.when(keep, F.struct(*key)))
+
+
 def sync_status(cloud: list[DataFrame], local: list[DataFrame], as_of) -> DataFrame:
     """Feed count vs stored count per module, with completeness %.
 
-    Inputs are one-row-per-module count frames; they are unioned and folded
-    per module (a handful of rows), so the large tables are each scanned
-    once by their own count. ``Pct`` rounds half to even; ``cloud = 0`` with
+    Inputs are one-row-per-module count frames (``module_counts`` gives several counts of a feed by one
+    scan); they are unioned and folded per module. ``Pct`` rounds half to even; ``cloud = 0`` with
     ``local > 0`` reads 100.
     """
     rows = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
-from auditlake.functions.joins import bounded_broadcast
+from auditlake.functions.joins import bounded_broadcast, materialized
 from auditlake.operators.identity import by_guid, by_login, resolve_names
 from auditlake.operators.views import top_n
 
@@ -32,8 +32,12 @@ def page_reads(daily: DataFrame, pages: DataFrame) -> DataFrame:
     source table. Exact match on the trimmed page id (``-1`` must not match
     ``1``); unmapped pages drop out. The page map is broadcast after a size
     check."""
-    per_page = daily.groupBy("UserName", "PageId", "CompanyName").agg(
-        F.sum("Hits").cast("long").alias("Hits"), F.max("DateKey").alias("LastDay"))
+    return mapped_pages(daily.groupBy("UserName", "PageId", "CompanyName").agg(
+        F.sum("Hits").cast("long").alias("Hits"), F.max("DateKey").alias("LastDay")), pages)
+
+
+def mapped_pages(per_page: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per-page rows with their source table."""
     pm = bounded_broadcast(pages.select(F.col("PageId").alias("_pid"), "TableNo",
                                         F.col("TableName").alias("MapName")))
     return (per_page.filter(F.trim("PageId") != "")
@@ -43,7 +47,10 @@ def page_reads(daily: DataFrame, pages: DataFrame) -> DataFrame:
 def table_reads(daily: DataFrame, pages: DataFrame, users: DataFrame) -> DataFrame:
     """Reads per person x table x company: hits, contributing
     (user, page) rows, last day."""
-    named = resolve_names(page_reads(daily, pages), "UserName", by_guid(users), "GuidKey")
+    return person_reads(resolve_names(page_reads(daily, pages), "UserName", by_guid(users), "GuidKey"))
+
+
+def person_reads(named: DataFrame) -> DataFrame:
     return named.groupBy(F.col("Person").alias("UserName"), "TableNo", "CompanyName").agg(
         F.max("MapName").alias("TableName"),
         F.sum("Hits").cast("long").alias("Reads"),
@@ -62,13 +69,17 @@ def table_access(change_log: DataFrame, daily: DataFrame, pages: DataFrame,
     write (with time) and the last read (date), compared as text like the
     reference (a same-day write sorts after the read's bare date).
     """
-    w = resolve_names(table_writes(change_log), "UserId", by_login(users), "LoginKey")
+    return merge_access(resolve_names(table_writes(change_log), "UserId", by_login(users), "LoginKey"),
+                        table_reads(daily, pages, users))
+
+
+def merge_access(w: DataFrame, r: DataFrame) -> DataFrame:
+    """Writes (``table_writes`` with ``Person``) and reads (``table_reads``) as one row per person x table x company."""
     writes = w.select(F.col("Person").alias("UserName"), "TableNo", "CompanyName",
                       F.col("TableName").alias("WName"), F.lit(None).cast("string").alias("RName"),
                       "Changes", "Ins", "Mod", "Del",
                       F.lit(0).cast("long").alias("Reads"), F.lit(0).cast("long").alias("Pages"),
                       F.col("LastAt").alias("LastW"), F.lit(None).cast("string").alias("LastR"))
-    r = table_reads(daily, pages, users)
     reads = r.select("UserName", "TableNo", "CompanyName",
                      F.lit(None).cast("string").alias("WName"), F.col("TableName").alias("RName"),
                      *[F.lit(0).cast("long").alias(c) for c in ("Changes", "Ins", "Mod", "Del")],
@@ -97,21 +108,46 @@ def top_table_access(access: DataFrame, n: int) -> DataFrame:
 EXCLUDED_PAGE = "-1"
 
 
-def role_proposal(access: DataFrame, daily: DataFrame, people: DataFrame, users: DataFrame,
+def people_keys(people: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chosen people as (Key, Person) of their logins and of their GUIDs.
+
+    This turns J4 round: a key belongs to a chosen person if the directory names it so, or if the
+    person is the key itself, one that the directory has no name for. Facts joined with these keys are
+    filtered and named at once, before anything is aggregated.
+    """
+    directory = materialized(users.select("UserSecurityId", "UserName", "TelemetryUserId", "FullName"))
+    chosen = bounded_broadcast(people.select("Person").distinct(), materialize=True)
+
+    def keys(lookup: DataFrame, key: str) -> DataFrame:
+        named = lookup.filter(F.col("FullName") != "")
+        by_name = named.join(chosen, named["FullName"] == chosen["Person"]).select(F.col(key).alias("Key"), "Person")
+        own = chosen.join(named, chosen["Person"] == named[key], "left_anti").select(F.col("Person").alias("Key"), "Person")
+        return bounded_broadcast(by_name.unionByName(own), materialize=True)
+
+    return keys(by_login(directory), "LoginKey"), keys(by_guid(directory), "GuidKey")
+
+
+def role_proposal(change_log: DataFrame, daily: DataFrame, pages: DataFrame, people: DataFrame, users: DataFrame,
                   company: str | None = None, min_ops: int = 0) -> DataFrame:
-    """M2 + P14: least-privilege permission set for the chosen people.
+    """M2 + P14: least-privilege permission set for the chosen people (one ``Person`` column).
 
     Tables: ``R`` when read or written, plus ``I``/``M``/``D`` when the audit
     saw insertions / modifications / deletions. Pages: ``X`` (execute) for
     every page the people opened, except page ``-1``. ``company`` limits the
     source to one company; objects touched fewer than ``min_ops`` times drop.
-    ``people`` (one ``Person`` column) is a semi-join filter.
+    The people's keys (a directory's rows, size-checked broadcasts) filter both fact tables right after the
+    scan; the opened pages are aggregated once, for the tables behind them and for themselves.
     """
-    chosen = bounded_broadcast(people.select(F.col("Person").alias("UserName")).distinct())
-    acc = access.join(chosen, "UserName", "left_semi")
+    logins, guids = people_keys(people, users)
     if company is not None:
-        acc = acc.filter(F.col("CompanyName") == company)
-    tables = acc.groupBy("TableNo").agg(
+        change_log, daily = (d.filter(F.col("CompanyName") == company) for d in (change_log, daily))
+    writes = table_writes(change_log.join(logins.select("Key"), F.col("UserId") == F.col("Key"), "left_semi")) \
+        .join(logins, F.col("UserId") == F.col("Key")).drop("Key")
+    opened = materialized(daily.join(guids.select("Key"), F.col("UserName") == F.col("Key"), "left_semi")
+                          .groupBy("UserName", "PageId", "CompanyName").agg(
+        F.sum("Hits").cast("long").alias("Hits"), F.max("DateKey").alias("LastDay"), F.max("PageName").alias("PageName")))
+    named = mapped_pages(opened.drop("PageName"), pages).join(guids, F.col("UserName") == F.col("Key")).drop("Key")
+    tables = merge_access(writes, person_reads(named)).groupBy("TableNo").agg(
         F.max("TableName").alias("ObjectName"),
         *[F.sum(c).cast("long").alias(c) for c in ("Changes", "Ins", "Mod", "Del", "Reads")])
     tables = tables.filter(F.col("Changes") + F.col("Reads") >= min_ops)
@@ -123,35 +159,39 @@ def role_proposal(access: DataFrame, daily: DataFrame, people: DataFrame, users:
                                F.col("TableNo").cast("string").alias("ObjectId"), "ObjectName",
                                rights.alias("Rights"),
                                (F.col("Changes") + F.col("Reads")).alias("Operations"))
-    views = resolve_names(daily, "UserName", by_guid(users), "GuidKey") \
-        .join(chosen.withColumnRenamed("UserName", "Person"), "Person", "left_semi")
-    if company is not None:
-        views = views.filter(F.col("CompanyName") == company)
-    pages = (views.filter(F.col("PageId") != EXCLUDED_PAGE)
-             .groupBy("PageId").agg(F.max("PageName").alias("ObjectName"),
-                                    F.sum("Hits").cast("long").alias("Operations"))
-             .filter(F.col("Operations") >= min_ops))
-    page_rows = pages.select(F.lit("Page").alias("ObjectType"), F.col("PageId").alias("ObjectId"),
-                             "ObjectName", F.lit("X").alias("Rights"), "Operations")
+    page_rows = (opened.filter(F.col("PageId") != EXCLUDED_PAGE)
+                 .groupBy("PageId").agg(F.max("PageName").alias("ObjectName"), F.sum("Hits").cast("long").alias("Operations"))
+                 .filter(F.col("Operations") >= min_ops)
+                 .select(F.lit("Page").alias("ObjectType"), F.col("PageId").alias("ObjectId"),
+                         "ObjectName", F.lit("X").alias("Rights"), "Operations"))
     return table_rows.unionByName(page_rows)
 
 
+# Object numbers whose lines are put together in one group of ``role_text``.
+TEXT_RANGE = 1000
+
+
 def role_text(role: DataFrame, role_name: str) -> DataFrame:
     """M3: the permission set rendered as text, one row per role.
 
     Lines are ``<ObjectType> <ObjectId> = <Rights>`` sorted by type and id
-    (numeric ids sort numerically). A role's lines are bounded by the number
-    of objects in the ERP (tables + pages), so collecting them into one row
-    is bounded.
+    (numeric ids sort numerically, others before them by text). The lines of a range of objects are sorted and joined
+    in a group of their own; the last step only strings the ranges' texts together in order.
     """
-    key = F.struct(F.col("ObjectType"), F.col("ObjectId").try_cast("long"), F.col("ObjectId"))
+    number = F.col("ObjectId").try_cast("long")
+    span = F.struct(F.col("ObjectType").alias("t"), F.floor(number / F.lit(TEXT_RANGE)).alias("n"),
+                    F.when(number.isNull(), F.left("ObjectId", F.lit(2))).alias("p"))
+    key = F.struct(number.alias("n"), F.col("ObjectId").alias("i"))
     line = F.concat_ws(" ", F.col("ObjectType"), F.col("ObjectId"), F.lit("="), F.col("Rights"))
-    lines = role.select(F.struct(key.alias("k"), line.alias("line")).alias("e"))
-    return lines.agg(
-        F.lit(role_name).alias("RoleName"),
-        F.count(F.lit(1)).alias("Objects"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["line"]), "\n")
-        .alias("PermissionSet"))
+
+    def joined(of: str):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["text"]), "\n")
+
+    ranges = role.select(span.alias("span"), F.struct(key.alias("key"), line.alias("text")).alias("line")) \
+        .groupBy("span").agg(joined("line").alias("text"), F.count(F.lit(1)).alias("n")) \
+        .select(F.struct("span", "text").alias("part"), "n")
+    return ranges.agg(F.lit(role_name).alias("RoleName"), F.coalesce(F.sum("n"), F.lit(0)).alias("Objects"),
+                      joined("part").alias("PermissionSet"))
 
 
 def table_names(change_log: DataFrame, pages: DataFrame) -> DataFrame:
@@ -161,6 +201,12 @@ def table_names(change_log: DataFrame, pages: DataFrame) -> DataFrame:
             .groupBy("TableNo").agg(F.max("TableName").alias("TableName")))
 
 
+def merge_table_names(known: DataFrame, new: DataFrame) -> DataFrame:
+    """J9, kept up to date: the names stored so far and those of newly stored rows, one per table."""
+    return known.select("TableNo", "TableName").unionByName(new.select("TableNo", "TableName")) \
+        .groupBy("TableNo").agg(F.max("TableName").alias("TableName"))
+
+
 def classify_errors(auth_daily: DataFrame, names: DataFrame) -> DataFrame:
     """M4 + J9: error class and the table quoted in the message, named from
     known tables; a quoted but unknown table reads ``(?)``."""

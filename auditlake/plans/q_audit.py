@@ -14,7 +14,7 @@ from auditlake.operators import mining as M
 from auditlake.operators import rollup as R
 from auditlake.operators import views as V
 from auditlake.plans import tables as TB
-from auditlake.plans.oracle_ctes import extra
+from auditlake.plans.oracle_ctes import extra, failures_by_day
 from auditlake.plans.registry import query, sql
 from auditlake.sources import fixtures as X
 from auditlake.sources import landing as L
@@ -74,11 +74,7 @@ def auth_error_daily(spark, sf_dir):
 
 
 def _auth_daily_of(cond: str) -> str:
-    return f"""
-SELECT CAST("Timestamp" AS DATE) AS DateKey, UserId AS UserName, COALESCE(ObjectId, '?') AS ObjectId,
-       MAX(ObjectName) AS ObjectName, COUNT(*) AS Failures
-FROM auth_fail_raw WHERE {cond}
-GROUP BY CAST("Timestamp" AS DATE), UserId, COALESCE(ObjectId, '?')"""
+    return failures_by_day(f"(SELECT * FROM auth_fail_raw WHERE {cond})")
 
 
 extra("auth_daily_existing", ("auth_fail_raw",), _auth_daily_of("\"Timestamp\" < TIMESTAMP '2024-01-15 12:00:00'"))
@@ -173,7 +169,7 @@ def change_log_latest(spark, sf_dir):
 @query("changes_by_company", "A9 T8", sql(
     "SELECT CompanyName, COUNT(*) AS \"Rows\" FROM change_log GROUP BY CompanyName", "change_log"))
 def changes_by_company(spark, sf_dir):
-    return V.changes_by_company(TB.change_log(spark, sf_dir))
+    return V.changes_by_company(TB.change_log(spark, sf_dir)).orderBy(F.desc("Rows"), "CompanyName")
 
 
 @query("changes_by_type", "A16", sql(
@@ -208,9 +204,12 @@ def change_log_selected(spark, sf_dir):
 
 def _stored_subset(spark, sf_dir):
     """Stored part of the change log: two years, one company never synchronised."""
-    return TB.change_log(spark, sf_dir).filter(
-        (F.col("ChangedAt") >= F.lit(STORED_FROM)) & (F.col("ChangedAt") < F.lit(STORED_TO))
-        & (F.col("CompanyName") != UNSEEDED_COMPANY))
+    return TB.change_log(spark, sf_dir).filter(stored_part())
+
+
+def stored_part():
+    return ((F.col("ChangedAt") >= F.lit(STORED_FROM)) & (F.col("ChangedAt") < F.lit(STORED_TO))
+            & (F.col("CompanyName") != UNSEEDED_COMPANY))
 
 
 @query("change_log_edges", "A14", sql("""

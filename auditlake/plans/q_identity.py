@@ -13,9 +13,10 @@ from auditlake.operators import views as V
 from auditlake.plans import tables as TB
 from auditlake.plans.oracle_ctes import extra
 from auditlake.plans.registry import query, sql
-from auditlake.session import read_table
+from auditlake.session import read_table, scratch_path
 from auditlake.sources import fixtures as X
 from auditlake.sources import landing as L
+from auditlake.streaming.users import UserStore
 
 # Fixed scenario parameters.
 DIRECTORY_REFRESH_AT = dt.datetime(2024, 2, 1)
@@ -69,6 +70,52 @@ def user_map(spark, sf_dir):
     return ID.user_map(TB.users(spark, sf_dir))
 
 
+# Two deliveries of the directory: in the second every tenth user is missing and every fourth has the other state;
+# every ninth comes with it for the first time.
+extra("first_directory", ("users",), """
+SELECT * EXCLUDE (UpdatedAt) FROM users WHERE CAST(UserSecurityId AS INTEGER) % 9 <> 0""")
+extra("second_directory", ("users",), """
+SELECT * EXCLUDE (UpdatedAt) REPLACE (CASE WHEN CAST(UserSecurityId AS INTEGER) % 4 = 0 THEN
+           CASE State WHEN 'Enabled' THEN 'Disabled' ELSE 'Enabled' END ELSE State END AS State)
+FROM users WHERE CAST(UserSecurityId AS INTEGER) % 10 <> 0""")
+extra("user_states", ("first_directory", "second_directory"), """
+SELECT a.*, TIMESTAMP '2024-01-31 00:00:00' AS ValidFrom,
+       CASE WHEN b.State <> a.State THEN TIMESTAMP '2024-02-01 00:00:00' END AS ValidTo,
+       CASE WHEN b.State = a.State THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS UpdatedAt,
+       CASE WHEN b.UserSecurityId IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS DepartedAt
+FROM first_directory a LEFT JOIN second_directory b USING (UserSecurityId)
+UNION ALL
+SELECT b.*, TIMESTAMP '2024-02-01 00:00:00', NULL, TIMESTAMP '2024-02-01 00:00:00', NULL
+FROM second_directory b LEFT JOIN first_directory a USING (UserSecurityId)
+WHERE a.UserSecurityId IS NULL OR a.State <> b.State""")
+
+
+def _two_deliveries(spark, sf_dir):
+    directory = X.user_directory(spark, sf_dir)
+    key = F.col("User_Security_ID").cast("int")
+    other = F.when(F.col("State") == "Enabled", "Disabled").otherwise("Enabled")
+    second = directory.withColumn("State", F.when(key % 4 == 0, other).otherwise(F.col("State"))).filter(key % 10 != 0)
+    store = UserStore(spark, scratch_path(spark, "users"))
+    store.load(L.read_user_directory(directory.filter(key % 9 != 0)), TB.USERS_AS_OF)
+    store.load(L.read_user_directory(second), DIRECTORY_REFRESH_AT)
+    return store
+
+
+@query("user_history", "D5", sql("SELECT * FROM user_states", "user_states"))
+def user_history(spark, sf_dir):
+    """The stored users after two deliveries: changed states closed, departed users kept with the day they left."""
+    return _two_deliveries(spark, sf_dir).history()
+
+
+@query("user_map_written", "S12 P9 D5", sql("""
+SELECT id AS UserId, CASE WHEN length(full_name) > 0 THEN full_name WHEN length(login) > 0 THEN login ELSE id END AS Name
+FROM (SELECT TelemetryUserId AS id, trim(FullName) AS full_name, trim(UserName) AS login FROM user_states WHERE ValidTo IS NULL) u
+WHERE length(trim(id)) > 0 AND id <> '00000000-0000-0000-0000-000000000000'""", "user_states"))
+def user_map_written(spark, sf_dir):
+    """The user map as written after the second delivery, departed users included."""
+    return _two_deliveries(spark, sf_dir).user_map()
+
+
 extra("manual_map", ("page_log",), """
 SELECT DISTINCT UserId, left(trim('Manual ' || UserId), 120) AS Name FROM page_log""")
 
@@ -202,8 +249,8 @@ def _people(spark, sf_dir):
 
 
 def _role(spark, sf_dir):
-    return M.role_proposal(_access(spark, sf_dir), TB.page_daily(spark, sf_dir), _people(spark, sf_dir),
-                           TB.users(spark, sf_dir), company=ROLE_COMPANY, min_ops=ROLE_MIN_OPS)
+    return M.role_proposal(TB.change_log(spark, sf_dir), TB.page_daily(spark, sf_dir), TB.page_map(spark, sf_dir),
+                           _people(spark, sf_dir), TB.users(spark, sf_dir), company=ROLE_COMPANY, min_ops=ROLE_MIN_OPS)
 
 
 @query("role_proposal", "M2 P14 M5", sql("SELECT * FROM role_objects", "role_objects"))

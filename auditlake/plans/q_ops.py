@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.functions.joins import materialized
 from auditlake.operators import dedup as D
 from auditlake.operators import filters as FL
 from auditlake.operators import health as H
@@ -15,14 +16,16 @@ from auditlake.operators import identity as ID
 from auditlake.operators import retention as RT
 from auditlake.operators import views as V
 from auditlake.plans import tables as TB
-from auditlake.plans.q_audit import _stored_subset
+from auditlake.plans.q_audit import _stored_subset, stored_part
 from auditlake.plans.oracle_ctes import extra
 from auditlake.plans.registry import query, sql
-from auditlake.session import scratch_path
+from auditlake.session import read_table, scratch_path
 from auditlake.sources import fixtures as X
 from auditlake.sources import landing as L
 from auditlake.sources import sinks as S
+from auditlake.plans.snapshot import Settings, snapshot_sections
 from auditlake.streaming import ingest as ST
+from auditlake.streaming.daily_run import DailyRun
 
 # Fixed scenario parameters.
 PAGES_AS_OF = dt.datetime(2024, 2, 15)
@@ -36,6 +39,10 @@ HEALTH_AS_OF = dt.datetime(2024, 1, 31, 12, 0, 0)
 FILTER_SPEC = FL.FilterSpec(contains={"TableName": "ABLE 1"}, equals={"ChangeType": "Deletion"},
                             date_range={"ChangedAt": ("1996.01.01", "1996.12.31")})
 PAGE_NO, PAGE_SIZE = 3, 100
+SECRET_WARN_DAYS = 30
+LATE_SPLIT = dt.datetime(2024, 1, 20)
+LOOKBACK = dt.timedelta(days=5)
+LATE_EVERY = 10
 STREAM_CUTS = [dt.datetime(2024, 1, 8, 12), dt.datetime(2024, 1, 16, 12), dt.datetime(2024, 1, 23, 12)]
 CHANGE_FIRST_LANDING_END = dt.datetime(1998, 1, 1)
 
@@ -115,17 +122,24 @@ SELECT Module, CloudCount, CloudInteractive, LocalCount, {_pct('LocalCount', 'Cl
 def sync_status(spark, sf_dir):
     """Feed vs stored counts per module. Module A's feed count has no client
     filter (as in the reference), so the interactive feed count is shown too."""
+    return H.sync_status([_module_counts(spark, sf_dir)], [], HEALTH_AS_OF).select(
+        "Module", "CloudCount", "CloudInteractive", "LocalCount", "Pct", "UpdatedAt").orderBy("Module")
+
+
+def _module_counts(spark, sf_dir):
+    """The three modules' counts, by one scan of each feed: what was delivered, and what is stored of it."""
+    rows = F.count(F.lit(1))
     views = X.page_views(spark, sf_dir)
-    cloud = [H.module_count(views, "A", "CloudCount"),
-             H.module_count(views.filter(C.is_interactive("ClientType")), "A", "CloudInteractive"),
-             H.module_count(TB.change_rows(spark, sf_dir), "B", "CloudCount"),
-             H.module_count(X.trace_feed(spark, sf_dir).filter(F.col("EventId") == C.AUTH_FAILED_EVENT),
-                            "C", "CloudCount")]
-    local = [H.module_count(TB.page_log(spark, sf_dir), "A", "LocalCount"),
-             H.module_count(_stored_subset(spark, sf_dir), "B", "LocalCount"),
-             H.module_count(TB.auth_fail_raw(spark, sf_dir), "C", "LocalCount")]
-    return H.sync_status(cloud, local, HEALTH_AS_OF).select(
-        "Module", "CloudCount", "CloudInteractive", "LocalCount", "Pct", "UpdatedAt")
+    interactive = C.is_interactive("ClientType")
+    usable = F.col("Timestamp").isNotNull() & (F.trim("UserId") != "")
+    a = H.module_counts(views, "A", CloudCount=rows, CloudInteractive=F.count_if(interactive),
+                        LocalCount=H.stored_keys(interactive & usable, *D.page_key()))
+    none = F.max(F.lit(None).cast("long"))
+    b = H.module_counts(TB.change_rows(spark, sf_dir), "B", CloudCount=rows, CloudInteractive=none,
+                        LocalCount=F.count_if(stored_part()))
+    c = H.module_counts(TB.auth_labels(spark, sf_dir), "C", CloudCount=rows, CloudInteractive=none,
+                        LocalCount=H.stored_keys(usable, *D.auth_key()))
+    return a.unionByName(b).unionByName(c)
 
 
 @query("sync_total", "A20", sql(f"""
@@ -272,6 +286,30 @@ def active_companies(spark, sf_dir):
     return V.active_companies(TB.page_daily(spark, sf_dir))
 
 
+extra("secrets", (), """
+SELECT s_suppkey AS SecretId, TIMESTAMP '2024-01-26 12:00:00' + INTERVAL (s_suppkey % 50) DAY + INTERVAL (s_suppkey % 7) HOUR AS ExpiresAt
+FROM supplier""")
+extra("secret_days", ("secrets",), """
+SELECT SecretId, ExpiresAt, CAST(floor(date_diff('second', TIMESTAMP '2024-01-31 12:00:00', ExpiresAt) / 86400.0) AS BIGINT) AS DaysLeft
+FROM secrets""")
+
+
+def _expiry(spark, sf_dir):
+    """One secret per supplier, expiring from five days ago to six weeks ahead."""
+    key = F.col("s_suppkey")
+    at = F.lit(dt.datetime(2024, 1, 26, 12)).cast("timestamp_ntz")
+    secrets = read_table(spark, sf_dir, "supplier").select(
+        key.alias("SecretId"), (at + F.make_dt_interval((key % 50).cast("int"), (key % 7).cast("int"))).alias("ExpiresAt"))
+    return H.expiry(secrets, HEALTH_AS_OF, SECRET_WARN_DAYS)
+
+
+@query("secret_expiry", "H4", sql("""
+SELECT *, CASE WHEN DaysLeft <= 7 THEN 'problem' WHEN DaysLeft <= 30 THEN 'warning' END AS Level FROM secret_days""", "secret_days"))
+def secret_expiry(spark, sf_dir):
+    """Whole days left per secret; a warning from 30 days on, a problem from 7 on."""
+    return _expiry(spark, sf_dir)
+
+
 extra("run_log", (), """
 SELECT 'bct-daily-' || strftime(ts, '%Y%m%d') AS File, event_id AS LineNo,
        CASE WHEN event_type = 'error' AND CAST(floor(value) AS BIGINT) % 11 = 0
@@ -308,31 +346,40 @@ def import_rollback(spark, sf_dir):
     return H.rollback_seen(L.parse_run_log(X.run_log_lines(spark, sf_dir)))
 
 
-@query("alerts", "H5 H1 H3", sql(f"""
+@query("alerts", "H5 H1 H3 H4", sql(f"""
 SELECT CASE WHEN bool_or(bad) THEN 'ERROR' ELSE 'OK' END AS Status, COUNT(*) FILTER (WHERE bad) AS Problems
 FROM (SELECT Stale AS bad FROM ({FRESH_SQL}) f UNION ALL SELECT Failed FROM step_rows
-      UNION ALL SELECT bool_or(regexp_matches(value, '(?i)Import ROLLBACK')) FROM run_log GROUP BY File) p""",
-                                  "newest", "step_rows"))
+      UNION ALL SELECT bool_or(regexp_matches(value, '(?i)Import ROLLBACK')) FROM run_log GROUP BY File
+      UNION ALL SELECT DaysLeft <= 7 FROM secret_days) p""", "newest", "step_rows", "secret_days"))
 def alerts(spark, sf_dir):
-    """One status over stale data, failed steps and import rollbacks."""
+    """One status over stale data, failed steps, import rollbacks and secrets about to expire."""
     lines = L.parse_run_log(X.run_log_lines(spark, sf_dir))
     flags = [(_freshness(spark, sf_dir), "Stale"), (H.step_status(lines, L.STEP_LABELS), "Failed"),
              (H.rollback_seen(lines), "Rollback")]
     found = [df.select(F.col(c).alias("Problem")) for df, c in flags]
-    return H.overall_status(found[0].unionByName(found[1]).unionByName(found[2]))
+    expiring = _expiry(spark, sf_dir).select(F.coalesce(F.col("Level") == "problem", F.lit(False)).alias("Problem"))
+    return H.overall_status(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(expiring))
 
 
 @query("feed_status_age", "H2 A18", sql("""
-SELECT Section AS Module, true AS Ok, Newest AS CheckedAt,
+SELECT n.Section AS Module, s.ExitCode = 0 AS Ok, Newest AS CheckedAt,
        CAST(greatest(0, floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0 + 0.5))
             AS BIGINT) AS AgeMinutes,
-       COALESCE(greatest(0, floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0
+       COALESCE(s.ExitCode = 0 AND greatest(0, floor(date_diff('microsecond', Newest, TIMESTAMP '2024-01-31 12:00:00') / 60000000.0
                 + 0.5)) > 1560, false) AS Stale
-FROM newest""", "newest"))
+FROM newest n LEFT JOIN step_rows s
+  ON s.Step = 'modul ' || n.Section AND s.File = (SELECT MAX(File) FROM run_log)""", "newest", "step_rows", "run_log"))
 def feed_status_age(spark, sf_dir):
-    """Status age per module (minutes, rounded half up) and staleness beyond 26 h."""
-    status = _newest_rows(spark, sf_dir).select(F.col("Section").alias("Module"), F.lit(True).alias("Ok"),
-                           F.col("Newest").alias("CheckedAt"))
+    """Status age per module (minutes, rounded half up) and staleness beyond 26 h of feeds that are
+    fine: whose step of the newest run log ended without an error (unknown if it never ran)."""
+    lines = L.parse_run_log(X.run_log_lines(spark, sf_dir))
+    newest_log = lines.agg(F.max("File")).first()[0]
+    steps = H.step_status(lines.filter(F.col("File") == newest_log), ["modul A", "modul B", "modul C"])
+    ok = steps.select(F.right("Step", F.lit(1)).alias("Module"), (F.col("ExitCode") == 0).alias("Ok"),
+                      F.lit(None).cast("timestamp_ntz").alias("CheckedAt"))
+    checked = _newest_rows(spark, sf_dir).select(F.col("Section").alias("Module"), F.lit(None).cast("boolean").alias("Ok"),
+                                                 F.col("Newest").alias("CheckedAt"))
+    status = checked.unionByName(ok).groupBy("Module").agg(F.bool_or("Ok").alias("Ok"), F.max("CheckedAt").alias("CheckedAt"))
     return H.feed_status_age(status, HEALTH_AS_OF)
 
 
@@ -342,17 +389,12 @@ SELECT Module, CloudCount, LocalCount, {_pct('LocalCount', 'CloudCount')} AS Pct
          AS UpdatedAt
 FROM sync_counts""", "sync_counts"))
 def sync_status_upsert(spark, sf_dir):
-    """Yesterday's status of all modules, then today's A and C rows upserted by module."""
+    """Yesterday's status of all modules, then today's A and C rows upserted by module; the counts are
+    taken once and stored."""
     cols = ["Module", "CloudCount", "LocalCount", "Pct", "UpdatedAt"]
-    views = X.page_views(spark, sf_dir)
-    traces = X.trace_feed(spark, sf_dir).filter(F.col("EventId") == C.AUTH_FAILED_EVENT)
-    cloud = [H.module_count(views, "A", "CloudCount"), H.module_count(TB.change_rows(spark, sf_dir), "B", "CloudCount"),
-             H.module_count(traces, "C", "CloudCount")]
-    local = [H.module_count(TB.page_log(spark, sf_dir), "A", "LocalCount"),
-             H.module_count(_stored_subset(spark, sf_dir), "B", "LocalCount"),
-             H.module_count(TB.auth_fail_raw(spark, sf_dir), "C", "LocalCount")]
-    yesterday = H.sync_status(cloud, local, HEALTH_AS_OF - dt.timedelta(days=1)).select(*cols)
-    today = H.sync_status([cloud[0], cloud[2]], [local[0], local[2]], HEALTH_AS_OF).select(*cols)
+    counts = materialized(_module_counts(spark, sf_dir))
+    yesterday = H.sync_status([counts], [], HEALTH_AS_OF - dt.timedelta(days=1)).select(*cols)
+    today = H.sync_status([counts.filter("Module <> 'B'")], [], HEALTH_AS_OF).select(*cols)
     return D.keyed_replace(yesterday, today, [F.col("Module")])
 
 
@@ -410,18 +452,19 @@ def storage_inventory(spark, sf_dir):
 @query("table_row_counts", "S13 U3", sql(" UNION ALL ".join(
     f"SELECT '{n}' AS Dataset, COUNT(*) AS Rows FROM {n}" for n in STORED_TABLES)))
 def table_row_counts(spark, sf_dir):
-    """The inventory's row counts."""
-    return storage_inventory(spark, sf_dir).select("Dataset", "Rows")
+    """The inventory's row counts alone: one scan without columns, no listing of sizes."""
+    return S.storage_inventory(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in STORED_TABLES}, sizes=False)
 
 
 extra("stream_deltas", ("page_log",), """
-SELECT CASE WHEN "Timestamp" < TIMESTAMP '2024-01-08 12:00:00' THEN 1
-            WHEN "Timestamp" < TIMESTAMP '2024-01-16 12:00:00' THEN 2
-            WHEN "Timestamp" < TIMESTAMP '2024-01-23 12:00:00' THEN 3 ELSE 4 END AS BatchId,
-       CAST("Timestamp" AS DATE) AS DateKey, UserName, COALESCE(PageId, '?') AS PageId,
-       MAX(PageName) AS PageName, COALESCE(CompanyName, '?') AS CompanyName, COUNT(*) AS Hits
-FROM page_log WHERE UserName IS NOT NULL
-GROUP BY 1, CAST("Timestamp" AS DATE), UserName, COALESCE(PageId, '?'), COALESCE(CompanyName, '?')""")
+SELECT DISTINCT BatchId, DateKey, UserName, PageId, MAX(PageName) OVER cell AS PageName, CompanyName,
+       COUNT(*) OVER cell AS Hits
+FROM (SELECT 1 + (SELECT COUNT(*) FROM (VALUES (TIMESTAMP '2024-01-08 12:00:00'), (TIMESTAMP '2024-01-16 12:00:00'),
+                                               (TIMESTAMP '2024-01-23 12:00:00')) c(cut) WHERE cut <= p."Timestamp") AS BatchId,
+             date_trunc('day', "Timestamp")::DATE AS DateKey, UserName, ifnull(PageId, '?') AS PageId, PageName,
+             ifnull(CompanyName, '?') AS CompanyName
+      FROM page_log p WHERE UserName IS NOT NULL) r
+WINDOW cell AS (PARTITION BY BatchId, DateKey, UserName, PageId, CompanyName)""")
 
 
 @query("stream_daily_rollup", "I2 I7 I10 D6 S9", sql("""
@@ -462,3 +505,101 @@ def stream_change_log(spark, sf_dir):
     ST.land_change_pages(feed, landing)
     ST.run_change_stream(spark, landing, state)
     return ST.stored_change_log(spark, state)
+
+
+@query("purged_run_log", "I9 R3 I7", sql("""
+SELECT * FROM change_log WHERE CompanyName NOT IN ('CO_2', 'CO_4')""", "change_log"))
+def purged_run_log(spark, sf_dir):
+    """A run that finds an open purge request only purges: the stored log afterwards."""
+    root = scratch_path(spark, "purge-run")
+    run = DailyRun(spark, f"{root}/state", change_landing=f"{root}/landing")
+    ST.land_change_pages(X.change_feed(spark, sf_dir), run.change_landing)
+    run.run("ingest")
+    run.requests.submit(PURGE_REQUEST + ["CO_4"])
+    run.run("ingest")
+    failed = [entry for entry in run.log if entry[1]]
+    if failed:
+        raise RuntimeError(f"steps failed: {failed}")
+    return ST.stored_change_log(spark, run.changes)
+
+
+extra("late_views", ("interactive",), """
+SELECT *, "Timestamp" >= TIMESTAMP '2024-01-20 00:00:00' OR Id % 10 = 0 AS second FROM interactive""")
+extra("late_first", ("late_views",), """
+SELECT Id, "Timestamp", UserId, PageId FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Timestamp", UserId, ifnull(PageId, '') ORDER BY Id) AS nth
+  FROM late_views WHERE NOT second AND "Timestamp" IS NOT NULL AND length(trim(UserId)) > 0) f WHERE nth = 1""")
+
+
+@query("late_rows_lookback", "I6 I1 D2", sql("""
+SELECT Id, "Timestamp", UserId, PageId, 'stored' AS Place FROM late_first
+UNION ALL
+SELECT Id, "Timestamp", UserId, PageId, 'stored' FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Timestamp", UserId, ifnull(PageId, '') ORDER BY Id) AS nth
+  FROM late_views WHERE second AND length(trim(UserId)) > 0
+    AND "Timestamp" >= (SELECT MAX("Timestamp") FROM late_first) - INTERVAL 5 DAY) s
+WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM late_first f WHERE f."Timestamp" = s."Timestamp" AND f.UserId = s.UserId
+                              AND ifnull(f.PageId, '') = ifnull(s.PageId, ''))
+UNION ALL
+SELECT Id, "Timestamp", UserId, PageId, 'late' FROM late_views
+WHERE second AND "Timestamp" < (SELECT MAX("Timestamp") FROM late_first) - INTERVAL 5 DAY""", "late_views", "late_first"))
+def late_rows_lookback(spark, sf_dir):
+    """Every tenth view of the first weeks is delivered with the second landing: what came within five days of the
+    newest stored time is stored, the rest is kept aside."""
+    root = scratch_path(spark, "late")
+    state, feed = ST.State(f"{root}/state"), X.page_views(spark, sf_dir)
+    second = (F.col("Timestamp") >= F.lit(LATE_SPLIT)) | (F.col("Id") % LATE_EVERY == 0)
+    for part in (feed.filter(~second), feed.filter(second)):
+        part.write.mode("append").parquet(f"{root}/landing")
+        ST.run_page_stream(spark, f"{root}/landing", state, feed.schema, lookback=LOOKBACK)
+    columns = ["Id", "Timestamp", "UserId", "PageId"]
+    return ST.stored_page_log(spark, state).select(*columns, F.lit("stored").alias("Place")).unionByName(
+        ST.late_rows(spark, state).select(*columns, F.lit("late").alias("Place")))
+
+
+@query("last_known_count", "H7", sql("""
+SELECT n_regionkey AS TenantId, n_nationkey AS Environment,
+       CASE WHEN n_nationkey % 3 <> 0 THEN (SELECT COUNT(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal >= 0)
+            WHEN n_nationkey % 2 = 0 THEN (SELECT COUNT(*) FROM customer WHERE c_nationkey = n_nationkey) END AS Companies
+FROM nation"""))
+def last_known_count(spark, sf_dir):
+    """Connections per nation: a run that could not count keeps the count known before for the same scope."""
+    nations = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("TenantId"),
+                                                         F.col("n_nationkey").alias("Environment"))
+    customers = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("Environment")).agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(F.col("c_acctbal") >= 0).alias("now"))
+    counted = nations.join(customers, "Environment", "left").na.fill(0, ["all", "now"])
+    before = counted.filter("Environment % 2 = 0").select("TenantId", "Environment", F.col("all").alias("Companies"))
+    now = counted.select("TenantId", "Environment", F.when(F.col("Environment") % 3 != 0, F.col("now")).alias("Companies"))
+    return H.carry_last_known(now, before, ["TenantId", "Environment"], "Companies")
+
+
+@query("capped_changes", "T7 T3", sql("""
+SELECT * FROM change_log ORDER BY ChangedAt DESC, CompanyName, EntryNo DESC LIMIT 12000""", "change_log"))
+def capped_changes(spark, sf_dir):
+    """The newest changes under a row cap given as text, beyond what one task may rank."""
+    return V.top_n(TB.change_log(spark, sf_dir), [F.col("ChangedAt").desc(), F.col("CompanyName").asc(), F.col("EntryNo").desc()],
+                   V.top_rows("12000"))
+
+
+@query("snapshot_kpi", "S10 A4 A10 T8", sql("""
+SELECT '2024-01-31 12:00:00' AS GeneratedUtc, k.*, (SELECT COUNT(*) FROM change_log) AS AuditRows,
+       (SELECT strftime(MAX(ChangedAt), '%Y-%m-%d %H:%M:%S') FROM change_log) AS AuditTo,
+       (SELECT COUNT(DISTINCT DateKey) FROM page_daily) AS TrendDays, (SELECT COUNT(*) FROM page_map) AS PageMapCount
+FROM kpi_row k""", "kpi_row", "change_log", "page_daily", "page_map"))
+def snapshot_kpi(spark, sf_dir):
+    """The whole dashboard snapshot published as one version and read back: its key figures."""
+    path = scratch_path(spark, "snapshot")
+    daily, log = (materialized(d) for d in (TB.page_daily(spark, sf_dir), TB.page_log(spark, sf_dir)))
+    sections = snapshot_sections(daily, log, TB.auth_fail_daily(spark, sf_dir), TB.change_log(spark, sf_dir),
+                                 TB.users(spark, sf_dir), TB.page_map(spark, sf_dir), TB.AS_OF_PAGES, Settings(),
+                                 sync_status(spark, sf_dir), storage_inventory(spark, sf_dir))
+    S.write_snapshot(sections, path, HEALTH_AS_OF.strftime("%Y-%m-%d %H:%M:%S"))
+    back = S.read_snapshot(spark, path)
+    parts = [back["generatedUtc"], back["kpi"],
+             back["auditRange"].select(F.col("Rows").alias("AuditRows"), F.col("MaxDate").alias("AuditTo")),
+             back["trend"].agg(F.count(F.lit(1)).alias("TrendDays")), back["pageMapCount"]]
+    rows = parts[0]
+    for p in parts[1:]:   # one row each: folded by union, not joined
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

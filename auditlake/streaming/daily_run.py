@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from auditlake.operators import dedup as D
 from auditlake.operators import health as H
 from auditlake.operators import increments as I
+from auditlake.operators import mining as M
 from auditlake.operators import retention as RT
 from auditlake.operators import rollup as R
 from auditlake.plans.snapshot import Settings, snapshot_sections
@@ -43,6 +44,7 @@ AUTH_DAILY = "auth_fail_daily"
 STATUS = "sync_status"
 SELECTION = "selection"
 CONNECTION = "connection"
+TABLE_NAMES = "table_names"
 
 
 def _staging(state: ST.State, what: str) -> str:
@@ -320,8 +322,25 @@ class DailyRun:
             rows = I.next_change_rows(feed, store.edges(), settings.caps, not_before=cutoff)
             ST.land_change_pages(L.unshape_change_log(rows), self.change_landing)
         ST.run_change_stream(self.spark, self.change_landing, self.changes, companies=settings.enabled_companies)
+        self._table_names(store)
         return 0 if cutoff is None else store.retain(cutoff)
 
+    def _table_names(self, store) -> None:
+        """The names of tables, kept up to date from the batches stored since; the log is not read again for them."""
+        known, upto = self.table_names(), 0
+        if known is not None:
+            upto = known.agg(F.max("UptoBatch")).first()[0]
+        newest = store.files().agg(F.max("BatchId")).first()[0]
+        if newest is None or newest <= upto:
+            return
+        new = store.rows(where=F.col("BatchId") > upto)
+        names_ = M.merge_table_names(known if known is not None else new.limit(0), new)
+        write_version(names_.withColumn("UptoBatch", F.lit(newest)), self.control.path(TABLE_NAMES))
+
+    def table_names(self) -> DataFrame | None:
+        """The stored table names (TableNo, TableName), for ``mining.classify_errors``; None before the first changes."""
+        return read_version(self.spark, self.control.path(TABLE_NAMES))
+
     def publish(self, now: dt.datetime) -> int:
         """All sections from the stored tables of one moment, published as one version."""
         spark, store = self.spark, ST.change_store(self.spark, self.changes)

@@ -157,6 +157,7 @@ def test_run_takes_changes_through_the_cursor_and_publishes(spark):
     assert rows(back["changeLogByCompany"]) == [("CO_A", 23), ("CO_B", 18)]
     assert [(r.Module, r.CloudCount, r.LocalCount) for r in back["sync"].collect()] == [("A", 30, 30), ("B", 60, 41), ("C", None, 10)]
     assert rows(p.users.user_map()) == [("g0", "Ann"), ("g1", "Bob")]
+    assert rows(p.table_names(), "TableNo", "TableName") == [(18, "Customer")]
     steps = {(r.Step, r.ExitCode) for r in p.run_log().collect() if r.Step}
     assert steps == {(s, 0) for s in ("modul A", "modul C", "modul B", "uzivatele", "sync-status", "snapshot")}
 

@@ -44,9 +44,8 @@ def test_two_guids_one_name_merge_and_pages_count_twice(spark):
 
 def test_role_proposal_rights_and_text(spark):
     users, pages, daily, cl = setup(spark)
-    acc = M.table_access(cl, daily, pages, users)
     people = spark.createDataFrame([("Ann",)], "Person string")
-    role = M.role_proposal(acc, daily, people, users, company="CO", min_ops=0)
+    role = M.role_proposal(cl, daily, pages, people, users, company="CO", min_ops=0)
     got = {(r.ObjectType, r.ObjectId): r.Rights for r in role.collect()}
     assert got == {("TableData", "18"): "RID", ("Page", "21"): "X", ("Page", "77"): "X"}
     text = M.role_text(role, "R1").first()
@@ -56,9 +55,8 @@ def test_role_proposal_rights_and_text(spark):
 
 def test_role_threshold_and_excluded_page(spark):
     users, pages, daily, cl = setup(spark)
-    acc = M.table_access(cl, daily, pages, users)
     people = spark.createDataFrame([("Ann",), ("g9",)], "Person string")
-    role = M.role_proposal(acc, daily, people, users, company="CO", min_ops=3)
+    role = M.role_proposal(cl, daily, pages, people, users, company="CO", min_ops=3)
     got = {(r.ObjectType, r.ObjectId) for r in role.collect()}
     assert got == {("TableData", "18"), ("Page", "21"), ("TableData", "99")}   # page -1 never becomes a right
 
@@ -123,3 +121,34 @@ def test_reads_with_question_mark_company_and_writes_with_empty_company_stay_apa
     cl = spark.createDataFrame([(1, T, "LOGIN1", "", 18, "Customer", 0, "", "Insertion", "k", "", "")], CL)
     acc = rows(M.table_access(cl, daily, pages, users), "UserName", "TableNo", "CompanyName", "Access")
     assert acc == [("Ann", 18, "", "W"), ("Ann", 18, "?", "R")]
+
+
+def test_role_of_people_equals_the_role_of_their_access_rows(spark):
+    """Keys filter before the aggregates; the result is that of naming everyone and then choosing."""
+    users, pages, daily, cl = setup(spark)
+    acc = M.table_access(cl, daily, pages, users).collect()
+    for chosen in (["Ann"], ["LOGIN4", "g9"], ["  "], ["LOGIN1"], ["nobody"], ["Ann", "g9", "LOGIN4", "  ", "g1"]):
+        people = spark.createDataFrame([(c,) for c in chosen], "Person string")
+        role = M.role_proposal(cl, daily, pages, people, users)
+        got = {(r.ObjectId, r.Operations, r.ObjectName) for r in role.filter("ObjectType = 'TableData'").collect()}
+        want = {}
+        for r in acc:
+            if r.UserName in chosen:
+                n, name = want.get(r.TableNo, (0, ""))
+                want[r.TableNo] = (n + r.Changes + r.Reads, max(name, r.TableName or ""))
+        assert got == {(str(t), n, name) for t, (n, name) in want.items()}, chosen
+
+
+def test_role_text_joins_ranges_in_order(spark):
+    objects = [("Page", str(n)) for n in (5, 30, 999, 1000, 21_000, -4)] + [("Page", "x9"), ("Page", "ab1"), ("Page", "ab")] \
+        + [("TableData", str(n)) for n in range(0, 5000, 7)]
+    role = spark.createDataFrame([(t, i, "R") for t, i in objects], "ObjectType string, ObjectId string, Rights string").repartition(5)
+
+    def order(o):
+        number = int(o[1]) if o[1].lstrip("-").isdigit() else None
+        return (o[0], number is not None, number or 0, o[1])
+    got = M.role_text(role, "R").first()
+    assert got.Objects == len(objects)
+    assert got.PermissionSet.split("\n") == [f"{t} {i} = R" for t, i in sorted(objects, key=order)]
+    none = M.role_text(role.limit(0), "R").first()
+    assert (none.Objects, none.PermissionSet) == (0, "")
