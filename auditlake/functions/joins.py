@@ -40,14 +40,29 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
-# Probe results per (plan, input files): the same dimension built again over
-# unchanged files is not counted again; a new or changed file set re-probes.
+# Probe results per plan and input files, with their lengths and times: the same dimension built again over
+# unchanged files is not counted again, a file rewritten under its name is. Dimensions of many files are always counted.
 _PROBED: dict = {}
+_PROBED_FILES = 50
+
+
+def _files_state(df: DataFrame) -> tuple | None:
+    files = sorted(df.inputFiles())
+    if not files or len(files) > _PROBED_FILES:
+        return None
+    sc = df.sparkSession.sparkContext
+    state = []
+    for f in files:
+        p = sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(f))
+        st = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p)
+        state.append((f, st.getLen(), st.getModificationTime()))
+    return tuple(state)
 
 
 def _probe_rows(df: DataFrame, limit: int) -> int:
     try:
-        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), limit)
+        files = _files_state(df)
+        key = None if files is None else (df.semanticHash(), files, limit)
     except Exception:  # noqa: BLE001 -- plans without a stable identity are simply not memoised
         key = None
     if key is not None and key in _PROBED:

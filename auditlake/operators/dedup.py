@@ -16,17 +16,17 @@ from auditlake.functions.joins import keep_one
 
 
 def page_key() -> list[Column]:
-    """BCPageLog uniqueness: ``(Timestamp, UserId, ISNULL(PageId,''))``."""
+    """Page views are unique by time, user and page (no page counts as '')."""
     return [F.col("Timestamp"), F.col("UserId"), C.blank_key("PageId")]
 
 
 def auth_key() -> list[Column]:
-    """BCAuthFailRaw uniqueness: ``(Timestamp, UserId, ISNULL(ObjectId,''))``."""
+    """Permission errors are unique by time, user and object (none counts as '')."""
     return [F.col("Timestamp"), F.col("UserId"), C.blank_key("ObjectId")]
 
 
 def change_key() -> list[Column]:
-    """BCChangeLog uniqueness: ``(CompanyName, EntryNo)`` (per-company sequence)."""
+    """Change entries are unique by ``(CompanyName, EntryNo)`` (per-company sequence)."""
     return [F.col("CompanyName"), F.col("EntryNo")]
 
 

@@ -10,7 +10,7 @@ from auditlake.functions.joins import bounded_broadcast, keep_one
 
 
 def user_map(users: DataFrame) -> DataFrame:
-    """P9 (vw_UserMap): telemetry GUID -> best display name.
+    """Telemetry GUID -> best display name.
 
     Users without a telemetry id, with a blank one or with the all-zero GUID
     are excluded.

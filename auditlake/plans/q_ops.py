@@ -311,7 +311,7 @@ def secret_expiry(spark, sf_dir):
 
 
 extra("run_log", (), """
-SELECT 'bct-daily-' || strftime(ts, '%Y%m%d') AS File, event_id AS LineNo,
+SELECT 'run-' || strftime(ts, '%Y%m%d') AS File, event_id AS LineNo,
        CASE WHEN event_type = 'error' AND CAST(floor(value) AS BIGINT) % 11 = 0
             THEN strftime(ts, '%H:%M:%S') || ' Import ROLLBACK'
             ELSE strftime(ts, '%H:%M:%S') || ' ' || CASE event_type WHEN 'view' THEN 'modul A' WHEN 'click' THEN 'modul C'

@@ -74,7 +74,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BCUser: the directory loaded once (S5 + P7), stamped ``UpdatedAt``."""
+    """The users: the directory loaded once (S5 + P7), stamped ``UpdatedAt``."""
     return (L.read_user_directory(X.user_directory(spark, sf_dir))
             .withColumn("UpdatedAt", F.lit(USERS_AS_OF).cast("timestamp_ntz")))
 

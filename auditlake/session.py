@@ -56,7 +56,7 @@ def build_session(master: str | None = None, cpus: int | None = None,
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
-    """All stored times are UTC (the reference uses SYSUTCDATETIME)."""
+    """All stored times are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

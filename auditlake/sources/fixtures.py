@@ -163,5 +163,5 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when((F.col("event_type") == "error") & (whole % 11 == 0),
                   F.concat(hhmmss, F.lit(" Import ROLLBACK")))\
             .otherwise(F.concat(hhmmss, F.lit(" "), step, F.lit(" exit="), exit_code))
-    return ev.select(F.concat(F.lit("bct-daily-"), F.date_format("ts", "yyyyMMdd")).alias("File"),
+    return ev.select(F.concat(F.lit("run-"), F.date_format("ts", "yyyyMMdd")).alias("File"),
                      F.col("event_id").alias("LineNo"), line.alias("value"))

@@ -71,7 +71,7 @@ class UserStore:
         return self.spark.read.parquet(self.versions.folder(version) + "/data")
 
     def users(self) -> DataFrame:
-        """BCUser: the newest state of every user ever listed."""
+        """The newest state of every user ever listed."""
         return self.history().filter(F.col("ValidTo").isNull()).select(*D.USER_COLUMNS, "UpdatedAt")
 
     def load(self, directory: DataFrame, as_of: dt.datetime, manual: DataFrame | None = None) -> int:
