@@ -208,14 +208,14 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def main_axes(rows: np.ndarray, k: int) -> np.ndarray:
-    """Leading right singular vectors by subspace iteration."""
-    k = min(k, *rows.shape)
-    basis = np.linalg.qr(np.random.default_rng(5).standard_normal((rows.shape[1], min(k + 16, rows.shape[1]))))[0]
-    for _ in range(8):
-        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
-    small = rows @ basis
-    values, inner = np.linalg.eigh(small.T @ small)
-    return basis @ inner[:, np.argsort(-values, kind="stable")[:k]]
+    """The ``k`` leading right singular vectors of the rows, by the eigenvectors of their term products (TERMS
+    by TERMS at most, and only of terms that occur)."""
+    occurs = np.flatnonzero(rows.any(axis=0))
+    found = rows[:, occurs]
+    values, inner = np.linalg.eigh(found.T @ found)
+    axes = np.zeros((rows.shape[1], min(k, len(occurs), len(rows))))
+    axes[occurs] = inner[:, ::-1][:, :axes.shape[1]]
+    return axes
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model:
