@@ -73,7 +73,11 @@ class Versions:
         return sorted(v for v in markers(self.spark, self.path, "v") if exists(self.spark, self.folder(v) + "/_done"))
 
     def newest(self) -> int | None:
-        return max(self.committed(), default=None)
+        """The newest committed version; only those begun after it are looked at besides."""
+        for v in sorted(markers(self.spark, self.path, "v"), reverse=True):
+            if exists(self.spark, self.folder(v) + "/_done"):
+                return v
+        return None
 
     def next(self) -> int:
         """A number above all versions, also those that were begun and never committed."""
