@@ -62,7 +62,7 @@ def test_long_chain_and_query(spark):
                                   (None, 1, "assistant", "x"), (2, None, "user", "x"), (3, 1, None, "x"), (1, 1, "assistant", "a. b")],
                                  "conv_id long, turn long, role string, text string")
     got = chat.op6(conv).collect()
-    assert len(got) == 4 and sum(r.status == "no_id" for r in got) == 2
+    assert len(got) == 6 and sum(r.status == "no_id" for r in got) == 2 and sum(r.status == "message" for r in got) == 2
     assert all(json.dumps(json.loads(r.record), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.record for r in got)
     assert chat.op6(conv.where("false")).collect() == []
 
